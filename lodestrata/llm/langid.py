@@ -12,7 +12,6 @@ repeated rows are labelled one by one and texts are read whole.
 from __future__ import annotations
 
 import bisect
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -33,6 +32,7 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 OUTSIDE = -25.0
 SMOOTH = 0.5
+_MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
 #: Bytes of words that a labeller remembers.
 CACHE_BYTES = 1 << 24
 
@@ -61,11 +61,21 @@ def letters_of(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(c for c in word if c.isalpha()).lower()
 
 
-def features(letters: str) -> list[int]:
-    """Slots of the word's 1- to 4-grams, its ends marked."""
-    w = f"<{letters}>".encode()
-    n = len(w)
-    return [zlib.crc32(w[i : i + k]) & (SIZE - 1) for k in (1, 2, 3, 4) for i in range(n - k + 1)]
+def grams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 to 4: table slots of the words' n-grams (ends marked), and how many each word has."""
+    marked = [b"<%b>" % w.encode() for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    word = np.repeat(np.arange(len(marked)), sizes)
+    out, rolled = [], np.zeros(len(data), np.uint64)
+    for n in (1, 2, 3, 4):
+        if n > 1:
+            rolled = rolled[:-1]
+        rolled = rolled * np.uint64(257) + data[n - 1 :] + np.uint64(1)
+        inside = word[: len(rolled)] == word[n - 1 :]
+        x = rolled[inside] * _MIX
+        out.append(((x >> _SHIFT).astype(np.int64), np.maximum(sizes - n + 1, 0)))
+    return out
 
 
 @dataclass(frozen=True)
@@ -74,18 +84,32 @@ class Model:
     table: np.ndarray  # slots x languages, log-probabilities
     scripts: dict[str, np.ndarray] = field(default_factory=dict)  # script -> which languages use it
 
-    def word(self, word: str) -> tuple[np.ndarray, int]:
-        """Scores of the languages, and the number of letters; no letters: all zero."""
-        letters = letters_of(word)
-        if not letters:
-            return np.zeros(len(self.languages), np.float32), 0
-        # the mean over n-grams times a length that grows slowly, so that one long word cannot decide alone
-        scores = self.table[features(letters)].mean(axis=0) * min(12.0, 2.0 + len(letters))
-        scores = scores - scores.max()
-        used = self.scripts.get(script_of(letters[0]))
-        if used is not None and used.any():
-            scores = np.where(used, np.maximum(scores, OUTSIDE), OUTSIDE)
-        return scores.astype(np.float32), len(letters)
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the languages for each word, and its number of letters; no letters: all zero."""
+        scores, count = np.zeros((len(words), len(self.languages)), np.float32), np.zeros(len(words), np.int64)
+        letters = list(map(letters_of, words))
+        there = [i for i, w in enumerate(letters) if w]
+        if not there:
+            return scores, count
+        letters = [letters[i] for i in there]
+        size = np.fromiter(map(len, letters), np.int64, len(letters))
+        total, number = np.zeros((len(letters), len(self.languages))), np.zeros(len(letters))
+        for slots, each in grams(letters):
+            ends = np.cumsum(each)
+            sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.table[slots], axis=0, dtype=np.float64)])
+            total += sums[ends] - sums[ends - each]
+            number += each
+        # the mean over n-grams times a length that grows to a bound, so that one long word cannot decide alone
+        found = total / number[:, None] * np.minimum(12.0, 2.0 + size)[:, None]
+        found -= found.max(axis=1, keepdims=True)
+        used = np.array([self.usable(w[0]) for w in letters])
+        scores[there], count[there] = np.where(used, np.maximum(found, OUTSIDE), OUTSIDE), size
+        return scores, count
+
+    def usable(self, char: str) -> np.ndarray:
+        """Languages that use the character's script; all of them if none does."""
+        used = self.scripts.get(script_of(char))
+        return used if used is not None and used.any() else np.ones(len(self.languages), bool)
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
@@ -128,27 +152,24 @@ class Labeller:
         self.letters = np.zeros(1024, np.int64)
         self.held = 0
 
-    def _add(self, word: bytes) -> int:
-        at = len(self.index)
-        if at == len(self.letters):
+    def _add(self, words: list[bytes]) -> None:
+        at, more = len(self.index), len(words)
+        while at + more > len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.scores[at], self.letters[at] = self.model.word(word.decode())
-        self.index[word] = at
-        self.held += len(word)
-        return at
+        self.scores[at : at + more], self.letters[at : at + more] = self.model.score([w.decode() for w in words])
+        self.index.update(zip(words, range(at, at + more)))
+        self.held += sum(map(len, words))
 
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Scores and letters of the words of a text."""
         words = text.encode().split()
-        if len(self.index) + len(words) > CACHE_WORDS:
+        if len(self.index) + len(words) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._reset()
-        get, add = self.index.get, self._add
-        at = np.fromiter((i if (i := get(w)) is not None else add(w) for w in words), np.int64, len(words))
-        scores, letters = self.scores[at], self.letters[at]
-        if len(self.index) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self._reset()
-        return scores, letters
+        if new := {*words} - self.index.keys():
+            self._add(sorted(new))
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return self.scores[at], self.letters[at]
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(first word, end word, language) of each span; words without letters join their neighbours."""
@@ -195,10 +216,18 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
 
         def flush():
             for k, counter in enumerate(words):
+                known, chars = Counter(), Counter()
                 for word, n in counter.items():
                     if letters := letters_of(word):
-                        np.add.at(table[k], features(letters), n)
-                        np.add.at(used[k], [name[script_of(c)] for c in letters], n)
+                        known[letters] += n
+                        for c in letters:
+                            chars[c] += n
+                for c, n in chars.items():
+                    used[k, name[script_of(c)]] += n
+                if known:
+                    weight = np.fromiter(known.values(), np.int64, len(known))
+                    for slots, each in grams(list(known)):
+                        table[k] += np.bincount(slots, np.repeat(weight, each), SIZE).astype(np.int64)
                 counter.clear()
 
         for part in slices(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import langid, license_scan, pii, quality, sentencepiece_codec, token_count, token_output
+from lodestrata.llm import decontaminate, html_extract, langid, license_scan, near_dedup, pii, quality, sentencepiece_codec, token_count, token_output
 from lodestrata.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,6 +16,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.codec_digest(table(spark, sf_dir, "documents"), PIECES)
 
@@ -29,6 +37,10 @@ def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Params(shingle=3, percent=85))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), PIECES)
 
@@ -43,5 +55,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_read(table(spark, sf_dir, "documents"), WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_sentencepiece, op5_quality, op6_license, op8_token_count, op9_langid, op10_token_output)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_decontaminate, op3_html, op4_sentencepiece, op5_quality, op6_license, op7_near_dedup, op8_token_count, op9_langid, op10_token_output)
+}
 ORACLES: dict[str, str] = {}

@@ -161,13 +161,28 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
         def work(text):
             ids, starts = c.encode(text)
-            return ids.tolist(), starts.tolist()
+            return ids, starts
 
         return work
 
     return map_text(docs, [id_col], text_col, factory, "ids array<int>, starts array<bigint>")
 
 
+def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ids, starts, decoded."""
+
+    def factory():
+        c = codec(model_path)
+
+        def work(text):
+            ids, starts = c.encode(text)
+            return ids, starts, c.decode(ids)
+
+        return work
+
+    return map_text(docs, [id_col], text_col, factory, "ids array<int>, starts array<int>, decoded string")
+
+
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, text: the library's decoding of each row's ids; null ids give an empty text."""
     import pyarrow as pa
