@@ -1 +1 @@
-
+"""Column functions: hashes, pointer documents, timestamps and durations."""

@@ -1 +1 @@
-
+"""Pure DataFrame operators: filters, catalog transitions, statistics and plans of side effects."""

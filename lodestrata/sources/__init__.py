@@ -1 +1 @@
-
+"""Object storage, listings, catalog snapshots and reports."""
