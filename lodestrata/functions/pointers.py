@@ -51,10 +51,11 @@ def error_of(pointer: dict) -> str | None:
 def load_pointer(body: str | bytes | None) -> dict:
     """Strict reading: an object with known fields of the right types, valid as a pointer.
 
-    Names are case-sensitive and nothing may follow the document.
+    Names are case-sensitive; what follows the first document is not read.
     """
     try:
-        found = json.loads(body if body is not None else "")
+        text = body.decode() if isinstance(body, bytes) else body or ""
+        found, _ = json.JSONDecoder().raw_decode(text.lstrip())
     except (ValueError, UnicodeDecodeError):
         raise ValueError("not a JSON document") from None
     if not isinstance(found, dict):

@@ -8,48 +8,36 @@ missing key succeeds.
 from __future__ import annotations
 
 import io
+import itertools
 import tempfile
-from collections.abc import Iterator
-from datetime import datetime
+from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestrata.functions.hashing import hash_stream
 from lodestrata.functions.pointers import dump_pointer, load_pointer
-from lodestrata.schemas import POINTER_TYPE
+from lodestrata.schemas import POINTER_TYPE, struct
 from lodestrata.sources.objectstore import NoSuchKey, ObjectInfo, ObjectStore
+from lodestrata.sources.rows import map_rows
 
-INSPECTED = T.StructType.fromDDL(
+INSPECTED = struct(
     "bucket string, object_key string, etag string, size bigint, last_modified timestamp, kind string, blob_bucket string, hash string, blob_size bigint, "
     "seen_etag string, seen_size bigint, seen_modified timestamp, content_type string, error string"
 )
-STORED = T.StructType.fromDDL("bucket string, hash string, stored_size bigint, uploaded bigint, first_key string, error string")
-FINISHED = T.StructType.fromDDL("bucket string, object_key string, hash string, listed_size bigint, etag string, now_size bigint, last_modified timestamp, uploaded bigint, relinked boolean, changed boolean, error string")
-DELETED = T.StructType.fromDDL("bucket string, blob_key string, hash string, size bigint, deleted boolean, error string")
+STORED = struct("bucket string, hash string, stored_size bigint, uploaded bigint, first_key string, error string")
+FINISHED = struct("bucket string, object_key string, hash string, listed_size bigint, etag string, now_size bigint, last_modified timestamp, uploaded bigint, relinked boolean, changed boolean, error string")
+DELETED = struct("bucket string, blob_key string, hash string, size bigint, deleted boolean, error string")
 
 #: Objects up to this size are buffered in memory while they are copied; larger ones spill.
 SPOOL = 16 << 20
+#: Keys of one delete call.
+DELETED_AT_ONCE = 1000
 
 
-def _utc(ts) -> datetime:
-    return pd.Timestamp(ts).to_pydatetime()
-
-
-def _mapped(df: DataFrame, schema: T.StructType, one) -> DataFrame:
-    names = schema.fieldNames()
-    whole = [f.name for f in schema if isinstance(f.dataType, T.LongType)]
-
-    def run(batches: Iterator[pd.DataFrame]):
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                rows = [one(r) for r in batch.iloc[at : at + 1000].itertuples(index=False)]
-                out = pd.DataFrame(rows, columns=names)
-                out[whole] = out[whole].astype("Int64")
-                yield out
-
-    return df.mapInPandas(run, schema)
+def _mapped(df: DataFrame, schema: T.StructType, one: Callable[[SimpleNamespace], dict]) -> DataFrame:
+    return map_rows(df, schema, lambda rows: (one(SimpleNamespace(**r)) for r in rows))
 
 
 def inspect(work: DataFrame, store: ObjectStore, algorithm: str, blob_prefix: str) -> DataFrame:
@@ -119,12 +107,12 @@ def finish_objects(hashed: DataFrame, store: ObjectStore, blob_prefix: str, repl
     def one(r):
         row = {"bucket": r.bucket, "object_key": r.object_key, "hash": r.hash, "listed_size": r.size, "uploaded": r.uploaded if r.object_key == r.first_key else 0, "relinked": False, "changed": False}
         try:
-            if isinstance(r.blob_error, str):
+            if r.blob_error is not None:
                 raise ValueError(f"blob: {r.blob_error}")
             if r.stored_size != r.size:
                 raise ValueError("blob size mismatch")
             now = store.stat(r.bucket, r.object_key)
-            if (now.etag, now.size, _utc(now.last_modified)) != (r.seen_etag, r.seen_size, _utc(pd.Timestamp(r.seen_modified).tz_localize("UTC") if pd.Timestamp(r.seen_modified).tz is None else r.seen_modified)):
+            if (now.etag, now.size, now.last_modified) != (r.seen_etag, r.seen_size, r.seen_modified):
                 row["changed"] = True
             elif replace:
                 now = _replace(store, r, blob_prefix + r.hash)
@@ -138,7 +126,7 @@ def finish_objects(hashed: DataFrame, store: ObjectStore, blob_prefix: str, repl
 
 
 def _replace(store: ObjectStore, r, blob_key: str) -> ObjectInfo:
-    body = dump_pointer({"blob_bucket": r.bucket, "blob_key": blob_key, "hash": r.hash, "size": int(r.size), "content_type": r.content_type or ""}).encode()
+    body = dump_pointer({"blob_bucket": r.bucket, "blob_key": blob_key, "hash": r.hash, "size": r.size, "content_type": r.content_type or ""}).encode()
     if store.put(r.bucket, r.object_key, io.BytesIO(body), len(body), POINTER_TYPE) != len(body):
         raise ValueError("pointer was not stored whole")
     now = store.stat(r.bucket, r.object_key)
@@ -149,18 +137,15 @@ def _replace(store: ObjectStore, r, blob_key: str) -> ObjectInfo:
 
 def delete_stored(candidates: DataFrame, store: ObjectStore) -> DataFrame:
     """Deletes in batches per bucket; a row says whether its blob is gone."""
-    names = DELETED.fieldNames()
 
-    def run(batches: Iterator[pd.DataFrame]):
-        for batch in batches:
-            for bucket, part in batch.groupby("bucket", sort=True):
-                out = part[["bucket", "blob_key", "hash", "size"]].copy()
+    def run(rows: Iterator[dict]):
+        while part := list(itertools.islice(rows, DELETED_AT_ONCE)):
+            for bucket in sorted({r["bucket"] for r in part}):
+                own = [r for r in part if r["bucket"] == bucket]
                 try:
-                    gone = set(store.remove(bucket, part["blob_key"].tolist()))
-                    out["deleted"] = out["blob_key"].isin(gone)
-                    out["error"] = [None if d else "not deleted" for d in out["deleted"]]
+                    gone = set(store.remove(bucket, [r["blob_key"] for r in own]))
+                    yield from (r | {"deleted": r["blob_key"] in gone, "error": None if r["blob_key"] in gone else "not deleted"} for r in own)
                 except Exception as e:
-                    out["deleted"], out["error"] = False, f"{type(e).__name__}: {e}"
-                yield out[names]
+                    yield from (r | {"deleted": False, "error": f"{type(e).__name__}: {e}"} for r in own)
 
-    return candidates.select("bucket", "blob_key", "hash", "size").mapInPandas(run, DELETED)
+    return map_rows(candidates.select("bucket", "blob_key", "hash", "size"), DELETED, run)

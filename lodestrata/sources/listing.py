@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,34 +11,24 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestrata.schemas import LISTING
 from lodestrata.sources.objectstore import FileStore, ObjectStore
+from lodestrata.sources.rows import map_rows
 
 LISTED = T.StructType([T.StructField("scope", T.IntegerType()), *LISTING.fields, T.StructField("error", T.StringType())])
-ROWS = 10_000
 
 
 def list_scopes(spark: SparkSession, store: ObjectStore, scopes: list[tuple[str, str]]) -> DataFrame:
     """The listing of every scope, one task each; a failure is a last row with `error`."""
     jobs = spark.createDataFrame([(i, b, p) for i, (b, p) in enumerate(scopes)], "scope int, bucket string, prefix string")
-    names = LISTED.fieldNames()
-
-    def run(batches: Iterator[pd.DataFrame]):
-        for batch in batches:
-            for scope, bucket, prefix in batch.itertuples(index=False):
-                rows = []
-                try:
-                    for o in store.list(bucket, prefix):
-                        rows.append((scope, bucket, o.key, o.etag, o.size, o.last_modified, o.content_type, None))
-                        if len(rows) == ROWS:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
-                except Exception as e:  # the row tells the driver, which ends the scan there
-                    rows.append((scope, bucket, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-                if rows:
-                    out = pd.DataFrame(rows, columns=names)
-                    out["size"] = out["size"].astype("Int64")
-                    yield out
-
-    return jobs.repartition(max(1, len(scopes)), "scope").mapInPandas(run, LISTED)
+
+    def run(rows: Iterator[dict]):
+        for r in rows:
+            try:
+                for o in store.list(r["bucket"], r["prefix"]):
+                    yield {"scope": r["scope"], "bucket": r["bucket"], "object_key": o.key, "etag": o.etag, "size": o.size, "last_modified": o.last_modified, "content_type": o.content_type}
+            except Exception as e:  # the row tells the driver, which ends the scan there
+                yield {"scope": r["scope"], "bucket": r["bucket"], "error": f"{type(e).__name__}: {e}"}
+
+    return map_rows(jobs.repartition(max(1, len(scopes)), "scope"), LISTED, run)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
