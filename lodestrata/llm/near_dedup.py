@@ -4,12 +4,13 @@
    copies, however many, are one node from here on.
 2. Representatives with an equal band of their signatures share a bucket.  Each bucket first links
    its members to its smallest one only; buckets that this leaves in one component are done.
-3. In the others, members of different components are compared block by block on batches of the
-   signatures; a pair is dropped once the posterior probability that its similarity reaches the
-   threshold is under `miss`.  The most alike pairs between two components are verified first and
-   the rest only if those fail, round by round, until no pair is left open.
-4. Every surviving pair is verified on the full sets, and components come from large-star and
-   small-star rounds.  No step holds a bucket, a component or a list of pairs in one task.
+3. In the others, members of different components meet block by block.  A pair is compared on batches
+   of its signatures, in the first band that it shares, and dropped once the posterior probability
+   that its similarity reaches the threshold is under `miss`; survivors are verified on the full sets
+   there, unless links found before have joined them.  A block returns a spanning forest of its links,
+   so what leaves it grows with its members, not with their pairs.
+4. Components come from large-star and small-star rounds.  No step holds a bucket, a component or a
+   list of pairs in one task.
 
 Defined results: null and empty texts have no shingle and are linked with nothing; a text with fewer
 words than a shingle is one shingle; rows with equal ids are one node (their sets are all compared
@@ -162,19 +163,18 @@ def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
 
 # ------------------------------------------------------------------ candidates and verification
 
-#: Signatures on one side of a block, and texts that are verified against one other text at once.
-BLOCK, GROUP = 256, 64
-#: Pairs of two components that a block proposes in each round; None: all that are left.
-ROUNDS = (4, 64, None)
+#: Texts on one side of a block and their shingles, about, and texts that are verified against one
+#: other text at once.
+BLOCK, BLOCK_SHINGLES, GROUP = 256, 1 << 20, 64
 
 
 def _buckets(reps: DataFrame, folder: str, p: Params) -> DataFrame:
-    """key, rep, head (its smallest member), of the buckets with at least two members."""
+    """band, key, rep, head (its smallest member), of the buckets with at least two members."""
     width = 4 * p.rows
-    keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * width + 1}, {width})")) for i in range(p.bands)])
-    bands = reps.select("rep", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last")
-    return saved(bands.join(shared, "key").select("key", "rep", "head").distinct(), folder, "buckets")
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * width + 1}, {width})")).alias("key")) for i in range(p.bands)])
+    bands = reps.select("rep", F.explode(keys).alias("k")).select("rep", "k.*")
+    shared = bands.groupBy("band", "key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last").drop("last")
+    return saved(bands.join(shared, ["band", "key"]).select("band", "key", "rep", "head").distinct(), folder, "buckets")
 
 
 def _pruned(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
@@ -199,7 +199,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     dealt = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), "n").alias("g"))
     left = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "g", "a", "text")
     right = dealt.select("b", "g").distinct().join(texts.withColumnRenamed("id", "b"), "b").select(F.col("b").alias("head"), F.col("g").alias("part"), F.col("text").alias("head_text"))
-    share = p.percent
 
     def run(members: pa.Table, heads: pa.Table) -> pa.Table:
         cache = word_cache()
@@ -207,70 +206,90 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
         hits = []
         for row, t in enumerate(members.column("text")):
             own = shingle_set(t.as_py(), p.shingle, cache)
-            for s in sets:
-                if 100 * min(len(s), len(own)) < share * max(len(s), len(own)):
-                    continue
-                same = len(np.intersect1d(s, own, assume_unique=True))
-                if 100 * same >= share * (len(s) + len(own) - same):
-                    hits.append(row)
-                    break
+            if any(reaches(s, own, p.percent) for s in sets):
+                hits.append(row)
         return members.select(["a", "b"]).take(pa.array(hits, pa.int64())).rename_columns(["u", "v"])
 
     return left.groupBy("b", "g").cogroup(right.groupBy("head", "part")).applyInArrow(run, f"u {kind}, v {kind}")
 
 
-def _open_buckets(buckets: DataFrame, stars: DataFrame, folder: str, tag: str) -> DataFrame:
-    """key, rep, comp of the buckets whose members are in several components, equal buckets once."""
-    placed = buckets.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+def _open_buckets(buckets: DataFrame, stars: DataFrame) -> DataFrame:
+    """band, key, rep, comp of the buckets whose members are in several components.
+
+    Of buckets with equal members only the one of the first band stays.
+    """
+    on = ["band", "key"]
+    placed = buckets.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select(*on, "rep", F.coalesce("comp", "rep").alias("comp"))
     several = (
-        placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("lo <> hi")
-        .groupBy("n", "same").agg(F.min("key").alias("key")).select("key")
+        placed.groupBy(on).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("lo <> hi")
+        .groupBy("n", "same").agg(F.min(F.struct(*on)).alias("first")).select("first.*")
     )
-    return saved(placed.join(several, "key"), folder, f"{tag}-open")
-
-
-def _proposed(opened: DataFrame, reps: DataFrame, p: Params, most: int | None) -> DataFrame:
-    """Pairs of different components in the open buckets that survive the signature batches.
+    return placed.join(several, on)
+
+
+def join_block(rep: np.ndarray, comp: np.ndarray, right: np.ndarray, sig: np.ndarray, texts: list[str], band: int, p: Params) -> list[tuple[int, int]]:
+    """A spanning forest of the verified links between the left and the right side of a block."""
+    left, right = np.flatnonzero(~right), np.flatnonzero(right)
+    label, sets, cache = np.unique(comp, return_inverse=True)[1], {}, word_cache()
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(texts[i], p.shingle, cache)
+        return sets[i]
+
+    out, earlier = [], band * p.rows
+    for x in left.tolist():
+        y = right[label[right] != label[x]]
+        rows, equal = alike(np.broadcast_to(sig[x], (len(y), p.size)), sig[y], p)
+        y = y[rows]
+        if earlier:  # pairs that share an earlier band meet there
+            y, equal = (z[~(sig[y, :earlier] == sig[x, :earlier]).reshape(len(y), band, p.rows).all(axis=2).any(axis=1)] for z in (y, equal))
+        for z in y[np.argsort(-equal, kind="stable")].tolist():
+            if label[x] != label[z] and reaches(shingles(x), shingles(z), p.percent):
+                out.append((x, z))
+                label[label == label[z]] = label[x]
+    return out
+
+
+def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least percent / 100."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
+def _block_links(opened: DataFrame, reps: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Links (u, v) between components of the open buckets.
 
     The members of a bucket's largest component need no comparison among themselves, so only the
-    others are dealt against all, in blocks of BLOCK by BLOCK.
+    others are dealt against all, in blocks of about BLOCK by BLOCK.
     """
-    kind = opened.schema["rep"].dataType.simpleString()
-    sizes = opened.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
-    counts = main.select("key", "main", F.ceil(F.col("n_main") / BLOCK).alias("cm"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).alias("co"))
-    rows = opened.join(counts, "key").withColumn("is_main", F.col("comp") == F.col("main"))
+    on, kind = ["band", "key"], opened.schema["rep"].dataType.simpleString()
+    opened = opened.join(reps.select("rep", "n_shingles").groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
+    sizes = opened.groupBy(*on, "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    totals = sizes.groupBy(on).agg(F.max(F.struct("n", "comp", "s")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    cut = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES))
+    counts = totals.select(*on, F.col("m.comp").alias("main"), cut(F.col("m.n"), F.col("m.s")).alias("cm"), cut(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("co"))
+    rows = opened.join(counts, on).withColumn("is_main", F.col("comp") == F.col("main"))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("rep", "key"), F.when(F.col("is_main"), F.col("cm")).otherwise(F.col("co"))))
     cell = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("right"))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     as_main = F.transform(F.sequence(zero, F.col("co") - one), lambda x: cell(x, F.col("c"), True))
     as_left = F.transform(F.filter(F.sequence(zero, F.col("cm") + F.col("co") - one), lambda x: (x < F.col("cm")) | (x - F.col("cm") >= F.col("c"))), lambda x: cell(F.col("c"), x, False))
     as_right = F.transform(F.sequence(zero, F.col("c")), lambda x: cell(x, F.col("cm") + F.col("c"), True))
-    blocks = rows.withColumn("cell", F.explode(F.when(F.col("is_main"), as_main).otherwise(F.concat(as_left, as_right)))).select("key", "cell.*", "rep", "comp")
-    full = blocks.join(reps.select("rep", "sig"), "rep").select("key", "i", "j", "right", "rep", "comp", "sig")
+    cells = F.when(F.col("is_main"), as_main).otherwise(F.concat(as_left, as_right))
+    full = rows.join(reps.select("rep", "sig"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+    blocks = full.select(*on, "rep", "comp", "sig", "text", F.explode(cells).alias("cell")).select(*on, "cell.*", "rep", "comp", "sig", "text")
 
     def run(block: pa.Table) -> pa.Table:
-        side = np.array(block.column("right").to_pylist(), bool)
-        sig, comp, rep = _matrix(block.column("sig"), p.size), block.column("comp").to_numpy(), block.column("rep").to_numpy()
-        left, right = np.flatnonzero(~side), np.flatnonzero(side)
-        out_a, out_b, out_n = [], [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (rep[right] != rep[x])]
-            rows, equal = alike(np.broadcast_to(sig[x], (len(y), p.size)), sig[y], p)
-            out_a.append(np.full(len(rows), x))
-            out_b.append(y[rows])
-            out_n.append(equal)
-        a, b, n = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_a, out_b, out_n))
-        if most is not None and len(a):
-            lo, hi = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-            order = np.lexsort((rep[b], rep[a], -n, hi, lo))
-            lo, hi = lo[order], hi[order]
-            first = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            a, b = a[order[place < most]], b[order[place < most]]
-        return pa.table({"a": pa.array(np.maximum(rep[a], rep[b])), "b": pa.array(np.minimum(rep[a], rep[b]))})
-
-    return full.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+        rep = block.column("rep").to_numpy()
+        links = join_block(rep, block.column("comp").to_numpy(), np.array(block.column("right").to_pylist(), bool), _matrix(block.column("sig"), p.size), block.column("text").to_pylist(), block.column("band")[0].as_py(), p)
+        return pa.table({"u": pa.array([rep[x] for x, _ in links], block.schema.field("rep").type), "v": pa.array([rep[y] for _, y in links], block.schema.field("rep").type)})
+
+    return blocks.groupBy(*on, "i", "j").applyInArrow(run, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,27 +299,18 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = saved(signatures(source, "id", "text", p), folder, "signatures")
     linkable = signed.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
-    reps = saved(linkable.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), folder, "sets")
+    reps = saved(linkable.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), folder, "sets")
     # ids that repeat with other texts: the id is one node, so its sets meet in the smallest of their representatives
     moved = linkable.join(reps.select("set_key", "rep"), "set_key").where("id <> rep").select("id", "set_key", "rep")
     repeated = linkable.groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("id")
     tied = moved.join(repeated, "id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     buckets = _buckets(reps, folder, p)
-    texts = saved(source.join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), folder, "texts")
-    star = saved(_pruned(buckets.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), reps, p), folder, "tested-0")
-    links = saved(_verified(star, texts, p), folder, "links-0")
-    stars, tested = components(links.union(tied), folder, "stars-0"), star
-    for turn, most in enumerate(ROUNDS, 1):
-        opened = _open_buckets(buckets, stars, folder, f"round-{turn}")
-        if opened.isEmpty():
-            break
-        pairs = saved(_proposed(opened, reps, p, most).join(tested, ["a", "b"], "left_anti"), folder, f"tested-{turn}")
-        if pairs.isEmpty():
-            break
-        tested = tested.union(pairs)
-        more = saved(_verified(pairs, texts, p), folder, f"links-{turn}")
-        if not more.isEmpty():
-            stars = components(stars.union(more), folder, f"stars-{turn}")
+    texts = saved(source.join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), folder, "texts")
+    star = _pruned(buckets.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), reps, p)
+    stars = components(_verified(saved(star, folder, "star"), texts, p).union(tied), folder, "first")
+    opened = saved(_open_buckets(buckets, stars), folder, "open")
+    if not opened.isEmpty():
+        stars = components(stars.union(_block_links(opened, reps, texts, p)), folder, "all")
     sets = reps.select("set_key", "rep").join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("id", "n_shingles", "set_key").join(sets, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
