@@ -14,12 +14,13 @@ from __future__ import annotations
 import bisect
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import CACHE_WORDS, map_text, slices
+from lodestrata.llm.common import map_text, slices
 
 UNKNOWN = "und"
 #: Labelled rows per language used for fitting, about: rows under a hash threshold (documented bound).
@@ -33,8 +34,8 @@ SCRIPT_SHARE = 0.01
 OUTSIDE = -25.0
 SMOOTH = 0.5
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
-#: Bytes of words that a labeller remembers.
-CACHE_BYTES = 1 << 24
+#: Words that a labeller remembers, and their bytes.
+CACHE_WORDS, CACHE_BYTES = 800_000, 1 << 25
 
 # First code point and script of Unicode ranges, in order; "" ends a range.
 SCRIPT_RANGES = [
@@ -50,6 +51,7 @@ SCRIPT_RANGES = [
 ]
 _FIRST = [a for a, _ in SCRIPT_RANGES]
 SCRIPTS = sorted({s for _, s in SCRIPT_RANGES if s}) + ["other"]
+_NUMBER = {s: i for i, s in enumerate(SCRIPTS)}
 
 
 def script_of(char: str) -> str:
@@ -57,6 +59,11 @@ def script_of(char: str) -> str:
     return (SCRIPT_RANGES[at][1] if at >= 0 else "") or "other"
 
 
+@lru_cache(maxsize=1 << 16)
+def script_number(char: str) -> int:
+    return _NUMBER[script_of(char)]
+
+
 def letters_of(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(c for c in word if c.isalpha()).lower()
 
@@ -102,14 +109,15 @@ class Model:
         # the mean over n-grams times a length that grows to a bound, so that one long word cannot decide alone
         found = total / number[:, None] * np.minimum(12.0, 2.0 + size)[:, None]
         found -= found.max(axis=1, keepdims=True)
-        used = np.array([self.usable(w[0]) for w in letters])
+        used = self.usable[[script_number(w[0]) for w in letters]]
         scores[there], count[there] = np.where(used, np.maximum(found, OUTSIDE), OUTSIDE), size
         return scores, count
 
-    def usable(self, char: str) -> np.ndarray:
-        """Languages that use the character's script; all of them if none does."""
-        used = self.scripts.get(script_of(char))
-        return used if used is not None and used.any() else np.ones(len(self.languages), bool)
+    @cached_property
+    def usable(self) -> np.ndarray:
+        """Scripts x languages: which languages use a script; all of them if none does."""
+        used = np.stack([self.scripts.get(s, np.ones(len(self.languages), bool)) for s in SCRIPTS])
+        return used | ~used.any(axis=1, keepdims=True)
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
@@ -166,7 +174,8 @@ class Labeller:
         words = text.encode().split()
         if len(self.index) + len(words) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._reset()
-        if new := {*words} - self.index.keys():
+        known = self.index
+        if new := {w for w in words if w not in known}:
             self._add(sorted(new))
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         return self.scores[at], self.letters[at]
@@ -211,7 +220,6 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
         table = np.zeros((len(languages), SIZE), np.int64)
         used = np.zeros((len(languages), len(SCRIPTS)), np.int64)
         at = {k: i for i, k in enumerate(languages)}
-        name = {k: i for i, k in enumerate(SCRIPTS)}
         words = [Counter() for _ in languages]
 
         def flush():
@@ -223,7 +231,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
                         for c in letters:
                             chars[c] += n
                 for c, n in chars.items():
-                    used[k, name[script_of(c)]] += n
+                    used[k, script_number(c)] += n
                 if known:
                     weight = np.fromiter(known.values(), np.int64, len(known))
                     for slots, each in grams(list(known)):
