@@ -71,7 +71,8 @@ def map_text(df: DataFrame, keep: list[str], text: str, factory: Callable[[], Ca
     """One output row per input row: the columns `keep`, then what the function made by
     `factory` (called once per task) returns for the text as a tuple of `fields`."""
     made = T.StructType.fromDDL(fields)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    name = "__text" + "_" * max((len(c) for c in keep), default=0)  # like no kept column
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(name))
     schema = T.StructType([*source.schema.fields[:-1], *made.fields])
 
     def run(batches):

@@ -278,6 +278,30 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     return map_text(docs, keep, text_col, factory, "lang_pred string, score double")
 
 
+def known_language(docs: DataFrame, model: Model, least: float, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """The rows of `docs` whose language is known and has at least the part `least` of the letters.
+
+    A model without languages knows none; then only rows without a letter go.
+    """
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        labeller = Labeller(shared.value, switch)
+
+        def stays(text: str | None) -> bool:
+            if not labeller.model.languages:
+                return bool(text and letters_of(text))
+            lang, score = labeller.label(text)
+            return lang != UNKNOWN and score >= least
+
+        for part in slices(batches):
+            yield part.filter(pa.array([stays(x.as_py()) for x in part.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """id, spans: array of struct(first word, end word, lang)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

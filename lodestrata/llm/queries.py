@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import decontaminate, html_extract, langid, license_scan, near_dedup, pii, quality, sentencepiece_codec, token_count, token_output
 from lodestrata.llm.common import table
+from lodestrata.llm.oracles import ORACLES as ORACLES
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -59,4 +60,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_pii, op2_decontaminate, op3_html, op4_sentencepiece, op5_quality, op6_license, op7_near_dedup, op8_token_count, op9_langid, op10_token_output)
 }
-ORACLES: dict[str, str] = {}

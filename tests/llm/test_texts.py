@@ -1,0 +1,319 @@
+"""Operators that map one text to one row, against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from lodestrata.llm import langid, license_scan, pii, quality, sentencepiece_codec, token_count, token_output
+from lodestrata.llm.common import WordCache, table
+
+PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+TEXTS = st.text(st.sampled_from("aAbZéß\n\t \x0b\x85 ▁中𝒳'.,:;!?@+-()%_0129#*$&|<>"), max_size=80) | st.text(max_size=40)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
+
+
+# ------------------------------------------------------------------ personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    d = [int(c) for c in reversed(digits)]
+    return sum(d[::2] + [sum(divmod(2 * x, 10)) for x in d[1::2]]) % 10 == 0
+
+
+def base_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 12 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m.group())) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.RANK[s[0]]))
+
+
+def own(text):
+    return [s[:3] for s in pii.find_spans(text) if s.kind in pii.BASE_KINDS]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.sampled_from("ab@.-+_%01 245()\n"), max_size=60) | st.lists(st.sampled_from(["a@b.c", "@d.e", "10.2.3.4", ".5.6.7", "4111 1111 1111 1111", "+1 (743) 555-3824", "256.1.1.1", "..", "x", " ", "-"]), max_size=8).map("".join))
+def test_pii_base_spans(text):
+    assert own(text) == base_spans(text)
+
+
+def test_pii_on_documents(documents):
+    found = 0
+    for _, text in documents:
+        assert own(text) == base_spans(text)
+        found += len(base_spans(text))
+    assert found
+
+
+def test_pii_method_kinds():
+    kinds = lambda t: [(s.kind, t[s.start : s.end]) for s in pii.find_spans(t)]
+    assert kinds("pay to DE89 3704 0044 0532 0130 00 now") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert kinds("GB82WEST12345698765432") == [("iban", "GB82WEST12345698765432")] and kinds("DE89 3704 0044 0532 0130 01") == []
+    assert kinds("her SSN is 123-45-6789") == [("ssn", "123-45-6789")] and kinds("part 123-45-6789") == [] and kinds("ssn 000-45-6789") == []
+
+
+def test_pii_redaction_and_edges():
+    assert pii.redact("mail a@b.co or 10.0.0.1.") == "mail [EMAIL] or [IP]."
+    assert pii.redact(None) is None and pii.redact("") == "" and pii.find_spans(None) == []
+    for long in ("1" * 300_000, "a" * 300_000 + "@", "1 " * 150_000, "a@" * 150_000, "+1" * 150_000):
+        pii.find_spans(long)
+
+
+# ------------------------------------------------------------------ sentencepiece
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_codec_is_the_library(text):
+    c = sentencepiece_codec.codec(PIECES)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids, starts = c.encode(text)
+    assert ids.tolist() == sp.encode(text) and c.decode(ids) == sp.decode(sp.encode(text))
+    data = text.encode()
+    assert starts[-1] == len(data) and (np.diff(starts) >= 0).all() and len(starts) == len(ids) + 1
+    if text and "▁" not in text:  # every piece stands over the source bytes that it was made of
+        for i, a, b in zip(ids.tolist(), starts[:-1], starts[1:]):
+            piece = bytes([int(c.sp.id_to_piece(i)[3:-1], 16)]) if c.sp.is_byte(i) else c.sp.id_to_piece(i).replace("▁", " ").encode()
+            assert data[a:b] == piece or piece[:1] == b" " and data[a:b] == piece[1:]
+
+
+def compiled_map(pairs: dict[bytes, bytes]) -> bytes:
+    """A double-array trie in the compiled layout, by first fit."""
+    trie = {}
+    for key in pairs:
+        node = trie
+        for b in key:
+            node = node.setdefault(b, {})
+        node[-1] = key
+    text, at = b"", {}
+    for key, value in pairs.items():
+        at[key] = len(text)
+        text += value + b"\0"
+    units, used, bases = {}, {0}, set()  # no two nodes share a base, else their children could be taken for each other's
+
+    def place(node, where, label):
+        children = [0 if b == -1 else b for b in node]
+        offset = next(o for o in range(1, 1 << 16) if where ^ o not in bases and all((where ^ o ^ c) not in used for c in children))
+        base = where ^ offset
+        bases.add(base)
+        units[where] = offset << 10 | (256 if -1 in node else 0) | label
+        used.update(base ^ c for c in children)
+        for b, child in node.items():
+            if b == -1:
+                units[base] = 0x80000000 | at[child]
+            else:
+                place(child, base ^ b, b)
+
+    place(trie, 0, 0)
+    import struct
+
+    array = [units.get(i, 0x80000000) for i in range((max(units) | 255) + 1)]
+    return struct.pack("<I", 4 * len(array)) + struct.pack(f"<{len(array)}I", *array) + text
+
+
+def test_character_map_takes_the_longest_prefix():
+    pairs = {b"a": b"A", b"ab": b"X", b"abcd": b"longest", "é".encode(): b"e", "éé".encode(): b"", b"z\xcc\x81": "ź".encode()}
+    m = sentencepiece_codec.CharacterMap(compiled_map(pairs))
+    rnd = random.Random(1)
+    for _ in range(2000):
+        data = b"".join(rnd.choice([b"a", b"b", b"c", b"d", "é".encode(), b"z", b"\xcc\x81", b"q"]) for _ in range(rnd.randint(1, 8)))
+        for i in range(len(data)):
+            fits = [k for k in pairs if data.startswith(k, i)]
+            best = max(fits, key=len, default=None)
+            assert m.longest(data, i) == (None if best is None else (len(best), pairs[best]))
+
+
+def test_normalisation_keeps_sources():
+    c = sentencepiece_codec.Codec(PIECES)
+    c.map = sentencepiece_codec.CharacterMap(compiled_map({"ﬁ".encode(): b"fi", "…".encode(): b"..."}))
+    c.trim = True
+    out, source = c.normalise("  ﬁn  a… ")
+    assert out.decode() == "▁fin▁a..." and source.tolist()[3:6] == [2, 2, 5] and source[-1] == len("  ﬁn  a… ".encode())
+
+
+# ------------------------------------------------------------------ token counts
+
+
+def greedy(word, starts, rest):
+    at, n, vocabulary = 0, 0, starts
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in vocabulary), None)
+        if end is None:
+            return 0
+        at, n, vocabulary = end, n + 1, rest
+    return n
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sets(st.text("abc", min_size=1, max_size=4), max_size=10), st.sets(st.text("abc", min_size=1, max_size=4), max_size=10), st.lists(st.text("abcd", min_size=1, max_size=12), min_size=1, max_size=20))
+def test_longest_match_is_greedy(starts, rest, words):
+    machine = token_count.LongestMatch(starts, rest)
+    for w in words:
+        assert machine.count(w) == greedy(w, starts, rest)
+
+
+def test_token_count_on_documents(spark, sf_dir, documents):
+    got = {r["doc_id"]: r for r in token_count.count_tokens(table(spark, sf_dir, "documents"), PIECES).collect()}
+    starts, rest = token_count.sentencepiece_vocabulary(PIECES)
+    for i, text in documents[:40]:
+        each = [greedy("▁" + w, starts, rest) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        assert (got[i]["n_words"], got[i]["n_tokens"], got[i]["n_unknown"]) == (len(each), sum(n or 1 for n in each), each.count(0))
+    assert token_count.automaton(PIECES).count("▁" + "a" * 200_000) > 0
+
+
+# ------------------------------------------------------------------ quality
+
+
+def brute_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, lines = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            lines += line in seen
+            seen.add(line)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    covered = {k + d for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for d in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), lines, len(covered)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab \n\t\x0c\x85#é<"), max_size=60) | TEXTS)
+def test_quality_counts(text):
+    assert quality.base_counts(text, WordCache(quality.word_hash))[0] == brute_counts(text)
+
+
+def test_quality_model_learns_and_spares_good_rows(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, quality.quality_model(docs, labels)).collect()}
+    good = [got[r["doc_id"]] for r in labels.where("quality = 1").collect()]
+    bad = [got[r["doc_id"]] for r in labels.where("quality = 0").collect()]
+    assert sum(r["kept"] or r["base_failed"] for r in good) >= 0.95 * len(good) and sum(not r["kept"] for r in bad) >= 0.7 * len(bad)
+    assert quality.quality_model(docs, labels.where("quality = 1")) is None
+    assert all(r["kept"] != r["base_failed"] for r in quality.quality_rules(docs, None).collect())
+
+
+# ------------------------------------------------------------------ licences
+
+
+def brute_base(text):
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    starts, labels = [], set()
+    for phrase, label in license_scan.BASE:
+        p = phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        starts += at
+        labels |= {label} if at else set()
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["CC", "cc", "BY", "by", "by.", "MIT", "License", "license", "apache", "GNU general", "public", "é", "_", " ", "\n", "-", "x1"]), max_size=25).map(" ".join) | TEXTS)
+def test_license_base(text):
+    assert license_scan.scan_text(text, license_scan.Index())[:5] == brute_base(text)
+
+
+def test_license_method():
+    index = license_scan.Index()
+    labels = lambda t: license_scan.scan_text(t, index)[5]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the “Software”), to deal in the Software without restriction"
+    assert labels("x " * 300 + mit) == "mit" and labels(mit.replace("free of charge", "for money")) == ""
+    assert labels("Licensed under CC BY-NC 4.0.") == "cc-by,cc-by-nc" and labels("GNU Affero General Public License") == ""
+    assert labels("Licensed under the Apache License, Version 2.0.") == "apache,apache-2.0"
+    assert license_scan.scan_text(None, index) == (0, 0, None, None, "", "", 0.0)
+
+
+# ------------------------------------------------------------------ languages
+
+
+def brute_viterbi(scores, switch):
+    n, k = scores.shape
+    best = scores[0].astype(float)
+    for row in scores[1:]:
+        best = np.maximum(best, best.max() - switch) + row
+    return best.max()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(-9, 0), min_size=3, max_size=3), min_size=1, max_size=40), st.integers(1, 30))
+def test_viterbi_is_optimal(rows, switch):
+    scores = np.array(rows, np.float32)
+    path = langid.viterbi(scores, float(switch))
+    value = scores[np.arange(len(path)), path].sum() - switch * (np.diff(path) != 0).sum()
+    assert value == pytest.approx(brute_viterbi(scores, switch))
+
+
+def test_language_held_out_accuracy_and_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(langid.learning_rows(docs))
+    rows = langid.identify(docs.withColumn("held_out", langid.held_out()), model, ["doc_id", "lang", "held_out"]).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert held and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+    by = {r["lang"]: r["text"].split() for r in docs.where("n_chars > 900").collect()}
+    labeller = langid.Labeller(model)
+    spans = labeller.spans(" ".join(by["en"][:60] + by["de"][:60] + by["fr"][:60]))
+    assert [s[2] for s in spans] == ["en", "de", "fr"] and all(abs(a - b) <= 3 for a, b in zip([s[1] for s in spans], [60, 120, 180]))
+    assert [labeller.label(t) for t in (None, "", "12 !?")] == [("und", 0.0)] * 3
+    assert langid.Labeller(langid.Model([], np.zeros((langid.SIZE, 0)))).label("word") == ("und", 0.0)
+
+
+def test_scripts():
+    pairs = {"a": "Latin", "ж": "Cyrillic", "λ": "Greek", "中": "Han", "か": "Kana", "한": "Hangul", "ع": "Arabic", "ש": "Hebrew", "ก": "Thai", "अ": "Devanagari"}
+    assert {c: langid.script_of(c) for c in pairs} == pairs
+
+
+# ------------------------------------------------------------------ token files
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXTS | st.sampled_from(["İstanbul, ok", "<|endoftext|>", "it's we'll", "don''t...", "ΣΑΣ σας", "Ḱ.", "ŉ!"]), min_size=1, max_size=4))
+def test_word_encoder_is_the_library(texts):
+    e = token_output.encoder(WORDS)
+    t = Tokenizer.from_file(WORDS)
+    t.encode_special_tokens = True
+    for text, ids in zip(texts, e.encode_many([x.encode() for x in texts])):
+        assert np.frombuffer(ids, "<i4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_round_trip(spark, sf_dir, documents, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    got = {r["doc_id"]: r for r in token_output.encode_and_read(table(spark, sf_dir, "documents"), WORDS, path=path).collect()}
+    t, start = Tokenizer.from_file(WORDS), 0
+    for i, text in sorted(documents):
+        ids = t.encode(text, add_special_tokens=False).ids + [1]
+        assert tuple(got[i]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    one = token_output.read_token_files(spark, path, [7])
+    assert [r["doc_id"] for r in one.collect()] == [7] and "PushedFilters: [" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digest_of_ids(spark, sf_dir, documents):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r["doc_id"]: r for r in sentencepiece_codec.codec_digest(table(spark, sf_dir, "documents"), PIECES).collect()}
+    for i, text in documents[:60]:
+        ids = sp.encode(text)
+        assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest() and got[i]["n_tokens"] == len(ids)
+    again = sentencepiece_codec.decode_pieces(sentencepiece_codec.encode_pieces(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    assert dict(again.collect()) == dict(documents)
