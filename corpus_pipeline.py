@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, langid, near_dedup, pii, sentencepiece_codec
 from lodestrata.llm.common import saved, shared_dir, table
@@ -23,11 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without a labelled row nothing can be learned, and only rows without a letter go.
     """
-    model = langid.train(langid.learning_rows(docs))
-    if not model.languages:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged = langid.identify(docs, model, docs.columns)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)).select(*docs.columns)
+    return langid.known_language(docs, langid.train(langid.learning_rows(docs)), MIN_LANGUAGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
