@@ -84,7 +84,8 @@ def _scan(spark: SparkSession, store: ObjectStore, state: StateStore, config: Co
     if d.mode == "pointer":
         first = plain.groupBy("bucket", "hash").agg(F.min(F.struct("object_key", "content_type")).alias("f")).select("bucket", "hash", "f.*")
         blobs = saved(actions.store_blobs(first, store, d.hash_algo, d.blob_prefix), folder, "stored")
-        joined = plain.join(blobs.withColumnRenamed("error", "blob_error"), ["bucket", "hash"])
+        # dealt anew by key: after the join all objects of a hot blob stand in a few partitions, and each costs calls
+        joined = plain.join(blobs.withColumnRenamed("error", "blob_error"), ["bucket", "hash"]).repartition(*KEY)
         finished = saved(actions.finish_objects(joined, store, d.blob_prefix, d.delete_originals), folder, "finished")
         errors = errors.unionByName(finished.where("error is not null").select(*KEY, "error"))
         done = finished.where("error is null and not changed")
