@@ -13,6 +13,7 @@ ids come first; an empty table writes files without rows and reads back as no ro
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
@@ -22,42 +23,99 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import WordCache, shared_dir, slices
+from lodestrata.llm.common import shared_dir, slices
 
 END_ID = 1
 STRIPE_BYTES = 64 << 20
 ROW_STRIDE = 1000
 BLOOM_FALSE_POSITIVES = 0.01
+#: Words that an encoder remembers.
+CACHE_WORDS = 1_200_000
+
+
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def byte_characters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: printable ones stand for
+    themselves, the others follow from U+0100 in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 class WordEncoder:
     """The tokenizers library's ids, word by word.
 
     The tokenizer splits at white space before anything can merge across it, so the ids of a text
-    are those of its words in turn; words met before come from a cache as little-endian bytes.
+    are those of its words in turn.  Words met before come from a cache as little-endian bytes.  A
+    new run of Latin letters is one unit of the tokenizer and goes to the library's model directly;
+    every other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.words = WordCache(self._word)
-        self.cores = WordCache(self._library)
-
-    def _library(self, word: bytes) -> bytes:
-        return np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<i4").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        # a run of letters and the full stops or commas behind it are split by the tokenizer as well
-        core = word.rstrip(b".,")
-        if len(core) > 0 and core.isascii() and core.isalpha():
-            head = self.cores[core.lower()]
-            return head + self.cores[word[len(core) :]] if len(core) < len(word) else head
-        return self.cores[word]
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode().split())) if text else b""
+        self.model = self.tokenizer.model
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.characters = dict(enumerate(byte_characters()))
+        #: Two generations of known words: what is met again moves to the young one and stays.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _library(self, words: list[bytes]) -> list[bytes]:
+        return [np.asarray(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _letters(self, unit: bytes) -> bytes:
+        known = self.young.get(unit) or self.old.get(unit)
+        if known is None:
+            text = unit.decode("ascii") if unit.isascii() else unit.decode().lower().encode().decode("latin-1").translate(self.characters)
+            packed = self.packed
+            known = b"".join([packed[t.id] for t in self.model.tokenize(text)])
+        return known
+
+    def _learn(self, words: list[bytes]) -> None:
+        # letters and the punctuation behind them are split by the tokenizer as well
+        cores = [w.rstrip(_PUNCTUATION) for w in words]
+        whole = [c.isalpha() or _plain(c) for c in cores]
+        heads = [c.lower() if ok else w for w, c, ok in zip(words, cores, whole)]
+        tails = [w[len(c) :] if ok else b"" for w, c, ok in zip(words, cores, whole)]
+        other = list({h for h, ok in zip(heads, whole) if not ok}.union(tails) - {b""})
+        unit = dict(zip(other, self._library(other)))
+        unit |= {h: self._letters(h) for h in {h for h, ok in zip(heads, whole) if ok}} | {b"": b""}
+        self.young.update(zip(words, [unit[h] + unit[t] for h, t in zip(heads, tails)]))
+
+    def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each UTF-8 text."""
+        if len(self.young) > CACHE_WORDS // 2:
+            self.old, self.young = self.young, {}
+        get, gaps, found = self.young.get, [], []
+        for text in texts:
+            words = text.split() if text else []
+            ids = list(map(get, words))
+            if None in ids:
+                gaps += [(ids, i, words[i]) for i, x in enumerate(ids) if x is None]
+            found.append(ids)
+        if gaps:
+            new = {w for _, _, w in gaps}
+            again = new & self.old.keys()
+            self.young.update(zip(again, map(self.old.__getitem__, again)))
+            if new := list(new - again):
+                self._learn(new)
+            for ids, i, word in gaps:
+                ids[i] = self.young[word]
+        return list(map(b"".join, found))
+
+
+def _plain(word: bytes) -> bool:
+    """Only letters below U+0250 that stay one letter in lower case: normalisation leaves them letters."""
+    if word.isascii():
+        return False  # not all letters, else the caller knew
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
 
 
 @lru_cache(maxsize=2)
@@ -72,9 +130,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
     end = np.array([end_id], "<i4").tobytes()
 
     def run(batches):
-        encode, seq = encoder(tokenizer_path).encode, 0
+        e, seq = encoder(tokenizer_path), 0
         for part in slices(batches):
-            each = [encode(x.as_py()) + end for x in part.column(1)]
+            each = [b + end for b in e.encode_many(part.column(1).cast(pa.binary()).to_pylist())]
             sizes = np.array([len(b) // 4 for b in each], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(each), "<i4"))).cast(pa.list_(pa.field("element", pa.int32(), False)))
@@ -106,8 +164,8 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for part in slices(batches):
             ids = part.column(3)
-            values, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
+            values, at = memoryview(ids.values.to_numpy()).cast("B"), ids.offsets.to_numpy()  # as they lie: 32 bits, little-endian
+            sums = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], names=kept.names)
 
     each = rows.mapInArrow(run, kept)
