@@ -26,13 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the session's spark.checkpoint.dir, visible to every executor.
 
-    Where the setting is absent (local tests) a folder under the system's temp dir is used
-    and recorded in the session.
+    Where the setting is absent (local tests) a folder under the system's temp dir is used.  The
+    tables in it stay until the caller clears the folder, as results are read from them.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'lodestrata-shared')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'lodestrata-shared')}"
     return f"{base.rstrip('/')}/lodestrata-{uuid.uuid4().hex}"
 
 
