@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,22 +14,18 @@ from lodestrata.schemas import KEY, POINTER_TYPE, UNCHANGED_ON
 def filter_scopes(listing: DataFrame, scopes: list[tuple[str, str]]) -> DataFrame:
     """Rows of each (bucket, prefix) scope, once per scope that holds them; adds the scope's columns.
 
-    Each scope is a startswith filter of its own, so prefixes are pushed to the scan.
+    One scan whatever the number of scopes: the union of their conditions is pushed to it, and a row
+    is multiplied only by the scopes that it is in.
     """
-    out = None
-    for bucket, prefix in scopes:
-        one = listing.where((F.col("bucket") == bucket) & F.col("object_key").startswith(prefix)).withColumns({"scope_bucket": F.lit(bucket), "scope_prefix": F.lit(prefix)})
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    if not scopes:
         raise ValueError("no scope")
-    return out
+    held = [F.when(in_scopes([(b, p)]), F.struct(F.lit(b).alias("scope_bucket"), F.lit(p).alias("scope_prefix"))) for b, p in scopes]
+    each = F.explode(F.array_compact(F.array(*held))).alias("__scope")
+    return listing.where(in_scopes(scopes)).select("*", each).select(*listing.columns, "__scope.scope_bucket", "__scope.scope_prefix")
 
 
 def in_scopes(scopes: list[tuple[str, str]], bucket: str = "bucket", key: str = "object_key") -> Column:
-    cond = F.lit(False)
-    for name, prefix in scopes:
-        cond = cond | ((F.col(bucket) == name) & F.col(key).startswith(prefix))
-    return cond
+    return reduce(or_, [(F.col(bucket) == name) & F.col(key).startswith(prefix) for name, prefix in scopes], F.lit(False))
 
 
 def outside_blob_prefix(prefix: str, key: str = "object_key") -> Column:
