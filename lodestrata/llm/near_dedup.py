@@ -169,46 +169,33 @@ BLOCK, BLOCK_SHINGLES, GROUP = 256, 1 << 20, 64
 
 
 def _buckets(reps: DataFrame, folder: str, p: Params) -> DataFrame:
-    """band, key, rep, head (its smallest member), of the buckets with at least two members."""
+    """band, key, rep, head (its smallest member) and size of the buckets with at least two members."""
     width = 4 * p.rows
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * width + 1}, {width})")).alias("key")) for i in range(p.bands)])
     bands = reps.select("rep", F.explode(keys).alias("k")).select("rep", "k.*")
-    shared = bands.groupBy("band", "key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last").drop("last")
-    return saved(bands.join(shared, ["band", "key"]).select("band", "key", "rep", "head").distinct(), folder, "buckets")
+    shared = bands.groupBy("band", "key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("size")).where("head <> last").drop("last")
+    return saved(bands.join(shared, ["band", "key"]).select("band", "key", "rep", "head", "size"), folder, "buckets")
 
 
-def _pruned(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
-    sig = reps.select("rep", "sig")
-    both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+def _star_links(buckets: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Links (u, v) between members and the smallest ones of their buckets.
 
-    def run(batches):
-        for part in slices(batches, 4096):
-            rows, _ = alike(_matrix(part.column(2), p.size), _matrix(part.column(3), p.size), p)
-            yield part.select(["a", "b"]).take(pa.array(rows))
-
-    return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold, as (u, v).
-
-    All partners of one b are dealt to groups of about GROUP texts, each of which holds b once.
+    All partners of one head are dealt to groups of about GROUP texts by the sizes of its buckets,
+    and each group holds the head once; so the head of a hot bucket is in many small groups.
     """
-    kind = pairs.schema["a"].dataType.simpleString()
-    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("n"))
-    dealt = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), "n").alias("g"))
-    left = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "g", "a", "text")
-    right = dealt.select("b", "g").distinct().join(texts.withColumnRenamed("id", "b"), "b").select(F.col("b").alias("head"), F.col("g").alias("part"), F.col("text").alias("head_text"))
+    kind = buckets.schema["rep"].dataType.simpleString()
+    pairs = buckets.where("rep <> head").groupBy(F.col("rep").alias("a"), F.col("head").alias("b")).agg(F.max("size").alias("n"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / GROUP)).alias("g"))
+    left = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "g", "a", "text", "sig")
+    right = dealt.select("b", "g").distinct().join(texts.withColumnRenamed("id", "b"), "b").select(F.col("b").alias("head"), F.col("g").alias("part"), F.col("text").alias("head_text"), F.col("sig").alias("head_sig"))
 
     def run(members: pa.Table, heads: pa.Table) -> pa.Table:
-        cache = word_cache()
-        sets = [shingle_set(t.as_py(), p.shingle, cache) for t in heads.column("head_text")]
-        hits = []
-        for row, t in enumerate(members.column("text")):
-            own = shingle_set(t.as_py(), p.shingle, cache)
-            if any(reaches(s, own, p.percent) for s in sets):
-                hits.append(row)
-        return members.select(["a", "b"]).take(pa.array(hits, pa.int64())).rename_columns(["u", "v"])
+        cache, sig, hits = word_cache(), _matrix(members.column("sig"), p.size), []
+        for text, own in zip(heads.column("head_text"), _matrix(heads.column("head_sig"), p.size)):
+            head = shingle_set(text.as_py(), p.shingle, cache)
+            rows, _ = alike(sig, np.broadcast_to(own, sig.shape), p)
+            hits += [x for x in rows.tolist() if reaches(head, shingle_set(members.column("text")[x].as_py(), p.shingle, cache), p.percent)]
+        return members.select(["a", "b"]).take(pa.array(sorted(set(hits)), pa.int64())).rename_columns(["u", "v"])
 
     return left.groupBy("b", "g").cogroup(right.groupBy("head", "part")).applyInArrow(run, f"u {kind}, v {kind}")
 
@@ -261,14 +248,14 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
-def _block_links(opened: DataFrame, reps: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+def _block_links(opened: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Links (u, v) between components of the open buckets.
 
     The members of a bucket's largest component need no comparison among themselves, so only the
     others are dealt against all, in blocks of about BLOCK by BLOCK.
     """
     on, kind = ["band", "key"], opened.schema["rep"].dataType.simpleString()
-    opened = opened.join(reps.select("rep", "n_shingles").groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
+    opened = opened.join(texts.groupBy(F.col("id").alias("rep")).agg(F.max("n_shingles").alias("n_shingles")), "rep")
     sizes = opened.groupBy(*on, "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     totals = sizes.groupBy(on).agg(F.max(F.struct("n", "comp", "s")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"))
     cut = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES))
@@ -281,7 +268,7 @@ def _block_links(opened: DataFrame, reps: DataFrame, texts: DataFrame, p: Params
     as_left = F.transform(F.filter(F.sequence(zero, F.col("cm") + F.col("co") - one), lambda x: (x < F.col("cm")) | (x - F.col("cm") >= F.col("c"))), lambda x: cell(F.col("c"), x, False))
     as_right = F.transform(F.sequence(zero, F.col("c")), lambda x: cell(x, F.col("cm") + F.col("c"), True))
     cells = F.when(F.col("is_main"), as_main).otherwise(F.concat(as_left, as_right))
-    full = rows.join(reps.select("rep", "sig"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+    full = rows.drop("n_shingles").join(texts.withColumnRenamed("id", "rep"), "rep")
     blocks = full.select(*on, "rep", "comp", "sig", "text", F.explode(cells).alias("cell")).select(*on, "cell.*", "rep", "comp", "sig", "text")
 
     def run(block: pa.Table) -> pa.Table:
@@ -305,12 +292,13 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     repeated = linkable.groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("id")
     tied = moved.join(repeated, "id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     buckets = _buckets(reps, folder, p)
-    texts = saved(source.join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), folder, "texts")
-    star = _pruned(buckets.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), reps, p)
-    stars = components(_verified(saved(star, folder, "star"), texts, p).union(tied), folder, "first")
+    # the texts of bucket members, each id once unless it repeats: the documents are shuffled this once
+    wanted = reps.join(buckets.select("rep").distinct(), "rep").select(F.col("rep").alias("id"), "n_shingles", "sig")
+    texts = saved(source.join(wanted, "id").dropDuplicates(["id", "text", "sig"]), folder, "texts")
+    stars = components(_star_links(buckets, texts, p).union(tied), folder, "first")
     opened = saved(_open_buckets(buckets, stars), folder, "open")
     if not opened.isEmpty():
-        stars = components(stars.union(_block_links(opened, reps, texts, p)), folder, "all")
+        stars = components(stars.union(_block_links(opened, texts, p)), folder, "all")
     sets = reps.select("set_key", "rep").join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("id", "n_shingles", "set_key").join(sets, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
