@@ -113,7 +113,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.logit(h, data) + self.shift, -30, 30))))
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 150) -> Model | None:
+def fit(rows: list[tuple[str, int]], rounds: int = 50, rate: float = 0.01) -> Model | None:
     """Full-batch Adam on four fifths of the rows, Platt scaling on the rest."""
     y = np.array([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
@@ -147,8 +147,8 @@ def fit(rows: list[tuple[str, int]], rounds: int = 150) -> Model | None:
         g, gb = np.bincount(slot, x * r[doc], len(w)) + 1e-5 * w, r.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.999**t
-        w -= 0.003 * (m / a) / (np.sqrt(v / c) + 1e-8)
-        b -= 0.003 * (mb / a) / (np.sqrt(vb / c) + 1e-8)
+        w -= rate * (m / a) / (np.sqrt(v / c) + 1e-8)
+        b -= rate * (mb / a) / (np.sqrt(vb / c) + 1e-8)
     z = b + np.bincount(doc, x * w[slot], len(y))
     held = ~fitted if (~fitted).any() else fitted
     # Platt's targets keep the slope finite where the classes are apart
