@@ -1,9 +1,10 @@
 """Licence scan with a positional index of rare words.
 
-Base phrases are found exactly.  The method adds labels of its own: each text's licence words of
-highest IDF (over the templates) are looked up in a positional index, their postings are intersected
-by relative position, and a template that enough of them agree on is verified by its mandatory key
-phrases near that place.
+Base phrases are found exactly.  The method adds labels of its own: each template's words of highest
+IDF (over the templates) are looked up in a positional index, their postings are intersected by
+relative position, and a template that enough of them agree on is verified by its mandatory key
+phrases near that place.  Each template has rare words of its own, as many as make the vote lossless:
+a template that stands in place with part COVER is always voted for, whatever else the text holds.
 
 Defined results: null and empty texts have no words, no place and no label; score is the largest
 part of a template found in place, at least 0.5 where a base phrase stands; ties between labels are
@@ -61,10 +62,8 @@ TEMPLATES = [
     Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
 ]
 
-#: Licence words of highest IDF that are looked up for a text.
-RARE_WORDS = 12
-#: Part of a template's looked-up words that must agree on one place, and of all its words for a label.
-AGREE, COVER = 0.5, 0.6
+#: Part of a template's words that must stand in place for a label.
+COVER = 0.6
 #: Words by which a key phrase may stand off its place.
 SLACK = 4
 
@@ -93,31 +92,39 @@ class Index:
         self.words = [t.text.encode().split() for t in templates]
         self.keys = [[(f" {k} ".encode(), _offset(t.text.split(), k.split())) for k in t.keys] for t in templates]
         self.needed = [frozenset(w for k in t.keys for w in k.encode().split()) for t in templates]
+        holders = Counter(w for ws in self.words for w in set(ws))
+        self.idf = {w: math.log(len(templates) / n) for w, n in holders.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.votes: list[int] = []  # of a template's looked-up places, those that agree at part COVER at least
         for i, ws in enumerate(self.words):
+            off = max(n for n in range(len(ws)) if (len(ws) - n) / len(ws) >= COVER)  # words that may be out of place
+            places = Counter(ws)
+            looked: set[bytes] = set()
+            for w in sorted(places, key=lambda w: (-self.idf[w], w)):
+                if sum(places[x] for x in looked) > off:
+                    break
+                looked.add(w)
+            self.votes.append(sum(places[x] for x in looked) - off)
             for p, w in enumerate(ws):
-                self.postings[w].append((i, p))
-        self.idf = {w: math.log(len(templates) / len({i for i, _ in at})) for w, at in self.postings.items()}
+                if w in looked:
+                    self.postings[w].append((i, p))
 
     def scan(self, words: list[bytes], joined: bytes) -> dict[str, float]:
         """label -> part of its best template found in place."""
-        there = self.postings.keys() & set(words)
+        there = self.idf.keys() & set(words)
         possible = {i for i, need in enumerate(self.needed) if need <= there}
         if not possible:
             return {}
-        rare = sorted((w for w in there if any(i in possible for i, _ in self.postings[w])), key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
-        rare = set(rare)
+        rare = {w: own for w in there & self.postings.keys() if (own := [x for x in self.postings[w] if x[0] in possible])}
         votes: Counter[tuple[int, int]] = Counter()
         for at, w in enumerate(words):
             if w in rare:
-                for i, p in self.postings[w]:
-                    if i in possible:
-                        votes[i, at - p] += 1
+                for i, p in rare[w]:
+                    votes[i, at - p] += 1
         found: dict[str, float] = {}
         stands: dict[bytes, list[int]] = {}
         for (i, start), n in votes.items():
-            looked = sum(w in rare for w in self.words[i])
-            if n < max(1, AGREE * looked):
+            if n < self.votes[i]:
                 continue
             own = self.words[i]
             part = sum(0 <= start + p < len(words) and words[start + p] == w for p, w in enumerate(own)) / len(own)

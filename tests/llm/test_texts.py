@@ -243,6 +243,33 @@ def test_license_method():
     assert license_scan.scan_text(None, index) == (0, 0, None, None, "", "", 0.0)
 
 
+def brute_labels(text):
+    """Each template at each place of the text."""
+    words = text.encode().split()
+    joined = b" " + b" ".join(words) + b" "
+    out = {}
+    for t in license_scan.TEMPLATES:
+        own = t.text.encode().split()
+        for start in range(-len(own), len(words)):
+            part = sum(0 <= start + p < len(words) and words[start + p] == w for p, w in enumerate(own)) / len(own)
+            near = lambda k: any(abs(x - start - license_scan._offset(t.text.split(), k.split())) <= license_scan.SLACK for x in license_scan.places(joined, f" {k} ".encode()))  # noqa: B023, E731
+            if part >= license_scan.COVER and all(map(near, t.keys)):
+                out[t.label] = max(out.get(t.label, 0), part)
+    return out
+
+
+def test_license_notices_do_not_displace_each_other():
+    index, notices = license_scan.Index(), [t.text for t in license_scan.TEMPLATES]
+    scanned = lambda t: index.scan(t.encode().split(), f" {' '.join(t.split())} ".encode())
+    assert scanned(" and ".join(notices)) == {t.label: 1.0 for t in license_scan.TEMPLATES}
+    rnd = random.Random(4)
+    for _ in range(60):
+        words = " x ".join(rnd.sample(notices, rnd.randint(1, 5))).split()
+        for _ in range(rnd.choice([0, 4, 12, 30])):
+            words[rnd.randrange(len(words))] = rnd.choice(["y", "license", "software", "4"])
+        assert scanned(" ".join(words)) == brute_labels(" ".join(words))
+
+
 # ------------------------------------------------------------------ languages
 
 
