@@ -10,11 +10,12 @@ Hosts with many pages are dealt to shards of about SHARD_PAGES pages, each with
 task holds a whole host; boilerplate stands on the pages of every shard.
 
 Defined results: null and empty pages give an empty text; a null url is a host of its own; equal
-pages count once when repeats are looked for; unclosed and stray tags are tolerated; nothing is cut.
+pages (by all their blocks) count once when repeats are looked for; unclosed and stray tags are tolerated; nothing is cut.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -194,11 +195,12 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, rank
 
 
-def repeated_cover(streams: list[list[str]], run: int = RUN_TOKENS, pages: int = RUN_PAGES) -> list[np.ndarray]:
+def repeated_cover(streams: list[list[str]], run: int = RUN_TOKENS, pages: int = RUN_PAGES, whole: list | None = None) -> list[np.ndarray]:
     """For each stream, which tokens lie in a run of at least `run` tokens that stands in at least
-    `pages` distinct streams; equal streams count once.  `run` is a power of two."""
-    first: dict[tuple, int] = {}
-    owner = [first.setdefault(tuple(s), i) for i, s in enumerate(streams)]
+    `pages` distinct pages.  Pages of equal `whole` are equal and count once; without it, those of
+    equal streams do.  `run` is a power of two."""
+    first: dict = {}
+    owner = [first.setdefault(w, i) for i, w in enumerate(map(tuple, streams) if whole is None else whole)]
     names: dict[str, int] = {}
     tokens, page, at = [], [], 0
     for i, s in enumerate(streams):
@@ -229,6 +231,14 @@ def repeated_cover(streams: list[list[str]], run: int = RUN_TOKENS, pages: int =
     return out
 
 
+def page_hash(found: list[tuple[int, str, bool]]) -> int:
+    """Of the whole page, its article included: equal for equal pages."""
+    seen = hashlib.blake2b(digest_size=8)
+    for z, text, _ in found:
+        seen.update(f"{z} {text}\n".encode())
+    return int.from_bytes(seen.digest(), "little", signed=True)
+
+
 def main_text(found: list[tuple[int, str, bool]], covers: list[np.ndarray] | None) -> str:
     """The article's blocks whole; without an article, what is uncovered of the best zone's blocks."""
     zone = max((z for z, _, _ in found), default=OTHER)
@@ -265,7 +275,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         found = [[(b["zone"], b["text"], b["links"]) for b in page.as_py() or []] for page in group.column("blocks")]
         streams = [[t for z, text, _ in page if z != ARTICLE for t in text.split(" ")] for page in found]
         texts = []
-        for page, cover in zip(found, repeated_cover(streams)):
+        for page, cover in zip(found, repeated_cover(streams, whole=[page_hash(page) for page in found])):
             at, covers = 0, []
             for z, text, _ in page:
                 size = text.count(" ") + 1 if z != ARTICLE else 0

@@ -239,6 +239,16 @@ def test_boilerplate_of_a_host_goes_and_unique_runs_stay(spark, monkeypatch):
     assert html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == 10
 
 
+def test_notices_around_different_articles_are_boilerplate(spark):
+    notice = "this site is run by the friends of the old town library"
+    rows = [(i, "http://a.example.com/", f"<div>{notice}</div><article><p>story {i}</p></article>") for i in range(5)]
+    rows.append((5, "http://a.example.com/", f"<div>{notice}</div><p>no article here</p>"))
+    rows += [(10 + i, "http://b.example.com/", f"<div>{notice}</div><article><p>one story</p></article>") for i in range(5)]  # equal pages
+    rows.append((15, "http://b.example.com/", f"<div>{notice}</div><p>no article here</p>"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "no article here" and got[15] == f"{notice}\n\nno article here" and got[0] == "story 0" and got[10] == "one story"
+
+
 def test_pages_keep_their_articles(spark, sf_dir):
     import html
 
