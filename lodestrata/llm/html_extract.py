@@ -7,7 +7,9 @@ article's own blocks are the text and keep every word, as repeated passages ther
 elements that are never text (menus, forms, scripts, comments of readers, ...) go in any case.
 
 Hosts with many pages are dealt to shards of about SHARD_PAGES pages, each with its own array, so no
-task holds a whole host; boilerplate stands on the pages of every shard.
+task holds a whole host.  Distinct pages are still counted over the whole host: the runs of all its
+pages are hashed and counted by host and run, and those that stand on RUN_PAGES pages are joined
+back to the shards, so the texts are those of one array over the host.
 
 Defined results: null and empty pages give an empty text; a null url is a host of its own; equal
 pages (by all their blocks) count once when repeats are looked for; unclosed and stray tags are tolerated; nothing is cut.
@@ -19,14 +21,15 @@ import hashlib
 import html
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import map_text
+from lodestrata.llm.common import WordCache, map_text, saved, shared_dir
 
 #: Pages that share one suffix array, about.
 SHARD_PAGES = 400
@@ -195,10 +198,32 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, rank
 
 
-def repeated_cover(streams: list[list[str]], run: int = RUN_TOKENS, pages: int = RUN_PAGES, whole: list | None = None) -> list[np.ndarray]:
+class RunHashes:
+    """64-bit hashes of the runs of a token stream, one for each place where a run starts."""
+
+    def __init__(self):
+        self.cache = WordCache(lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little"))
+
+    def __call__(self, tokens: list[str], run: int = RUN_TOKENS) -> np.ndarray:
+        n = len(tokens) - run + 1
+        if n <= 0:
+            return np.empty(0, np.int64)
+        each = np.fromiter((self.cache[t] for t in tokens), np.uint64, len(tokens))
+        out = np.zeros(n, np.uint64)
+        for j in range(run):
+            out = (out ^ out >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + each[j : j + n]
+        return out.view(np.int64)
+
+
+class Known(NamedTuple):
+    runs: np.ndarray
+    hashes: RunHashes
+
+
+def repeated_cover(streams: list[list[str]], run: int = RUN_TOKENS, pages: int = RUN_PAGES, whole: list | None = None, known: Known | None = None) -> list[np.ndarray]:
     """For each stream, which tokens lie in a run of at least `run` tokens that stands in at least
     `pages` distinct pages.  Pages of equal `whole` are equal and count once; without it, those of
-    equal streams do.  `run` is a power of two."""
+    equal streams do.  `known` are runs that stand in so many pages anyhow.  `run` is a power of two."""
     first: dict = {}
     owner = [first.setdefault(w, i) for i, w in enumerate(map(tuple, streams) if whole is None else whole)]
     names: dict[str, int] = {}
@@ -218,6 +243,13 @@ def repeated_cover(streams: list[list[str]], run: int = RUN_TOKENS, pages: int =
     pairs = np.unique(np.stack([grouped, page[order]], axis=1), axis=0)
     spread = np.bincount(pairs[:, 0], minlength=len(text))
     starts = spread[rank] >= pages
+    if known is not None:
+        begin = 0
+        for i, s in enumerate(streams):
+            size = len(s) if owner[i] == i else 0
+            hashes = known.hashes(s[:size], run)
+            starts[begin : begin + len(hashes)] |= np.isin(hashes, known.runs)
+            begin += size + 1
     edge = np.zeros(len(text) + run + 1, np.int64)
     edge[:-run][: len(text)] += starts
     edge[run : run + len(text)] -= starts
@@ -239,6 +271,11 @@ def page_hash(found: list[tuple[int, str, bool]]) -> int:
     return int.from_bytes(seen.digest(), "little", signed=True)
 
 
+def outside(found: list[tuple[int, str, bool]]) -> list[str]:
+    """The tokens of a page that are judged by their repeats: those of no article."""
+    return [t for z, text, _ in found if z != ARTICLE for t in text.split(" ")]
+
+
 def main_text(found: list[tuple[int, str, bool]], covers: list[np.ndarray] | None) -> str:
     """The article's blocks whole; without an article, what is uncovered of the best zone's blocks."""
     zone = max((z for z, _, _ in found), default=OTHER)
@@ -268,14 +305,17 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     big = source.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_PAGES)
     big = big.select("host", F.ceil(F.col("n") / SHARD_PAGES).alias("shards"))
     few = big.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    dealt = parsed.join(F.broadcast(big) if few else big, "host", "left").withColumn("shard", F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1))))
+    large = F.broadcast(big) if few else big
+    shard = F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1))).alias("shard")
+    repeated = _repeated_runs(source.join(large.select("host"), "host", "left_semi") if few else source, large, shard)
+    dealt = parsed.join(large, "host", "left").select("id", "url", "host", shard, "blocks")
     schema = T.StructType([parsed.schema["id"], parsed.schema["url"], *T.StructType.fromDDL("text string, n_chars bigint").fields])
 
-    def strip(group: pa.Table) -> pa.Table:
+    def strip(group: pa.Table, known: pa.Table) -> pa.Table:
         found = [[(b["zone"], b["text"], b["links"]) for b in page.as_py() or []] for page in group.column("blocks")]
-        streams = [[t for z, text, _ in page if z != ARTICLE for t in text.split(" ")] for page in found]
+        runs = Known(known.column("run").to_numpy(), RunHashes()) if known.num_rows else None
         texts = []
-        for page, cover in zip(found, repeated_cover(streams, whole=[page_hash(page) for page in found])):
+        for page, cover in zip(found, repeated_cover([outside(page) for page in found], whole=[page_hash(page) for page in found], known=runs)):
             at, covers = 0, []
             for z, text, _ in page:
                 size = text.count(" ") + 1 if z != ARTICLE else 0
@@ -284,5 +324,25 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             texts.append(main_text(page, covers))
         return pa.table([group.column("id"), group.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    out = dealt.select("id", "url", "host", "shard", "blocks").groupBy("host", "shard").applyInArrow(strip, schema)
+    out = dealt.groupBy("host", "shard").cogroup(repeated.groupBy("host", "shard")).applyInArrow(strip, schema)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+
+
+def _repeated_runs(source: DataFrame, large: DataFrame, shard: Column) -> DataFrame:
+    """host, shard, run: the runs of large hosts that stand on RUN_PAGES distinct pages of the host at
+    least, for each shard in which one stands on a page without an article."""
+
+    def factory():
+        hashes = RunHashes()
+
+        def work(page: str | None):
+            found = blocks(page) if page else []
+            return page_hash(found), all(z != ARTICLE for z, _, _ in found), np.unique(hashes(outside(found)))
+
+        return work
+
+    runs = map_text(source, ["id", "url", "host"], "html", factory, "page bigint, judged boolean, runs array<bigint>")
+    runs = runs.join(large, "host").select("host", shard, "page", "judged", F.explode("runs").alias("run"))
+    runs = saved(runs, shared_dir(source.sparkSession), "runs")
+    often = runs.groupBy("host", "run").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= RUN_PAGES)
+    return runs.where("judged").select("host", "shard", "run").distinct().join(often.select("host", "run"), ["host", "run"])

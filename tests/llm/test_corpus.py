@@ -249,6 +249,28 @@ def test_notices_around_different_articles_are_boilerplate(spark):
     assert got[5] == "no article here" and got[15] == f"{notice}\n\nno article here" and got[0] == "story 0" and got[10] == "one story"
 
 
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_shards_of_a_host_give_what_one_array_gives(spark, monkeypatch, broadcast):
+    rnd = random.Random(9)
+    notices = [" ".join(f"n{k}w{j}" for j in range(9 + k)) for k in range(12)]
+    rows = []
+    for i in range(160):  # notice k stands on about k pages, of the host's many shards
+        own = [f"<p>{n}</p>" for k, n in enumerate(notices) if rnd.random() < k / 160] + [f"<p>page {i} tells of u{i} alone</p>"]
+        rnd.shuffle(own)
+        body = "".join(own)
+        rows.append((i, f"http://{'big' if i < 150 else 'small'}.example.com/{i}", f"<div>{body}</div>" + (f"<article>story {i}</article>" if i % 3 == 0 else "")))
+    rows += [(200 + i, "http://big.example.com/copy", "<p>these words stand on many copies of one page only</p>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda: {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()}
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", 1000)
+    one = texts()
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", 10)
+    monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", broadcast)
+    assert texts() == one and one[200].startswith("these words")
+    left = {n for n in notices if any(n in t for t in one.values())}
+    assert 0 < len(left) < len(notices)
+
+
 def test_pages_keep_their_articles(spark, sf_dir):
     import html
 
