@@ -271,6 +271,26 @@ def test_shards_of_a_host_give_what_one_array_gives(spark, monkeypatch, broadcas
     assert 0 < len(left) < len(notices)
 
 
+def test_array_judges_pages_without_an_article(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", "</?article[^>]*>", ""))
+    got = {r["page_id"]: r["text"].split() for r in html_extract.extract_main_text(pages).collect()}
+    found, where = {}, {}
+    for r in pages.collect():
+        bs = html_extract.blocks(r["html"])
+        host = re.match("https?://([^/:]*)", r["url"]).group(1)
+        found[r["page_id"]] = host, [(t, links) for _, text, links in bs for t in text.split()]
+        assert bs and all(z == html_extract.OTHER for z, _, _ in bs)
+        words = [t for t, _ in found[r["page_id"]][1]]
+        for k in range(len(words) - 7):
+            where.setdefault((host, *words[k : k + 8]), set()).add(tuple(bs))
+    removed = 0
+    for i, (host, words) in found.items():
+        covered = {k + d for k in range(len(words) - 7) if len(where[(host, *[t for t, _ in words[k : k + 8]])]) >= 3 for d in range(8)}
+        assert got[i] == [t for k, (t, links) in enumerate(words) if k not in covered and not links]
+        removed += len(covered)
+    assert removed < 0.05 * sum(len(w) for _, w in found.values())
+
+
 def test_pages_keep_their_articles(spark, sf_dir):
     import html
 
