@@ -54,6 +54,11 @@ MARKS_ALWAYS = frozenset(
     "newsletter subscribe subscription cookie cookies consent gdpr notice popup modal overlay sidebar breadcrumb breadcrumbs pagination".split()
 )
 MARKS_OUTSIDE = MARKS_ALWAYS | frozenset("nav navbar navigation menu header footer masthead banner topbar toolbar search login signup widget widgets links copyright".split())
+#: Words that a class name may hold beside marks; a name with any other word is no mark.
+NEUTRAL = frozenset(
+    "area bar bottom box btn button buttons center container content div el element fixed form foot head icon icons inner inline item items label left "
+    "line link links list main menu message module outer page panel post right row section site slot small text thread title top unit wrap wrapper zone".split()
+)
 CLOSES_P = BLOCK - frozenset(["body", "html"])
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
@@ -75,7 +80,7 @@ def _left_out(name: str, attributes: str, in_article: bool) -> bool:
         value = (m.group(2) or m.group(3) or m.group(4) or "").lower()
         if key in ("class", "id"):
             marks = MARKS_ALWAYS if in_article or name in ("article", "main", "body", "html") else MARKS_OUTSIDE
-            if name not in ("body", "html") and any(x in marks for x in _PART.findall(value)):
+            if name not in ("body", "html") and any(_marked(x, marks) for x in value.split()):
                 return True
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
@@ -84,16 +89,40 @@ def _left_out(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _unmarked(attributes: str) -> str:
+    """The attributes without class and id."""
+    return _ATTRIBUTE.sub(lambda m: "" if m.group(1).lower() in ("class", "id") else m.group(), attributes)
+
+
+def _marked(name: str, marks: frozenset[str]) -> bool:
+    """Whether a class name is a mark, or made of marks, neutral words and numbers."""
+    parts = _PART.findall(name)
+    return any(x in marks for x in parts) and all(x in MARKS_OUTSIDE or x in NEUTRAL or x.isdigit() for x in parts)
+
+
 def _is_main(name: str, attributes: str) -> bool:
     return name == "main" or bool(attributes) and re.search(r"(?i)\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articlebody\b", attributes) is not None
 
 
 def blocks(page: str) -> list[tuple[int, str, bool]]:
-    """(zone, text, mostly links) of the visible blocks that are no menu, form, advert, ..."""
+    """(zone, text, mostly links) of the visible blocks that are no menu, form, advert, ...
+
+    Where nothing is left but an article lies in a marked element or form, that is a wrapper: the article
+    stays.  Beside other text an article in such an element is a comment or teaser."""
+    out, wrapped = _blocks(page, False)
+    if wrapped and not out:
+        out, _ = _blocks(page, True)
+    return out
+
+
+def _blocks(page: str, unwrap: bool) -> tuple[list[tuple[int, str, bool]], bool]:
+    """The blocks, and whether an article or main was left out for no element but wrappers around it."""
     out: list[tuple[int, str, bool]] = []
-    stack: list[tuple[str, int]] = []  # open elements, and what each turned on: 1 left out, 2 article, 4 main, 8 link
+    # open elements, and what each turned on: 1 left out, 2 article, 4 main, 8 link, 16 left out but may be a wrapper
+    stack: list[tuple[str, int]] = []
     opened: Counter[str] = Counter()
-    on = {1: 0, 2: 0, 4: 0, 8: 0}
+    on = {1: 0, 2: 0, 4: 0, 8: 0, 16: 0}
+    wrapped = False
     pieces: list[str] = []
     linked = 0
     at, n = 0, len(page)
@@ -118,7 +147,7 @@ def blocks(page: str) -> list[tuple[int, str, bool]]:
 
     def say(text: str):
         nonlocal linked
-        if text and not on[1]:
+        if text and not on[1] and (not on[16] or unwrap and (on[2] or on[4])):
             if "&" in text:
                 text = html.unescape(text)
             pieces.append(text)
@@ -148,7 +177,7 @@ def blocks(page: str) -> list[tuple[int, str, bool]]:
             at = end.end() if end else n
             continue
         if name == "br" or name in ("td", "th"):
-            if not on[1]:
+            if not on[1] and (not on[16] or unwrap and (on[2] or on[4])):
                 pieces.append(" ")
         if name in BLOCK:
             flush()
@@ -159,7 +188,10 @@ def blocks(page: str) -> list[tuple[int, str, bool]]:
         if name in VOID:
             continue
         bits = 1 * _left_out(name, attributes, on[2] > 0)
-        if not bits:
+        if bits and not on[2] and not on[4] and name not in ("article", "main") and not _left_out("div" if name == "form" else name, _unmarked(attributes), False):
+            bits = 16
+        elif not bits:
+            wrapped = wrapped or (name == "article" or name == "main") and on[16] > 0 and not on[1]
             bits = 2 * (name == "article") + 4 * _is_main(name, attributes) + 8 * (name == "a")
         stack.append((name, bits))
         opened[name] += 1
@@ -167,7 +199,7 @@ def blocks(page: str) -> list[tuple[int, str, bool]]:
             on[bit] += bool(bits & bit)
     say(page[at:])
     flush()
-    return out
+    return out, wrapped
 
 
 def _closes(stack: list[tuple[str, int]], name: str) -> bool:

@@ -209,6 +209,17 @@ def test_html_cases():
         text_of(junk)
 
 
+def test_wrappers_of_an_article_and_longer_class_names_stay():
+    assert text_of("<div class='layout with-sidebar'><p>out</p><article>in</article></div>") == "in"
+    assert text_of("<form><p>out</p><article><p>in</p><form>mail</form></article></form>") == "in"
+    assert text_of("<div id='sidebar'><div class='header'><main>in</main></div></div>") == "in"
+    assert text_of("<article>a<p class='share-price'>12 EUR<p class='share-buttons'>tweet</article>") == "a\n\n12 EUR"
+    assert text_of("<article>a</article><div class='comments'><article>me too</article></div>") == "a"
+    assert text_of("<div><p>a</div><div class='comments'><article>me too</article></div>") == "a"
+    assert text_of("<aside><article>teaser</article></aside><p>text") == "text" and text_of("<div class='ad' hidden><article>x</article></div><p>y") == "y"
+    assert text_of("<div class='sidebar'>x</div><p>y") == "y" and text_of("<div class='ad ad-300x250 top'>x</div><p>y") == "y"
+
+
 def test_suffix_array_cover():
     rnd = random.Random(4)
     for _ in range(40):
