@@ -73,6 +73,19 @@ def test_pii_method_kinds():
     assert kinds("her SSN is 123-45-6789") == [("ssn", "123-45-6789")] and kinds("part 123-45-6789") == [] and kinds("ssn 000-45-6789") == []
 
 
+def test_pii_ibans_of_all_countries():
+    examples = "TR330006100519786457841326 SA0380000000608010167519 AE070331234567890123456 BR1800360305000010009795493C1 HR1210010051863000160 BG80BNBG96611020345678 MT84MALT011000012345MTLCAST001S".split()
+    for x in examples:
+        assert pii.mod97(x) and ("iban", x) in [(s.kind, f"to {x} now"[s.start : s.end]) for s in pii.find_spans(f"to {x} now")]
+    for country, n in pii.IBAN_LENGTH.items():
+        rest = ("ABCD" + "1029384756" * 3)[: n - 4]
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{rest}{country}00")) % 97
+        x = f"{country}{check:02}{rest}"
+        grouped = " ".join(x[i : i + 4] for i in range(0, n, 4))
+        assert list(pii._ibans(f"to {x}, or")) == [(3, 3 + n, True)] and list(pii._ibans(f"to {grouped}, or")) == [(3, 3 + len(grouped), True)]
+        assert not any(sure for *_, sure in pii._ibans(f"to {x[:-1]}{(int(x[-1], 36) + 1) % 10}, or"))
+
+
 def test_pii_redaction_and_edges():
     assert pii.redact("mail a@b.co or 10.0.0.1.") == "mail [EMAIL] or [IP]."
     assert pii.redact(None) is None and pii.redact("") == "" and pii.find_spans(None) == []
