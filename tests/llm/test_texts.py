@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -327,13 +328,38 @@ def test_scripts():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(TEXTS | st.sampled_from(["İstanbul, ok", "<|endoftext|>", "it's we'll", "don''t...", "ΣΑΣ σας", "Ḱ.", "ŉ!"]), min_size=1, max_size=4))
+@given(st.lists(TEXTS | st.sampled_from(["İstanbul, ok", "<|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext|>,", "it's we'll", "×÷ȺɐŉǅKªº x\u0338.", "\x1c\xa0q", "don''t...", "ΣΑΣ σας", "Ḱ.", "ŉ!"]), min_size=1, max_size=4))
 def test_word_encoder_is_the_library(texts):
-    e = token_output.encoder(WORDS)
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    for text, ids in zip(texts, e.encode_many([x.encode() for x in texts])):
-        assert np.frombuffer(ids, "<i4").tolist() == t.encode(text, add_special_tokens=False).ids
+    bounds, ids = token_output.encoder(WORDS).encode(pa.array([None, *texts]), 1)
+    assert len(bounds) == len(texts) + 2
+    for text, a, b in zip(["", *texts], bounds[:-1], bounds[1:]):
+        assert ids[a:b].tolist() == t.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_word_encoder_forgets_and_falls_back(documents, monkeypatch):
+    """Small caches, and a vocabulary whose end marks say nothing."""
+    t, texts = Tokenizer.from_file(WORDS), [text for _, text in documents[:60]]
+    expected = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    monkeypatch.setattr(token_output, "CACHE_WORDS", 500)
+    for marks in (True, False):
+        e = token_output.WordEncoder(WORDS)
+        e.ends &= marks
+        for part in token_output.by_bytes([pa.RecordBatch.from_pydict({"t": texts})], 0, 20_000):
+            bounds, ids = e.encode(part.column(0))
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                assert ids[a:b].tolist() == expected.pop(0)
+        expected = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_token_files_of_equal_and_text_ids(spark, tmp_path):
+    docs = spark.createDataFrame([("b", "one two"), ("a", "three"), ("b", "four <|endoftext|>"), (None, None), ("b", "one two")], "doc_id string, text string").repartition(3)
+    path, t = f"file://{tmp_path}/tokens", Tokenizer.from_file(WORDS)
+    got = token_output.encode_and_read(docs, WORDS, path=path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, "a", "b", "b", "b"] and [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+    ids = lambda x: zlib.crc32(np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4").tobytes())
+    assert sorted(r["ids_crc32"] for r in got) == sorted(map(ids, ["", "three", "one two", "one two", "four <|endoftext|>"]))
+    assert token_output.read_token_files(spark, path, ["a"]).count() == 1
 
 
 def test_token_files_round_trip(spark, sf_dir, documents, tmp_path):
