@@ -6,11 +6,13 @@
    its members to its smallest one only; buckets that this leaves in one component are done.
 3. In the others, members of different components meet block by block.  A pair is compared on batches
    of its signatures, in the first band that it shares, and dropped once the posterior probability
-   that its similarity reaches the threshold is under `miss`; survivors are verified on the full sets
-   there, unless links found before have joined them.  A block returns a spanning forest of its links,
-   so what leaves it grows with its members, not with their pairs.
+   that its similarity reaches the threshold is under `miss`.  Texts move only for members of surviving
+   pairs, which are then verified on the full sets, unless links found before have joined them.  A block
+   returns a spanning forest of its links, so what leaves it grows with its members, not with their pairs.
 4. Components come from large-star and small-star rounds.  No step holds a bucket, a component or a
-   list of pairs in one task.
+   list of pairs in one task: what a group has in common (its head, its size) is aggregated with
+   map-side combining and joined back to its members over key and salt, so a hot group is dealt to
+   SALTS tasks, each of which the adaptive planner may split further.
 
 Defined results: null and empty texts have no shingle and are linked with nothing; a text with fewer
 words than a shingle is one shingle; rows with equal ids are one node (their sets are all compared
@@ -27,8 +29,9 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.llm.common import WordCache, map_text, saved, shared_dir, slices
 
@@ -105,7 +108,7 @@ def word_cache() -> WordCache:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """id, n_shingles, set_key (null without shingles), sig: little-endian 32-bit minima."""
+    """id, text_key (of the text), n_shingles, set_key (null without shingles), sig: little-endian 32-bit minima."""
     factors = p.factors
 
     def factory():
@@ -117,7 +120,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFr
 
         return work
 
-    return map_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], "text", factory, "n_shingles bigint, set_key binary, sig binary")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return map_text(source, ["id", "text_key"], "text", factory, "n_shingles bigint, set_key binary, sig binary")
 
 
 def _matrix(column, size: int) -> np.ndarray:
@@ -135,6 +139,27 @@ def alike(left: np.ndarray, right: np.ndarray, p: Params) -> tuple[np.ndarray, n
     return rows, equal
 
 
+# ------------------------------------------------------------------ hot groups
+
+#: Parts into which the members of a group are dealt (bits of a bigint).
+SALTS = 64
+
+
+def salted(rows: DataFrame, member: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int"))
+
+
+def salts_seen() -> Column:
+    """An aggregate: the salts of a group's members, as a bitmap."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def spread(groups: DataFrame) -> DataFrame:
+    """One row for each salt that a group's members have, so no more rows than members."""
+    there = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda x: F.getbit("salts", x) == 1)
+    return groups.withColumn("salt", F.explode(there)).drop("salts")
+
+
 # ------------------------------------------------------------------ connected components
 
 
@@ -152,11 +177,13 @@ def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
     edges, step = saved(edges, folder, f"{tag}-0"), 0
     while not _is_stars(edges):
         step += 1
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        both = salted(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "v")
+        larger = F.col("v") > F.col("u")  # only these move, so only their salts are wanted
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.bit_or(F.when(larger, F.expr("shiftleft(1L, salt)")).otherwise(F.lit(0).cast("long"))).alias("salts"))
+        large = both.where(larger).join(spread(least), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted(large, "v")
+        least = spread(large.groupBy("u").agg(F.min("v").alias("m"), salts_seen()))
+        small = large.join(least, ["u", "salt"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = saved(small, folder, f"{tag}-{step}")
     return edges
 
@@ -169,12 +196,12 @@ BLOCK, BLOCK_SHINGLES, GROUP = 256, 1 << 20, 64
 
 
 def _buckets(reps: DataFrame, folder: str, p: Params) -> DataFrame:
-    """band, key, rep, head (its smallest member) and size of the buckets with at least two members."""
+    """band, key, salt, rep, head (its smallest member) and size of the buckets with at least two members."""
     width = 4 * p.rows
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * width + 1}, {width})")).alias("key")) for i in range(p.bands)])
-    bands = reps.select("rep", F.explode(keys).alias("k")).select("rep", "k.*")
-    shared = bands.groupBy("band", "key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("size")).where("head <> last").drop("last")
-    return saved(bands.join(shared, ["band", "key"]).select("band", "key", "rep", "head", "size"), folder, "buckets")
+    bands = salted(reps.select("rep", F.explode(keys).alias("k")).select("rep", "k.*"), "rep")
+    shared = bands.groupBy("band", "key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("size"), salts_seen()).where("head <> last").drop("last")
+    return saved(bands.join(spread(shared), ["band", "key", "salt"]).select("band", "key", "salt", "rep", "head", "size"), folder, "buckets")
 
 
 def _star_links(buckets: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -201,20 +228,42 @@ def _star_links(buckets: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
 
 def _open_buckets(buckets: DataFrame, stars: DataFrame) -> DataFrame:
-    """band, key, rep, comp of the buckets whose members are in several components.
+    """band, key, salt, rep, comp of the buckets whose members are in several components.
 
     Of buckets with equal members only the one of the first band stays.
     """
     on = ["band", "key"]
-    placed = buckets.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select(*on, "rep", F.coalesce("comp", "rep").alias("comp"))
+    placed = buckets.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select(*on, "salt", "rep", F.coalesce("comp", "rep").alias("comp"))
     several = (
-        placed.groupBy(on).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("lo <> hi")
-        .groupBy("n", "same").agg(F.min(F.struct(*on)).alias("first")).select("first.*")
+        placed.groupBy(on).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same"), salts_seen()).where("lo <> hi")
+        .groupBy("n", "same").agg(F.min(F.struct(*on, "salts")).alias("first")).select("first.*")
     )
-    return placed.join(several, on)
+    return placed.join(spread(several), [*on, "salt"])
+
+
+def survivors(x: int, label: np.ndarray, right: np.ndarray, sig: np.ndarray, band: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The right rows that row x may be linked to, and their equal hashes: not of its component, not
+    pruned by their signatures, and without an earlier band in common, as such pairs meet there."""
+    y = right[label[right] != label[x]]
+    rows, equal = alike(np.broadcast_to(sig[x], (len(y), p.size)), sig[y], p)
+    y, earlier = y[rows], band * p.rows
+    if earlier:
+        y, equal = (z[~(sig[y, :earlier] == sig[x, :earlier]).reshape(len(y), band, p.rows).all(axis=2).any(axis=1)] for z in (y, equal))
+    return y, equal
+
+
+def involved(comp: np.ndarray, right: np.ndarray, sig: np.ndarray, band: int, p: Params) -> np.ndarray:
+    """Which rows of a block are in a surviving pair."""
+    label, out = np.unique(comp, return_inverse=True)[1], np.zeros(len(comp), bool)
+    other = np.flatnonzero(right)
+    for x in np.flatnonzero(~right).tolist():
+        y, _ = survivors(x, label, other, sig, band, p)
+        out[x] = len(y) > 0
+        out[y] = True
+    return out
 
 
-def join_block(rep: np.ndarray, comp: np.ndarray, right: np.ndarray, sig: np.ndarray, texts: list[str], band: int, p: Params) -> list[tuple[int, int]]:
+def join_block(comp: np.ndarray, right: np.ndarray, sig: np.ndarray, texts: list[str], band: int, p: Params) -> list[tuple[int, int]]:
     """A spanning forest of the verified links between the left and the right side of a block."""
     left, right = np.flatnonzero(~right), np.flatnonzero(right)
     label, sets, cache = np.unique(comp, return_inverse=True)[1], {}, word_cache()
@@ -224,13 +273,9 @@ def join_block(rep: np.ndarray, comp: np.ndarray, right: np.ndarray, sig: np.nda
             sets[i] = shingle_set(texts[i], p.shingle, cache)
         return sets[i]
 
-    out, earlier = [], band * p.rows
+    out = []
     for x in left.tolist():
-        y = right[label[right] != label[x]]
-        rows, equal = alike(np.broadcast_to(sig[x], (len(y), p.size)), sig[y], p)
-        y = y[rows]
-        if earlier:  # pairs that share an earlier band meet there
-            y, equal = (z[~(sig[y, :earlier] == sig[x, :earlier]).reshape(len(y), band, p.rows).all(axis=2).any(axis=1)] for z in (y, equal))
+        y, equal = survivors(x, label, right, sig, band, p)
         for z in y[np.argsort(-equal, kind="stable")].tolist():
             if label[x] != label[z] and reaches(shingles(x), shingles(z), p.percent):
                 out.append((x, z))
@@ -256,11 +301,11 @@ def _block_links(opened: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """
     on, kind = ["band", "key"], opened.schema["rep"].dataType.simpleString()
     opened = opened.join(texts.groupBy(F.col("id").alias("rep")).agg(F.max("n_shingles").alias("n_shingles")), "rep")
-    sizes = opened.groupBy(*on, "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    totals = sizes.groupBy(on).agg(F.max(F.struct("n", "comp", "s")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    sizes = opened.groupBy(*on, "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), salts_seen())
+    totals = sizes.groupBy(on).agg(F.max(F.struct("n", "comp", "s")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_or("salts").alias("salts"))
     cut = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES))
-    counts = totals.select(*on, F.col("m.comp").alias("main"), cut(F.col("m.n"), F.col("m.s")).alias("cm"), cut(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("co"))
-    rows = opened.join(counts, on).withColumn("is_main", F.col("comp") == F.col("main"))
+    counts = totals.select(*on, "salts", F.col("m.comp").alias("main"), cut(F.col("m.n"), F.col("m.s")).alias("cm"), cut(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("co"))
+    rows = opened.join(spread(counts), [*on, "salt"]).withColumn("is_main", F.col("comp") == F.col("main"))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("rep", "key"), F.when(F.col("is_main"), F.col("cm")).otherwise(F.col("co"))))
     cell = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("right"))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -268,15 +313,26 @@ def _block_links(opened: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     as_left = F.transform(F.filter(F.sequence(zero, F.col("cm") + F.col("co") - one), lambda x: (x < F.col("cm")) | (x - F.col("cm") >= F.col("c"))), lambda x: cell(F.col("c"), x, False))
     as_right = F.transform(F.sequence(zero, F.col("c")), lambda x: cell(x, F.col("cm") + F.col("c"), True))
     cells = F.when(F.col("is_main"), as_main).otherwise(F.concat(as_left, as_right))
-    full = rows.drop("n_shingles").join(texts.withColumnRenamed("id", "rep"), "rep")
-    blocks = full.select(*on, "rep", "comp", "sig", "text", F.explode(cells).alias("cell")).select(*on, "cell.*", "rep", "comp", "sig", "text")
+    place = [*on, "i", "j", "right", "rep", "comp"]
+    signed = rows.select(*on, "rep", "comp", cells.alias("cells")).join(texts.select(F.col("id").alias("rep"), "sig").distinct(), "rep")
+    blocks = signed.select(*on, "rep", "comp", "sig", F.explode("cells").alias("cell")).select(*on, "cell.*", "rep", "comp", "sig")
+
+    def sides(block: pa.Table) -> tuple:
+        return block.column("comp").to_numpy(), np.array(block.column("right").to_pylist(), bool), _matrix(block.column("sig"), p.size), block.column("band")[0].as_py()
+
+    def prune(block: pa.Table) -> pa.Table:
+        comp, right, sig, band = sides(block)
+        return block.filter(pa.array(involved(comp, right, sig, band, p))).select(place)
 
-    def run(block: pa.Table) -> pa.Table:
-        rep = block.column("rep").to_numpy()
-        links = join_block(rep, block.column("comp").to_numpy(), np.array(block.column("right").to_pylist(), bool), _matrix(block.column("sig"), p.size), block.column("text").to_pylist(), block.column("band")[0].as_py(), p)
-        return pa.table({"u": pa.array([rep[x] for x, _ in links], block.schema.field("rep").type), "v": pa.array([rep[y] for _, y in links], block.schema.field("rep").type)})
+    def verify(block: pa.Table) -> pa.Table:
+        comp, right, sig, band = sides(block)
+        links, rep = join_block(comp, right, sig, block.column("text").to_pylist(), band, p), block.column("rep")
+        return pa.table({"u": rep.take(pa.array([x for x, _ in links], pa.int64())), "v": rep.take(pa.array([y for _, y in links], pa.int64()))})
 
-    return blocks.groupBy(*on, "i", "j").applyInArrow(run, f"u {kind}, v {kind}")
+    kept = T.StructType([blocks.schema[name] for name in place])
+    pairs = blocks.groupBy(*on, "i", "j").applyInArrow(prune, kept).distinct()
+    full = pairs.join(texts.select(F.col("id").alias("rep"), "sig", "text"), "rep")
+    return full.groupBy(*on, "i", "j").applyInArrow(verify, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,27 +341,33 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     folder = shared_dir(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = saved(signatures(source, "id", "text", p), folder, "signatures")
-    linkable = signed.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
-    reps = saved(linkable.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), folder, "sets")
+    linkable = salted(signed.where(F.col("set_key").isNotNull() & F.col("id").isNotNull()), "id")
+    reps = saved(linkable.groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), salts_seen()).select("set_key", F.col("r.id").alias("rep"), "r.text_key", "n_shingles", "sig", "salts"), folder, "sets")
     # ids that repeat with other texts: the id is one node, so its sets meet in the smallest of their representatives
-    moved = linkable.join(reps.select("set_key", "rep"), "set_key").where("id <> rep").select("id", "set_key", "rep")
     repeated = linkable.groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("id")
-    tied = moved.join(repeated, "id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    moved = linkable.select("id", "set_key").join(repeated, "id").join(reps.select("set_key", "rep"), "set_key")
+    tied = moved.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     buckets = _buckets(reps, folder, p)
-    # the texts of bucket members, each id once unless it repeats: the documents are shuffled this once
-    wanted = reps.join(buckets.select("rep").distinct(), "rep").select(F.col("rep").alias("id"), "n_shingles", "sig")
-    texts = saved(source.join(wanted, "id").dropDuplicates(["id", "text", "sig"]), folder, "texts")
+    # the texts of bucket members, one for each set: the documents are shuffled this once
+    wanted = reps.join(buckets.select("rep").distinct(), "rep").select(F.col("rep").alias("id"), "text_key", "n_shingles", "sig")
+    texts = saved(source.withColumn("text_key", F.xxhash64("text")).join(wanted, ["id", "text_key"]).dropDuplicates(["id", "text_key"]).drop("text_key"), folder, "texts")
     stars = components(_star_links(buckets, texts, p).union(tied), folder, "first")
     opened = saved(_open_buckets(buckets, stars), folder, "open")
     if not opened.isEmpty():
         stars = components(stars.union(_block_links(opened, texts, p)), folder, "all")
-    sets = reps.select("set_key", "rep").join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("id", "n_shingles", "set_key").join(sets, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+    sets = reps.select("set_key", "rep", "salts").join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("set_key", "salts", F.coalesce("comp", "rep").alias("comp"))
+    linked = linkable.select("id", "n_shingles", "set_key", "salt").join(spread(sets), ["set_key", "salt"]).select("id", "n_shingles", "comp")
+    alone = signed.where(F.col("set_key").isNull() | F.col("id").isNull()).select("id", "n_shingles", F.col("id").alias("comp"))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", F.col("comp").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("comp"))).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component."""
-    gone = near_duplicates(docs, params, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of `docs` whose id is the smallest of its component; of equal rows of one id and text one stays."""
+    found = near_duplicates(docs, params, id_col, text_col)
+    gone = found.where("not kept").select(F.col(id_col).alias("__gone")).distinct()
+    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    again = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again")
+    if again.isEmpty():
+        return kept
+    on = kept[id_col] == again["__again"]
+    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates([id_col, text_col]))
