@@ -1,22 +1,25 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts and benchmark items are compared as word sequences (lower case, without punctuation).  Every
-item-sized window of a document is put through the CGK random walk, which turns edit distance into
+Texts and benchmark items are compared as word sequences (lower case, without punctuation; in scripts
+that are written without spaces, every character is a word).  Every item-sized window of a document is put through the CGK random walk, which turns edit distance into
 Hamming distance; several samples of positions of several walks are looked up in the items' tables,
-and what collides is verified by exact word-level edit distance (free ends, bit-parallel).  Windows
+and what collides is verified by exact word-level edit distance (free ends, bit-parallel).  How many
+samples are taken follows from the length of the item, the edits allowed and RECALL.  Windows
 that share fewer 3-word runs with the items than an item within the distance must share are skipped
 before they are embedded: the count filter loses nothing.
 
-Defined results: null and empty texts and items match nothing; an item of fewer than MIN_WORDS words
-is no evidence and matches nothing; items under EXACT_BELOW words must match without an edit; one row
-per document and item however often it occurs; repeated rows give repeated results, repeated items
+Defined results: null texts and items, and those without a word, match nothing; items under
+EXACT_BELOW words must match without an edit, and items under `min_words` (1: none) are left out; one
+row per document and item however often it occurs; repeated rows give repeated results, repeated items
 one; ties between places go to the first; texts are read whole.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,13 @@ from lodestrata.llm.common import WordCache, slices
 
 #: Edits allowed, as a part of an item's words.
 EDITS = 0.2
-MIN_WORDS, EXACT_BELOW = 5, 8
-#: Walks, position samples of each walk, and positions in a sample.
-WALKS, SAMPLES, POSITIONS = 4, 16, 3
+EXACT_BELOW = 8
+#: Part of the items with as many edits as are allowed that the samples of the window at their start find; its neighbours find more.
+RECALL = 0.97
+#: Walks, and positions in a sample.  A walk takes LEAST_SAMPLES samples, and twice as many as long as RECALL asks for it.
+WALKS, POSITIONS, LEAST_SAMPLES, MOST_SAMPLES = 4, 3, 16, 4096
+#: Pairs that are simulated to find the number of samples.
+SIMULATED = 120
 #: Words of items that are broadcast at once; larger benchmarks go through in blocks of this size.
 BLOCK_WORDS = 2_000_000
 
@@ -41,8 +48,15 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _END = np.uint64(1)
 
 
+# scripts without spaces between words: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han
+_UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+
+
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode().translate(_KEEP).split()
+    text = text.lower()
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", text)
+    return text.encode().translate(_KEEP).split()
 
 
 def hashes(words: list[bytes], cache: WordCache) -> np.ndarray:
@@ -80,24 +94,55 @@ def embed(windows: np.ndarray, walk: int, positions: np.ndarray) -> np.ndarray:
     return out
 
 
+def alike(n: int) -> np.ndarray:
+    """Simulated pairs of an item of n words and its window with all edits allowed: part of equal
+    symbols in the sampled stretch, pairs x walks."""
+    rng, k = np.random.default_rng(n), allowed(n)
+    items = rng.integers(2, 1 << 63, (SIMULATED, n), dtype=np.uint64)
+    windows = []
+    for row in items:
+        cut = row.tolist()
+        for at, kind in zip(rng.integers(0, n, k).tolist(), rng.integers(0, 3, k).tolist()):
+            at = min(at, len(cut))
+            cut[at : at + (kind > 0)] = rng.integers(2, 1 << 63, int(kind < 2), dtype=np.uint64).tolist()
+        windows.append([*cut, *rng.integers(2, 1 << 63, n, dtype=np.uint64).tolist()][:n])
+    both, own = np.concatenate([items, np.array(windows, np.uint64)]), np.arange(2 * n)
+    found = [embed(both, walk, own) for walk in range(WALKS)]
+    return np.stack([(x[:SIMULATED] == x[SIMULATED:]).mean(axis=1) for x in found], axis=1)
+
+
+@lru_cache(maxsize=4096)
+def samples(n: int) -> int:
+    """Samples of each walk for items of n words: enough for RECALL, by simulation at a length near n."""
+    if not allowed(n):
+        return LEAST_SAMPLES  # equal windows agree in every sample
+    step = 1 << max(0, n.bit_length() - 3)
+    if n % step:
+        return samples(n + step - n % step)
+    hit, each = alike(n) ** POSITIONS, LEAST_SAMPLES
+    while each < MOST_SAMPLES and ((1 - hit) ** each).prod(axis=1).mean() > 1 - RECALL:
+        each *= 2
+    return each
+
+
 def sampled(n: int, walk: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions that some sample of the walk needs, and for each sample where its own are among them.
 
     Samples lie in the first two thirds of a walk: the last part mostly repeats the end mark.
     """
-    rng = np.random.default_rng(7919 * n + walk)
-    own = np.stack([rng.choice(2 * n, POSITIONS, replace=False) for _ in range(SAMPLES)])
+    rng, each = np.random.default_rng(7919 * n + walk), samples(n)
+    own = np.argsort(rng.random((each, 2 * n)), axis=1)[:, :POSITIONS] if n > 1 else np.tile(np.arange(2), (each, 1))
     wanted = np.unique(own)
     return wanted, np.searchsorted(wanted, own)
 
 
 def codes(windows: np.ndarray, walk: int) -> np.ndarray:
-    """rows x SAMPLES hashes of the sampled symbols."""
+    """rows x samples hashes of the sampled symbols."""
     wanted, own = sampled(windows.shape[1], walk)
-    symbols = embed(windows, walk, wanted)[:, own]  # rows x SAMPLES x POSITIONS
-    out = np.arange(1, SAMPLES + 1, dtype=np.uint64)[None, :] + np.uint64(SAMPLES * walk)
-    for i in range(POSITIONS):
-        out = (out ^ symbols[:, :, i]) * _M1
+    symbols = embed(windows, walk, wanted)
+    out = np.arange(1, len(own) + 1, dtype=np.uint64)[None, :] + np.uint64(MOST_SAMPLES * walk)
+    for i in range(own.shape[1]):
+        out = (out ^ symbols[:, own[:, i]]) * _M1
         out ^= out >> np.uint64(29)
     return out
 
@@ -127,7 +172,7 @@ def edit_search(pattern: list, text: list) -> tuple[int, int]:
 
 @dataclass
 class Items:
-    """Searchable items: (id, word hashes) with at least MIN_WORDS words."""
+    """Searchable items: ids and word hashes, at least one each."""
 
     ids: list
     words: list[np.ndarray]
@@ -159,16 +204,22 @@ class Items:
             for walk in range(WALKS):
                 found = codes(rows, walk)
                 order = np.argsort(found, axis=None, kind="stable")
-                out[n].append((found.ravel()[order], np.repeat(members, SAMPLES)[order]))
+                out[n].append((found.ravel()[order], np.repeat(members, found.shape[1])[order]))
         return out
 
+    @cached_property
+    def _short(self) -> dict[int, np.ndarray]:
+        """First words of the items that have no 3-word run, by length."""
+        return {n: np.unique([w[0] for w in self.words if len(w) == n]) for n in {len(w) for w in self.words} if n < 3}
+
     def starts(self, h: np.ndarray):
         """(length, starts) of the windows that share enough runs with the items of that length.
 
         A start may lie before the text by the edits allowed, and a window may hang over its end.
         """
-        if len(h) < MIN_WORDS or not self.words:
-            return
+        for n, firsts in self._short.items():
+            if len(starts := np.flatnonzero(np.isin(h[: max(0, len(h) - n + 1)], firsts))):
+                yield n, starts
         r = runs(h)
         at = np.flatnonzero(self.marks[(r >> np.uint64(44)).astype(np.int64)])
         if not len(at):
@@ -199,7 +250,7 @@ class Items:
             k = allowed(n)
             padded = np.concatenate([np.full(k, _END), h, np.full(k, _END)])
             view = np.lib.stride_tricks.sliding_window_view(padded, n)
-            for part in np.array_split(starts, 1 + len(starts) * n // 500_000):
+            for part in np.array_split(starts, 1 + len(starts) * max(n, samples(n)) // 500_000):
                 for walk, (known, item) in enumerate(self.tables[n]):
                     found = codes(view[part + k], walk)
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -231,31 +282,35 @@ class Items:
         return [(i, edits, n, end) for i, (edits, end, n) in sorted(found.items())]
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str) -> list[Items]:
-    """The items in blocks whose words are bounded by BLOCK_WORDS, about."""
-    rows = items.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] // 4
-    n = 1 + int(total) // BLOCK_WORDS
-    out = []
-    for block in range(n):
-        cache, ids, words = WordCache(xxhash.xxh3_64_intdigest), [], []
-        for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == block).orderBy("i", "t").collect():
-            w = words_of(r["t"])
-            if len(w) >= MIN_WORDS:
-                ids.append(r["i"])
-                words.append(hashes(w, cache))
-        out.append(Items(ids, words))
-    return out
-
+def item_blocks(items: DataFrame, item_col: str, text_col: str, min_words: int = 1) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, words) of the items, in blocks that end as soon as they have BLOCK_WORDS words.
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    The items are read once, partition by partition, and the driver holds one block at a time; without
+    an item there is one empty block.
+    """
+    rows = items.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    cache, ids, words, held, blocks = WordCache(xxhash.xxh3_64_intdigest), [], [], 0, 0
+    for r in rows.toLocalIterator():
+        w = words_of(r["t"])
+        if len(w) >= max(1, min_words):
+            ids.append(r["i"])
+            words.append(hashes(w, cache))
+            held += len(w)
+        if held >= BLOCK_WORDS:
+            yield ids, words
+            ids, words, held, blocks = [], [], 0, blocks + 1
+    if ids or not blocks:
+        yield ids, words
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 1) -> DataFrame:
     """One row per document and benchmark item found in it: ids, edits, n_item_words, end_word."""
     source = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
     item = T.StructField("item_id", items.schema[item_col].dataType)
     schema = T.StructType([source.schema[0], item, *T.StructType.fromDDL("edits bigint, n_item_words bigint, end_word bigint").fields])
     out = None
-    for block in item_blocks(items, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.words))
+    for block in item_blocks(items, item_col, item_text, min_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             from pyspark.sql.pandas.types import to_arrow_type
@@ -277,11 +332,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 1) -> DataFrame:
     """The rows of `docs` in which no item is found; all columns stay."""
     out = docs
-    for block in item_blocks(items, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.words))
+    for block in item_blocks(items, item_col, item_text, min_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
         place = docs.columns.index(text_col)
 
         def run(batches, shared=shared, place=place):
