@@ -1,13 +1,17 @@
 """Personal data: patterns propose spans, checksums confirm them, context words move the score.
 
 Defined results: null and empty texts have no span; repeated rows are treated one by one; spans of
-one kind never overlap; a span that a method kind proposes over a base span is dropped.  All
-patterns run in time linear in the text, so very long texts need no cut.
+one kind never overlap; a span that a method kind proposes over a base span is dropped.  Patterns and
+the comparison of spans take time linear in the text, so very long texts need no cut.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from bisect import bisect_left
+from collections import Counter
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import map_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "token")
 RANK = {k: i for i, k in enumerate(KINDS)}
 
 #: A method span is kept from this score on.
@@ -43,11 +47,16 @@ CONTEXT = {
     "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|telefon|teléfono|téléphone)\b"),
     "iban": re.compile(r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social security|tax id)\b"),
+    "token": re.compile(r"(?i)(?:\b|_)(?:token|secret|password|passwd|pwd|credentials?|bearer|api[ _-]?key|access[ _-]?key|private[ _-]?key)(?:\b|_)"),
 }
+#: Bits per character that a secret token has at least.
+TOKEN_BITS = 3.0
 #: Score of a proposal before and after its validator has confirmed it.
-PRIOR = {"email": 0.6, "ip": 0.4, "card": 0.3, "phone": 0.4, "iban": 0.2, "ssn": 0.2}
-CONFIRMED = {"email": 0.2, "ip": 0.2, "card": 0.5, "phone": 0.2, "iban": 0.6, "ssn": 0.0}
+PRIOR = {"email": 0.6, "ip": 0.4, "card": 0.3, "phone": 0.4, "iban": 0.2, "ssn": 0.2, "token": 0.1}
+CONFIRMED = {"email": 0.2, "ip": 0.2, "card": 0.5, "phone": 0.2, "iban": 0.6, "ssn": 0.0, "token": 0.1}
 NEAR = 0.35
+#: What a token's own prefix or checksum adds.
+SIGNED = 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -57,6 +66,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{16,}+={0,2}")
+_ACCESS_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z2-7]{16}")
+_CHECKED_TOKEN = re.compile(r"gh[pousr]_[0-9A-Za-z]{36}")
+_BASE62 = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")}
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
 
@@ -131,11 +144,53 @@ def _ibans(text: str):
             yield m.start(), end, mod97(found)
 
 
+def bits(word: str) -> float:
+    """Entropy of a word's characters."""
+    n = len(word)
+    return sum(k * math.log2(n / k) for k in Counter(word).values()) / n
+
+
+def crc62(token: str) -> bool:
+    """Whether the last six characters are the CRC-32, in base 62, of those behind the prefix."""
+    body, check = token[token.index("_") + 1 : -6], 0
+    for c in token[-6:]:
+        check = 62 * check + _BASE62[c]
+    return zlib.crc32(body.encode()) == check
+
+
+def _tokens(text: str):
+    """start, end, signed of runs that mix letters and digits and look random."""
+    for m in _TOKEN.finditer(text):
+        a, b = m.span()
+        word = text[a:b].lstrip("+/-")
+        a = b - len(word)
+        if _CHECKED_TOKEN.fullmatch(word):
+            if crc62(word):
+                yield a, b, True
+        elif _ACCESS_KEY.fullmatch(word):
+            yield a, b, True
+        elif b - a >= 16 and any("0" <= c <= "9" for c in word) and any(c.isalpha() for c in word) and bits(word) >= TOKEN_BITS:
+            yield a, b, False
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = CONTEXT[kind].search(text, max(0, start - WINDOW), min(len(text), end + WINDOW)) is not None
     return min(1.0, PRIOR[kind] + CONFIRMED[kind] + NEAR * near)
 
 
+def _apart(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """The spans that overlap none of the taken ones."""
+    merged: list[list[int]] = []
+    for _, a, b, _ in sorted(taken, key=lambda s: s.start):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    ends = [b for _, b in merged]
+    free = lambda s: (i := bisect_left(ends, s.start + 1)) == len(ends) or merged[i][0] >= s.end
+    return [s for s in spans if free(s)]
+
+
 def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
     """All confirmed spans in order of start, then kind.  Base kinds are kept whatever their score."""
     if not text:
@@ -146,9 +201,8 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
         if sure:
             (spans if kind in BASE_KINDS else own).append(Span(kind, a, b, _score(text, kind, a, b)))
     own += [Span("iban", a, b, _score(text, "iban", a, b)) for a, b, sure in _ibans(text) if sure]
-    if own:
-        taken = sorted((s.start, s.end) for s in spans)
-        spans += [s for s in own if s.score >= threshold and not any(a < s.end and s.start < b for a, b in taken)]
+    own += [Span("token", a, b, min(1.0, _score(text, "token", a, b) + SIGNED * signed)) for a, b, signed in _tokens(text)]
+    spans += _apart([s for s in own if s.score >= threshold], spans)
     return sorted(spans, key=lambda s: (s.start, RANK[s.kind], s.end))
 
 
@@ -189,9 +243,9 @@ def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None =
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: counts of the base kinds, a digest of the base spans and all spans as text."""
+    """Per document: counts of the base kinds, a digest of the base spans, all spans and their scores as text."""
     s = pii_spans(docs, id_col, text_col)
     said = lambda keep: F.array_join(F.transform(keep, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
-    return s.select(id_col, *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    return s.select(id_col, *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"))
