@@ -6,13 +6,14 @@ runs' cover is removed from the blocks; what is unique stays.  Where a page mark
 article's own blocks are the text and keep every word, as repeated passages there are content;
 elements that are never text (menus, forms, scripts, comments of readers, ...) go in any case.
 
-Hosts with many pages are dealt to shards of about SHARD_PAGES pages, each with its own array, so no
-task holds a whole host.  Distinct pages are still counted over the whole host: the runs of all its
+Hosts with many or long pages are dealt to shards of about SHARD_PAGES pages and SHARD_BYTES bytes,
+each with its own array, so no task holds a whole host.  Distinct pages are still counted over the whole host: the runs of all its
 pages are hashed and counted by host and run, and those that stand on RUN_PAGES pages are joined
 back to the shards, so the texts are those of one array over the host.
 
 Defined results: null and empty pages give an empty text; a null url is a host of its own; equal
-pages (by all their blocks) count once when repeats are looked for; unclosed and stray tags are tolerated; nothing is cut.
+pages (by all their blocks) count once when repeats are looked for; unclosed and stray tags are tolerated (a
+form that never ends leaves nothing out, a head ends before the first element of a body); nothing is cut.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from pyspark.sql import types as T
 
 from lodestrata.llm.common import WordCache, map_text, saved, shared_dir
 
-#: Pages that share one suffix array, about.
-SHARD_PAGES = 400
-#: Hosts of more than SHARD_PAGES pages that are broadcast at most; beyond it they are joined.
+#: Pages that share one suffix array, and their bytes, about.
+SHARD_PAGES, SHARD_BYTES = 400, 16 << 20
+#: Hosts of more than a shard that are broadcast at most; beyond it they are joined.
 BROADCAST_HOSTS = 100_000
 #: Tokens of a repeated run, and distinct pages on which it stands, at least.
 RUN_TOKENS, RUN_PAGES = 8, 3
@@ -48,6 +49,7 @@ BLOCK = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 NEVER = frozenset("nav footer aside form button select option dialog menu head".split())
+HEAD = frozenset("head base link meta noscript script style template title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MARKS_ALWAYS = frozenset(
     "ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion comment comments disqus reply replies related share sharing social "
@@ -64,6 +66,7 @@ CLOSES_P = BLOCK - frozenset(["body", "html"])
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 _END_OF = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_FORM_END = re.compile(r"</form\s*>", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -107,8 +110,8 @@ def _is_main(name: str, attributes: str) -> bool:
 def blocks(page: str) -> list[tuple[int, str, bool]]:
     """(zone, text, mostly links) of the visible blocks that are no menu, form, advert, ...
 
-    Where nothing is left but an article lies in a marked element or form, that is a wrapper: the article
-    stays.  Beside other text an article in such an element is a comment or teaser."""
+    Where nothing is left but an article lies in a marked element, form or article, that is a wrapper: the
+    article stays.  Beside other text an article in such an element is a comment or teaser."""
     out, wrapped = _blocks(page, False)
     if wrapped and not out:
         out, _ = _blocks(page, True)
@@ -125,7 +128,7 @@ def _blocks(page: str, unwrap: bool) -> tuple[list[tuple[int, str, bool]], bool]
     wrapped = False
     pieces: list[str] = []
     linked = 0
-    at, n = 0, len(page)
+    at, n, last_form = 0, len(page), None
 
     def flush():
         nonlocal linked
@@ -176,6 +179,16 @@ def _blocks(page: str, unwrap: bool) -> tuple[list[tuple[int, str, bool]], bool]
             end = _END_OF[name].search(page, at)
             at = end.end() if end else n
             continue
+        if opened["head"] > 0:
+            if name == "head":
+                continue
+            if name not in HEAD:
+                close("head")
+        if name == "form":
+            if last_form is None:
+                last_form = max((m.start() for m in _FORM_END.finditer(page)), default=-1)
+            if last_form < at:  # it never ends, so it holds nothing
+                continue
         if name == "br" or name in ("td", "th"):
             if not on[1] and (not on[16] or unwrap and (on[2] or on[4])):
                 pieces.append(" ")
@@ -188,6 +201,12 @@ def _blocks(page: str, unwrap: bool) -> tuple[list[tuple[int, str, bool]], bool]
         if name in VOID:
             continue
         bits = 1 * _left_out(name, attributes, on[2] > 0)
+        if name == "article" and on[2] > 0 and not bits and not unwrap:  # a comment on the article around it
+            wrapped, bits = wrapped or not on[1] and not on[16], 1
+            stack.append((name, bits))
+            opened[name] += 1
+            on[1] += 1
+            continue
         if bits and not on[2] and not on[4] and name not in ("article", "main") and not _left_out("div" if name == "form" else name, _unmarked(attributes), False):
             bits = 16
         elif not bits:
@@ -334,8 +353,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         lambda: lambda page: ([{"zone": z, "text": t, "links": k} for z, t, k in (blocks(page) if page else [])],),
         "blocks array<struct<zone:int,text:string,links:boolean>>",
     )
-    big = source.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_PAGES)
-    big = big.select("host", F.ceil(F.col("n") / SHARD_PAGES).alias("shards"))
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    shards = F.greatest(F.ceil(F.count("*") / SHARD_PAGES), F.ceil(F.sum(size) / SHARD_BYTES))
+    big = source.groupBy("host").agg(shards.alias("shards")).where("shards > 1")
     few = big.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     large = F.broadcast(big) if few else big
     shard = F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1))).alias("shard")
