@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,10 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the session's spark.checkpoint.dir, visible to every executor.
 
-    Where the setting is absent (local tests) a folder under the system's temp dir is used.  The
-    tables in it stay until the caller clears the folder, as results are read from them.
+    Where the setting is absent, a local master uses the system's temp dir; on a cluster that is an
+    error, as each machine would write to its own disk.  The tables in the folder stay until the
+    caller clears it, as results are read from them.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'lodestrata-shared')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'lodestrata-shared')}"
     return f"{base.rstrip('/')}/lodestrata-{uuid.uuid4().hex}"
 
 

@@ -25,6 +25,8 @@ from lodestrata.llm.common import map_text, slices
 UNKNOWN = "und"
 #: Labelled rows per language used for fitting, about: rows under a hash threshold (documented bound).
 ROWS_PER_LANGUAGE = 1500
+#: Languages that a model may have; with more, training fails rather than leave some out.
+MOST_LANGUAGES = 1000
 BITS = 15
 SIZE = 1 << BITS
 #: Log-probability that a change of language between two words costs.
@@ -113,11 +115,25 @@ class Model:
         scores[there], count[there] = np.where(used, np.maximum(found, OUTSIDE), OUTSIDE), size
         return scores, count
 
+    @cached_property
+    def _used(self) -> np.ndarray:
+        return np.stack([self.scripts.get(s, np.ones(len(self.languages), bool)) for s in SCRIPTS])
+
     @cached_property
     def usable(self) -> np.ndarray:
         """Scripts x languages: which languages use a script; all of them if none does."""
-        used = np.stack([self.scripts.get(s, np.ones(len(self.languages), bool)) for s in SCRIPTS])
-        return used | ~used.any(axis=1, keepdims=True)
+        return self._used | ~self._used.any(axis=1, keepdims=True)
+
+    @cached_property
+    def _foreign(self) -> list[bool]:
+        return (~self._used.any(axis=1)).tolist()
+
+    def foreign(self, word: str) -> int:
+        """Letters of a word in scripts that no language uses."""
+        foreign = self._foreign
+        if word.isascii() and not foreign[_NUMBER["Latin"]]:
+            return 0
+        return sum(foreign[script_number(c)] for c in word if c.isalpha())
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
@@ -158,6 +174,7 @@ class Labeller:
         self.index: dict[bytes, int] = {}
         self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int64)
+        self.foreign = np.zeros(1024, np.int64)
         self.held = 0
 
     def _add(self, words: list[bytes]) -> None:
@@ -165,12 +182,15 @@ class Labeller:
         while at + more > len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.scores[at : at + more], self.letters[at : at + more] = self.model.score([w.decode() for w in words])
+            self.foreign = np.concatenate([self.foreign, np.zeros_like(self.foreign)])
+        said = [w.decode() for w in words]
+        self.scores[at : at + more], self.letters[at : at + more] = self.model.score(said)
+        self.foreign[at : at + more] = list(map(self.model.foreign, said))
         self.index.update(zip(words, range(at, at + more)))
         self.held += sum(map(len, words))
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and letters of the words of a text."""
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        """Scores and letters of the words of a text, and its letters in scripts that no language uses."""
         words = text.encode().split()
         if len(self.index) + len(words) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._reset()
@@ -178,36 +198,41 @@ class Labeller:
         if new := {w for w in words if w not in known}:
             self._add(sorted(new))
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        return self.scores[at], self.letters[at]
+        return self.scores[at], self.letters[at], int(self.foreign[at].sum())
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(first word, end word, language) of each span; words without letters join their neighbours."""
         if not text or not self.model.languages:
             return []
-        scores, letters = self.words(text)
+        scores, letters, _ = self.words(text)
         if not letters.sum():
             return []
         path = viterbi(scores, self.switch)
         cut = np.flatnonzero(np.diff(path)) + 1
         return [(int(a), int(b), self.model.languages[path[a]]) for a, b in zip([0, *cut], [*cut, len(path)])]
 
-    def label(self, text: str | None) -> tuple[str, float]:
-        """The language with most letters, and its part of all letters."""
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language with most letters, its part of all letters, and the part in scripts that no language uses."""
         if not text or not self.model.languages:
-            return UNKNOWN, 0.0
-        scores, letters = self.words(text)
+            return UNKNOWN, 0.0, 0.0
+        scores, letters, foreign = self.words(text)
         total = int(letters.sum())
         if not total:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         each = np.bincount(viterbi(scores, self.switch), letters, len(self.model.languages))
         best = int(each.argmax())
-        return self.model.languages[best], float(each[best] / total)
+        return self.model.languages[best], float(each[best] / total), foreign / total
+
+    def label(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, id_col: str = "doc_id") -> Model:
     """Counts n-grams on the executors; what reaches the driver is bounded by languages x slots."""
     rows = labelled.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"), F.pmod(F.xxhash64(id_col), F.lit(1_000_003)).alias("h")).where("l is not null and t is not null")
-    share = {r["l"]: min(1.0, rows_per_language / r["n"]) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    share = {r["l"]: min(1.0, rows_per_language / r["n"]) for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(share) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not share:
         return Model([], np.zeros((SIZE, 0)))
     languages = sorted(share)
@@ -278,8 +303,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     return map_text(docs, keep, text_col, factory, "lang_pred string, score double")
 
 
-def known_language(docs: DataFrame, model: Model, least: float, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """The rows of `docs` whose language is known and has at least the part `least` of the letters.
+def known_language(docs: DataFrame, model: Model, least: float, text_col: str = "text", switch: float = SWITCH, strange: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose language is known and has at least the part `least` of the letters,
+    and which have at most the part `strange` of their letters in scripts that no language uses.
 
     A model without languages knows none; then only rows without a letter go.
     """
@@ -293,8 +319,8 @@ def known_language(docs: DataFrame, model: Model, least: float, text_col: str =
         def stays(text: str | None) -> bool:
             if not labeller.model.languages:
                 return bool(text and letters_of(text))
-            lang, score = labeller.label(text)
-            return lang != UNKNOWN and score >= least
+            lang, score, foreign = labeller.judge(text)
+            return lang != UNKNOWN and score >= least and foreign <= strange
 
         for part in slices(batches):
             yield part.filter(pa.array([stays(x.as_py()) for x in part.column(place)], pa.bool_()))

@@ -5,8 +5,8 @@ The classifier is a logistic regression over hashed word unigrams, word bigrams
 ones; documents are scored in Arrow batches against a fixed threshold.
 
 Defined results: null and empty texts have no word and fail the base rules; a corpus without labels
-of both classes gets no classifier, and the base rules alone decide; of repeated labels of one
-document the smallest holds; words of any length and texts of any length are read whole.
+of both classes gets no classifier, and the base rules alone decide; of repeated labels, and of
+repeated texts, of one id the smallest holds; words of any length and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -166,16 +166,16 @@ def fit(rows: list[tuple[str, int]], rounds: int = 50, rate: float = 0.01) -> Mo
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[str, int]]:
-    """At most `rows` labelled texts, by smallest hash of the id; the bound keeps the driver small."""
+    """At most `rows` labelled texts, one for an id, by smallest hash of the id; the bound keeps the driver small."""
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__y"))
         .orderBy(F.xxhash64("__id"), "__id").limit(rows)
     )
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    found = picked.where(F.col("__text").isNotNull()).select("__text", "__y", "__id").collect()
-    found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[2]).encode()), r[0]))
-    return [(r[0], int(r[1] > 0)) for r in found[: 2 * rows]]
+    found = picked.where(F.col("__text").isNotNull()).groupBy("__id").agg(F.min("__text"), F.first("__y")).collect()
+    found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0]).encode()), r[1]))
+    return [(r[1], int(r[2] > 0)) for r in found]
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model | None:

@@ -141,8 +141,10 @@ class Codec:
         sizes = self.length[ids]
         if not sizes.all() or sizes.sum() != len(normal):  # unknown pieces: ask the library
             sizes = np.array([len(p.surface.encode()) if self.sp.is_unknown(p.id) else s for p, s in zip(self.sp.encode(text, out_type="immutable_proto").pieces, sizes.tolist())], np.int64)
-        ends = np.minimum(np.cumsum(sizes), len(normal))
-        return ids, source[np.concatenate([[0], ends])]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        if ends[-1] != len(normal):
+            raise ValueError(f"pieces of {ends[-1]} bytes for a normalised text of {len(normal)}")
+        return ids, source[ends]
 
     def decode(self, ids) -> str:
         return self.sp.decode(ids.tolist() if isinstance(ids, np.ndarray) else list(ids))
