@@ -1,7 +1,7 @@
-"""DuckDB SQL for the queries that SQL can express on whole tables."""
+"""DuckDB SQL for the queries, or the columns of queries, that SQL can express on whole tables."""
 
-NEAR_DEDUP = """WITH RECURSIVE words AS (
-    SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+NEAR_DEDUP = r"""WITH RECURSIVE words AS (
+    SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), shingles AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS g FROM words WHERE len(w) > 0
 ), sizes AS (
@@ -20,4 +20,47 @@ NEAR_DEDUP = """WITH RECURSIVE words AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN components ON node = doc_id"""
 
-ORACLES = {"op7_near_dedup": NEAR_DEDUP}
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+
+PII_COUNTS = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (
+    SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+        [{_DIGITS} FOR x IN regexp_extract_all(t, '[0-9]([ -]?[0-9])+')] AS card, [{_DIGITS} FOR x IN regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]')] AS phone FROM d
+)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+    CAST(len([x FOR x IN ip IF len([p FOR p IN string_split(x, '.') IF length(ltrim(p, '0')) > 3 OR CAST('0' || left(ltrim(p, '0'), 4) AS INTEGER) > 255]) = 0]) AS BIGINT) AS n_ip,
+    CAST(len([x FOR x IN card IF length(x) BETWEEN 12 AND 19 AND list_sum([CASE WHEN (length(x) - i) % 2 = 0 THEN CAST(x[i] AS INTEGER) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(x[i] AS INTEGER) + 1] END FOR i IN range(1, length(x) + 1)]) % 10 = 0]) AS BIGINT) AS n_card,
+    CAST(len([x FOR x IN phone IF length(x) BETWEEN 9 AND 15]) AS BIGINT) AS n_phone FROM m"""
+
+QUALITY_COUNTS = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents), words AS (
+    SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d
+), windows AS (
+    SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)
+), twice AS (
+    SELECT r, s FROM windows GROUP BY ALL HAVING count(*) > 1
+), covered AS (
+    SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows JOIN twice USING (r, s)) GROUP BY r
+), again AS (
+    SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), counts AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        coalesce(again.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM words LEFT JOIN again USING (r) LEFT JOIN covered USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts"""
+
+
+def _places(phrase: str) -> str:
+    words = phrase.split()
+    there = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+    return f"[i - 1 FOR i IN range(1, len(w) - {len(words) - 2}) IF {there}]"
+
+
+LICENSE_PLACES = rf"""WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), found AS (
+    SELECT doc_id, len(w) AS n, {_places("apache license")} AS apache, {_places("cc by")} AS cc, {_places("gnu general public license")} AS gpl, {_places("mit license")} AS mit FROM words
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(apache) + len(cc) + len(gpl) + len(mit) AS BIGINT) AS n_base,
+    CAST(least(list_min(apache), list_min(cc), list_min(gpl), list_min(mit)) AS BIGINT) AS first_word, CAST(greatest(list_max(apache), list_max(cc), list_max(gpl), list_max(mit)) AS BIGINT) AS last_word,
+    concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels FROM found"""
+
+ORACLES = {"op7_near_dedup": NEAR_DEDUP, "pii_counts": PII_COUNTS, "quality_counts": QUALITY_COUNTS, "license_places": LICENSE_PLACES}

@@ -56,7 +56,22 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_read(table(spark, sf_dir, "documents"), WORDS)
 
 
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_pii that SQL can express."""
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_quality that SQL can express."""
+    return quality.quality_rules(table(spark, sf_dir, "documents"), None).drop("kept", "p_good")
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_license that SQL can express."""
+    return op6_license(spark, sf_dir).drop("labels", "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_decontaminate, op3_html, op4_sentencepiece, op5_quality, op6_license, op7_near_dedup, op8_token_count, op9_langid, op10_token_output)
+    for f in (op1_pii, op2_decontaminate, op3_html, op4_sentencepiece, op5_quality, op6_license, op7_near_dedup, op8_token_count, op9_langid, op10_token_output, pii_counts, quality_counts, license_places)
 }
