@@ -7,11 +7,12 @@ import logging
 import os
 import sys
 
-from lodestrata.config import Config, load
+from lodestrata.config import Config, Storage, load
 from lodestrata.plans.scan import scan_once
 from lodestrata.session import session
 from lodestrata.sources.objectstore import FileStore, ObjectStore, health_check
 from lodestrata.sources.reports import read_report, write_report
+from lodestrata.sources.s3store import S3Store
 from lodestrata.sources.state import StateStore
 from lodestrata.streaming.loop import Stopper, run_and_report, run_loop
 
@@ -30,14 +31,33 @@ class Engine:
     def open(cls, path: str, spark=None) -> Engine:
         config = load(path)
         logging.basicConfig(level=config.logging.level.upper(), filename=config.logging.file or None)
-        root = config.s3.endpoint.removeprefix("file://")
-        if not os.path.isdir(root):
-            raise ValueError(f"no storage adapter for endpoint {config.s3.endpoint!r}: give file:///folder, or pass a store to Engine")
-        return cls(config, FileStore(root), spark)
+        return cls(config, store_of(config.s3), spark)
 
     def scan(self) -> dict:
         return scan_once(self.spark, self.store, self.state, self.config)
 
+    def close(self) -> None:
+        """Closes the catalog; the session is the caller's."""
+        self.state.close()
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def store_of(s3: Storage) -> ObjectStore:
+    """A folder (file:///...), or an S3 endpoint: host[:port] or a URL."""
+    if s3.endpoint.startswith(("file://", "/")):
+        root = s3.endpoint.removeprefix("file://")
+        if not os.path.isdir(root):
+            raise ValueError(f"no folder {root!r}")
+        return FileStore(root)
+    if not s3.endpoint or "://" in s3.endpoint and not s3.endpoint.startswith(("http://", "https://")):
+        raise ValueError(f"no storage adapter for endpoint {s3.endpoint!r}")
+    return S3Store(s3.endpoint, s3.access_key, s3.secret_key, s3.region or "us-east-1", s3.use_path_style, s3.secure)
+
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lodestrata", description="Deduplicates the objects of a store")
@@ -55,12 +75,12 @@ def main(args: list[str] | None = None) -> int:
             write_report(given.out, found)
             print(found)
             return 0
-        engine = Engine.open(given.config)
-        if given.command == "scan-once":
-            print(run_and_report(engine.scan, given.out))
-        else:
-            stopper = Stopper(engine.spark)
-            run_loop(engine.config.interval_seconds, engine.scan, given.out, stopper.stop)
+        with Engine.open(given.config) as engine:
+            if given.command == "scan-once":
+                print(run_and_report(engine.scan, given.out))
+            else:
+                stopper = Stopper(engine.spark)
+                run_loop(engine.config.interval_seconds, engine.scan, given.out, stopper.stop)
         return 0
     except Exception as e:
         print(e, file=sys.stderr)

@@ -52,7 +52,7 @@ class Cache:
 @dataclass
 class Schedule:
     scan_interval: str = "1h"
-    workers: int = 1
+    workers: int | None = None  # calls at a time: by default one for each core, two at most
 
 
 @dataclass
@@ -118,6 +118,8 @@ def _build(kind, value, where: str):
         return [_build(typing.get_args(kind)[0], v, f"{where}[{i}]") for i, v in enumerate(value)]
     if kind is str and isinstance(value, (int, float)) and not isinstance(value, bool):
         return str(value)
+    if isinstance(kind, types.UnionType):
+        kind = typing.get_args(kind)[0]
     if type(value) is not kind:
         raise ValueError(f"{where}: expected {kind.__name__}, got {type(value).__name__}")
     return value

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,8 +21,13 @@ def session(app: str = "lodestrata", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under the temp folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'lodestrata-shared')}"
+    """A new folder under spark.checkpoint.dir; where that is unset, under the temp folder of a local
+    master.  On a cluster there is no such fallback: each machine would write to its own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'lodestrata-shared')}"
     return f"{base.rstrip('/')}/scan-{uuid.uuid4().hex}"
 
 

@@ -30,3 +30,11 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return DATA
+
+
+@pytest.fixture
+def s3():
+    from fake_s3 import serve
+
+    with serve("b") as store:
+        yield store

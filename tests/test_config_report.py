@@ -6,29 +6,28 @@ from lodestrata.config import load, parse
 from lodestrata.sources.reports import append_history, empty_report, read_report, report_frame, write_report
 
 YAML = """
+schedule: {workers: 3, scan_interval: 90m}
+cache: {path: "hdfs://nodes/catalog", backend: sqlite}
+dedup: {mode: pointer, delete_originals: true, hash_algo: sha512, blob_prefix: bodies/, min_size_bytes: 17}
+logging: {level: debug, file: scan.log}
 s3:
-  endpoint: "https://store.example.local:9000"
-  region: "us-east-1"
-  access_key: "fromFile"
-  secret_key: "fromFile"
+  buckets: [{name: raw}, {prefix: de/, name: crawl}]
+  secure: true
   use_path_style: true
-  buckets:
-  - name: "first"
-    prefix: "2026/"
-dedup: {hash_algo: sha256, min_size_bytes: 4096, blob_prefix: "blobs/", mode: report_only, delete_originals: false}
-cache: {backend: sqlite, path: /tmp/state}
-schedule: {scan_interval: 1h, workers: 8}
-logging: {level: info, file: ""}
+  endpoint: objects.lan
+  region: moon-1
+  access_key: reader
+  secret_key: 12345
 """
 
 
 def test_full_parse_and_environment(tmp_path):
     c = parse(YAML, {"S3_ACCESS_KEY": "fromEnvironment"})
-    assert c.scopes == [("first", "2026/")] and c.dedup.min_size_bytes == 4096 and c.interval_seconds == 3600
-    assert (c.s3.access_key, c.s3.secret_key) == ("fromEnvironment", "fromFile")
+    assert c.scopes == [("raw", ""), ("crawl", "de/")] and c.dedup.min_size_bytes == 17 and c.interval_seconds == 5400 and c.schedule.workers == 3
+    assert (c.s3.access_key, c.s3.secret_key) == ("fromEnvironment", "12345") and parse(YAML.replace("workers: 3, ", ""), {}).schedule.workers is None
     assert c.s3a_options()["spark.hadoop.fs.s3a.path.style.access"] == "true"
     (tmp_path / "c.yaml").write_text(YAML)
-    assert load(str(tmp_path / "c.yaml"), {}).s3.access_key == "fromFile"
+    assert load(str(tmp_path / "c.yaml"), {}).s3.access_key == "reader"
     with pytest.raises(FileNotFoundError):
         load(str(tmp_path / "none.yaml"))
 
@@ -36,8 +35,8 @@ def test_full_parse_and_environment(tmp_path):
 @pytest.mark.parametrize(
     "old, new",
     [
-        ("mode: report_only", "mode: other"), ("backend: sqlite", "backend: leveldb"), ("scan_interval: 1h", "scan_interval: soon"), ("scan_interval: 1h", "scan_interval: 0s"),
-        ("hash_algo: sha256", "hash_algo: crc32"), ('blob_prefix: "blobs/"', 'blob_prefix: ""'), ("workers: 8", "workers: many"), ("workers: 8", "workers: 8, extra: 1"), ("s3:\n", "server: {}\ns3:\n"),
+        ("mode: pointer", "mode: other"), ("backend: sqlite", "backend: memory"), ("scan_interval: 90m", "scan_interval: soon"), ("scan_interval: 90m", "scan_interval: 0s"),
+        ("hash_algo: sha512", "hash_algo: adler32"), ("blob_prefix: bodies/", 'blob_prefix: ""'), ("workers: 3", "workers: many"), ("workers: 3", "workers: 3, extra: 1"), ("s3:\n", "server: {}\ns3:\n"),
     ],
 )
 def test_rejected(old, new):
