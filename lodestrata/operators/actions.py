@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import io
 import itertools
+import math
 import tempfile
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.functions.hashing import hash_stream
 from lodestrata.functions.pointers import dump_pointer, load_pointer
 from lodestrata.schemas import POINTER_TYPE, struct
 from lodestrata.sources.objectstore import NoSuchKey, ObjectInfo, ObjectStore
-from lodestrata.sources.rows import map_rows
+from lodestrata.sources.rows import in_flight, map_rows
 
 INSPECTED = struct(
     "bucket string, object_key string, etag string, size bigint, last_modified timestamp, kind string, blob_bucket string, hash string, blob_size bigint, "
@@ -30,17 +32,43 @@ STORED = struct("bucket string, hash string, stored_size bigint, uploaded bigint
 FINISHED = struct("bucket string, object_key string, hash string, listed_size bigint, etag string, now_size bigint, last_modified timestamp, uploaded bigint, relinked boolean, changed boolean, error string")
 DELETED = struct("bucket string, blob_key string, hash string, size bigint, deleted boolean, error string")
 
-#: Objects up to this size are buffered in memory while they are copied; larger ones spill.
+#: Objects up to this size are buffered in memory while they are copied; a larger one needs its size of the task's temp folder.
 SPOOL = 16 << 20
+#: A pointer document is shorter than this, whatever its keys need of escapes.
+POINTER_BYTES = 32 << 10
+#: Bytes of bodies and number of objects of a task, about.
+TASK_BYTES, TASK_OBJECTS = 1 << 30, 2000
 #: Keys of one delete call.
 DELETED_AT_ONCE = 1000
 
 
-def _mapped(df: DataFrame, schema: T.StructType, one: Callable[[SimpleNamespace], dict]) -> DataFrame:
-    return map_rows(df, schema, lambda rows: (one(SimpleNamespace(**r)) for r in rows))
+def worker_count(asked: int | None, cores: int) -> int:
+    """Calls at a time: all cores if nothing is asked for, else between one and two for each core."""
+    return cores if asked is None else min(max(1, asked), 2 * cores)
 
 
-def inspect(work: DataFrame, store: ObjectStore, algorithm: str, blob_prefix: str) -> DataFrame:
+def tasks_for(size: int, objects: int, workers: int, cores: int) -> int:
+    """Tasks for bodies of `size` bytes: no more than `workers` where these are fewer than the cores,
+    else so many that none has much more than its share."""
+    if workers < cores:
+        return workers
+    return max(1, min(objects, max(workers, math.ceil(size / TASK_BYTES), math.ceil(objects / TASK_OBJECTS))))
+
+
+def deal(work: DataFrame, size: str, workers: int) -> tuple[DataFrame, int]:
+    """The rows dealt round robin to as many tasks as their bytes and number ask for, and the calls that
+    a task has in flight.  The partitions that metadata joins leave say nothing about bodies."""
+    cores = work.sparkSession.sparkContext.defaultParallelism
+    total = work.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    n = tasks_for(total["bytes"], total["n"], workers, cores)
+    return work.repartition(n), max(1, math.ceil(workers / cores))
+
+
+def _mapped(df: DataFrame, schema: T.StructType, one: Callable[[SimpleNamespace], dict], threads: int = 1) -> DataFrame:
+    return map_rows(df, schema, lambda rows: in_flight(lambda r: one(SimpleNamespace(**r)), rows, threads))
+
+
+def inspect(work: DataFrame, store: ObjectStore, algorithm: str, blob_prefix: str, threads: int = 1) -> DataFrame:
     """Stats, reads and hashes each object; resolves pointer documents."""
 
     def one(r):
@@ -48,10 +76,12 @@ def inspect(work: DataFrame, store: ObjectStore, algorithm: str, blob_prefix: st
         try:
             seen = store.stat(r.bucket, r.object_key)
             row |= {"seen_etag": seen.etag, "seen_size": seen.size, "seen_modified": seen.last_modified, "content_type": seen.content_type}
+            if seen.content_type == POINTER_TYPE and seen.size > POINTER_BYTES:
+                raise ValueError(f"pointer document of {seen.size} bytes")
             with store.get(r.bucket, r.object_key) as body:
                 if seen.content_type == POINTER_TYPE:
                     row["kind"] = "pointer"
-                    p = load_pointer(body.read())
+                    p = load_pointer(body.read(POINTER_BYTES + 1))
                     if p["blob_key"] != blob_prefix + p["hash"]:
                         raise ValueError("pointer key does not match its hash")
                     blob = store.stat(p["blob_bucket"], p["blob_key"])
@@ -64,10 +94,10 @@ def inspect(work: DataFrame, store: ObjectStore, algorithm: str, blob_prefix: st
             row["error"] = f"{type(e).__name__}: {e}"
         return row
 
-    return _mapped(work.select("bucket", "object_key", "etag", "size", "last_modified"), INSPECTED, one)
+    return _mapped(work.select("bucket", "object_key", "etag", "size", "last_modified"), INSPECTED, one, threads)
 
 
-def store_blobs(first: DataFrame, store: ObjectStore, algorithm: str, blob_prefix: str) -> DataFrame:
+def store_blobs(first: DataFrame, store: ObjectStore, algorithm: str, blob_prefix: str, threads: int = 1) -> DataFrame:
     """One row per (bucket, hash), from `object_key`: finds the blob or uploads it, verified by hash."""
 
     def one(r):
@@ -94,10 +124,10 @@ def store_blobs(first: DataFrame, store: ObjectStore, algorithm: str, blob_prefi
             row["error"] = f"{type(e).__name__}: {e}"
         return row
 
-    return _mapped(first.select("bucket", "hash", "object_key", "content_type"), STORED, one)
+    return _mapped(first.select("bucket", "hash", "object_key", "content_type"), STORED, one, threads)
 
 
-def finish_objects(hashed: DataFrame, store: ObjectStore, blob_prefix: str, replace: bool) -> DataFrame:
+def finish_objects(hashed: DataFrame, store: ObjectStore, blob_prefix: str, replace: bool, threads: int = 1) -> DataFrame:
     """Replaces each object by its pointer if it may, after a last look at it.
 
     `hashed` has the columns of `inspect` with stored_size, uploaded, first_key and blob_error.  A
@@ -122,7 +152,7 @@ def finish_objects(hashed: DataFrame, store: ObjectStore, blob_prefix: str, repl
             row["error"] = f"{type(e).__name__}: {e}"
         return row
 
-    return _mapped(hashed, FINISHED, one)
+    return _mapped(hashed, FINISHED, one, threads)
 
 
 def _replace(store: ObjectStore, r, blob_key: str) -> ObjectInfo:

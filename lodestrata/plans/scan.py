@@ -22,7 +22,7 @@ from lodestrata.session import remove_folder, saved, shared_folder
 from lodestrata.sources.listing import list_scopes
 from lodestrata.sources.objectstore import ObjectStore
 from lodestrata.sources.reports import empty_report
-from lodestrata.sources.state import StateStore
+from lodestrata.sources.state import CatalogStore
 
 log = logging.getLogger("lodestrata")
 
@@ -43,7 +43,7 @@ def _records_of(outcomes: DataFrame, config: Config, scan_id: str, size: str, et
     )
 
 
-def scan_once(spark: SparkSession, store: ObjectStore, state: StateStore, config: Config) -> dict:
+def scan_once(spark: SparkSession, store: ObjectStore, state: CatalogStore, config: Config) -> dict:
     """The report of one scan.  Raises ScanError after a scan-level failure."""
     d, started = config.dedup, datetime.now(timezone.utc)
     scan_id, report = str(time.time_ns()), empty_report(d.mode, started)
@@ -55,12 +55,13 @@ def scan_once(spark: SparkSession, store: ObjectStore, state: StateStore, config
         remove_folder(spark, folder)
 
 
-def _scan(spark: SparkSession, store: ObjectStore, state: StateStore, config: Config, scan_id: str, report: dict, folder: str) -> dict:
+def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config: Config, scan_id: str, report: dict, folder: str) -> dict:
     d, before = config.dedup, state.load()
     if before.meta.get("blob_prefix", d.blob_prefix) != d.blob_prefix:
         report["errors"] += 1
         raise ScanError(f"blob_prefix {d.blob_prefix!r} differs from the catalog's {before.meta['blob_prefix']!r}", report)
     objects = before.objects
+    workers = actions.worker_count(config.schedule.workers, spark.sparkContext.defaultParallelism)
 
     listed = saved(list_scopes(spark, store, config.scopes), folder, "listed")
     failed = listed.where("error is not null").orderBy("scope").select("scope", "error").first()
@@ -75,18 +76,21 @@ def _scan(spark: SparkSession, store: ObjectStore, state: StateStore, config: Co
     current = objects.where((F.col("hash_algo") == d.hash_algo) | F.col("is_pointer"))
     work = eligible if d.force else filters.to_process(eligible, current)
 
-    outcomes = saved(actions.inspect(work, store, d.hash_algo, d.blob_prefix), folder, "inspected")
+    work, threads = actions.deal(saved(work, folder, "work"), "size", workers)
+    outcomes = saved(actions.inspect(work, store, d.hash_algo, d.blob_prefix, threads), folder, "inspected")
     errors = outcomes.where("error is not null").select(*KEY, "error")
     fine = outcomes.where("error is null").withColumn("is_pointer", F.col("kind") == "pointer")
     pointers = _records_of(fine.where("is_pointer"), config, scan_id, "size", "etag", "last_modified")
     plain = fine.where("not is_pointer")
     stored = fine.where("is_pointer").select(F.col("blob_bucket").alias("bucket"), "hash")
     if d.mode == "pointer":
-        first = plain.groupBy("bucket", "hash").agg(F.min(F.struct("object_key", "content_type")).alias("f")).select("bucket", "hash", "f.*")
-        blobs = saved(actions.store_blobs(first, store, d.hash_algo, d.blob_prefix), folder, "stored")
-        # dealt anew by key: after the join all objects of a hot blob stand in a few partitions, and each costs calls
-        joined = plain.join(blobs.withColumnRenamed("error", "blob_error"), ["bucket", "hash"]).repartition(*KEY)
-        finished = saved(actions.finish_objects(joined, store, d.blob_prefix, d.delete_originals), folder, "finished")
+        first = plain.groupBy("bucket", "hash").agg(F.min(F.struct("object_key", "content_type", "size")).alias("f")).select("bucket", "hash", "f.*")
+        first, threads = actions.deal(saved(first, folder, "first"), "size", workers)
+        blobs = saved(actions.store_blobs(first, store, d.hash_algo, d.blob_prefix, threads), folder, "stored")
+        # dealt anew: after the join all objects of a hot blob stand in a few partitions, and each costs calls, but no body
+        joined = saved(plain.join(blobs.withColumnRenamed("error", "blob_error"), ["bucket", "hash"]).withColumn("moved", F.lit(0)), folder, "joined")
+        joined, threads = actions.deal(joined, "moved", workers)
+        finished = saved(actions.finish_objects(joined.drop("moved"), store, d.blob_prefix, d.delete_originals, threads), folder, "finished")
         errors = errors.unionByName(finished.where("error is not null").select(*KEY, "error"))
         done = finished.where("error is null and not changed")
         records = _records_of(

@@ -16,19 +16,29 @@ from lodestrata.sources.rows import map_rows
 LISTED = T.StructType([T.StructField("scope", T.IntegerType()), *LISTING.fields, T.StructField("error", T.StringType())])
 
 
-def list_scopes(spark: SparkSession, store: ObjectStore, scopes: list[tuple[str, str]]) -> DataFrame:
-    """The listing of every scope, one task each; a failure is a last row with `error`."""
-    jobs = spark.createDataFrame([(i, b, p) for i, (b, p) in enumerate(scopes)], "scope int, bucket string, prefix string")
+#: Parts into which a scope's listing is cut, if the caller does not say.
+PARTS = 32
+
+
+def list_scopes(spark: SparkSession, store: ObjectStore, scopes: list[tuple[str, str]], parts: int = PARTS) -> DataFrame:
+    """The listing of every scope, cut into ranges of keys that are listed by a task each; a failure is a row with `error`."""
+    jobs = []
+    for i, (bucket, prefix) in enumerate(scopes):
+        try:
+            ends = store.cuts(bucket, prefix, max(0, parts - 1))
+        except Exception:  # listing the scope will tell
+            ends = []
+        jobs += [(i, bucket, prefix, after, until) for after, until in zip(["", *ends], [*ends, None])]
 
     def run(rows: Iterator[dict]):
-        for r in rows:
+        for scope, bucket, prefix, after, until in (jobs[r["id"]] for r in rows):
             try:
-                for o in store.list(r["bucket"], r["prefix"]):
-                    yield {"scope": r["scope"], "bucket": r["bucket"], "object_key": o.key, "etag": o.etag, "size": o.size, "last_modified": o.last_modified, "content_type": o.content_type}
+                for o in store.list(bucket, prefix, after, until):
+                    yield {"scope": scope, "bucket": bucket, "object_key": o.key, "etag": o.etag, "size": o.size, "last_modified": o.last_modified, "content_type": o.content_type}
             except Exception as e:  # the row tells the driver, which ends the scan there
-                yield {"scope": r["scope"], "bucket": r["bucket"], "error": f"{type(e).__name__}: {e}"}
+                yield {"scope": scope, "bucket": bucket, "error": f"{type(e).__name__}: {e}"}
 
-    return map_rows(jobs.repartition(max(1, len(scopes)), "scope"), LISTED, run)
+    return map_rows(spark.range(0, len(jobs), 1, max(1, len(jobs))), LISTED, run)  # a job a task
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +49,8 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 def inventory_of_files(spark: SparkSession, path: str, bucket: str) -> DataFrame:
     """A convenience over files: no zero-length files and no hidden names (Spark leaves them out)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    key = F.regexp_replace("path", r"^.*?" + path.rstrip("/").rsplit("/", 1)[-1] + "/", "")
+    name = path.rstrip("/").rsplit("/", 1)[-1].replace("\\E", "\\E\\\\E\\Q")
+    key = F.regexp_replace("path", rf"^.*?/\Q{name}\E/", "")
     return files.select(F.lit(bucket).alias("bucket"), key.alias("object_key"), F.lit("").alias("etag"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), F.lit("").alias("content_type"))
 
 

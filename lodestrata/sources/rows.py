@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,21 @@ from pyspark.sql import types as T
 ROWS = 1000
 
 
+def in_flight(one: Callable, rows: Iterator, threads: int) -> Iterator:
+    """`one` of each row, in order, with up to `threads` calls at a time and as many rows ahead."""
+    if threads <= 1:
+        yield from map(one, rows)
+        return
+    with ThreadPoolExecutor(threads) as pool:
+        waiting: deque = deque()
+        for row in rows:
+            waiting.append(pool.submit(one, row))
+            if len(waiting) >= 2 * threads:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
 def map_rows(df: DataFrame, schema: T.StructType, work: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
     """`work` takes a partition's rows as dicts and yields rows of `schema`; missing names are null."""
 

@@ -1,13 +1,15 @@
-"""Catalog snapshots: `v=N/objects` and `v=N/blobs` as Parquet, and a CURRENT marker.
+"""Catalog snapshots: `v=N/objects` and `v=N/blobs` as Parquet, and a marker CURRENT-N for each whole version.
 
-A scan writes the next version and then flips the marker, so a reader sees one version or the other
-and a scan that dies leaves the old one.  Paths may be of any file system that Spark reaches.
+A scan writes the next version and then its marker; the greatest marker that can be read is current.
+No marker is ever overwritten or removed before a later one is whole, so a scan that dies at any
+point leaves the old version.  Paths may be of any file system that Spark reaches.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,20 @@ class Snapshot:
     meta: dict
 
 
+class CatalogStore(Protocol):
+    """What a scan needs of the place where its catalog lives."""
+
+    def load(self) -> Snapshot: ...
+
+    def write_objects(self, version: int, objects: DataFrame) -> DataFrame: ...
+
+    def write_blobs(self, version: int, objects: DataFrame, blobs: DataFrame) -> Snapshot: ...
+
+    def commit(self, version: int, meta: dict) -> None: ...
+
+    def close(self) -> None: ...
+
+
 class StateStore:
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
         if not path:
@@ -31,18 +47,28 @@ class StateStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.path))
+        self._closed = False
+
+    def _markers(self) -> list[int]:
+        """Versions with a marker, the latest first."""
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.path))]
+        return sorted((int(n) for x in names if x.startswith("CURRENT-") and (n := x.removeprefix("CURRENT-")).isdigit()), reverse=True)
 
     def _marker(self) -> dict | None:
-        marker = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(marker):
-            return None
-        stream = self._fs.open(marker)
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
+        for version in self._markers():
+            stream = self._fs.open(self._path(f"{self.path}/CURRENT-{version}"))
+            try:
+                found = json.loads(bytes(stream.readAllBytes()))
+            except ValueError:  # cut off while it was written
+                continue
+            finally:
+                stream.close()
+            return found
+        return None
 
     def load(self) -> Snapshot:
+        if self._closed:
+            raise ValueError("the catalog is closed")
         found = self._marker()
         if found is None:
             return Snapshot(0, self.spark.createDataFrame([], OBJECTS), self.spark.createDataFrame([], BLOBS), {})
@@ -63,13 +89,13 @@ class StateStore:
 
     def commit(self, version: int, meta: dict) -> None:
         """Makes a written version current and removes the ones that are too old."""
-        temp, marker = self._path(f"{self.path}/CURRENT.tmp"), self._path(f"{self.path}/CURRENT")
-        stream = self._fs.create(temp, True)
+        stream = self._fs.create(self._path(f"{self.path}/CURRENT-{version}"), True)
         stream.write(bytearray(json.dumps({"version": version, "meta": meta}).encode()))
         stream.close()
-        if not self._fs.rename(temp, marker):  # some file systems do not rename onto a file
-            self._fs.delete(marker, False)
-            self._fs.rename(temp, marker)
-        old = self._path(f"{self.path}/v={version - self.keep}")
-        if version > self.keep and self._fs.exists(old):
-            self._fs.delete(old, True)
+        for old in [v for v in self._markers() if v <= version - self.keep]:
+            self._fs.delete(self._path(f"{self.path}/CURRENT-{old}"), False)
+            self._fs.delete(self._path(f"{self.path}/v={old}"), True)
+
+    def close(self) -> None:
+        """Ends the use of the catalog; nothing stays open between calls, so nothing can be lost."""
+        self._closed = True

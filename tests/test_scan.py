@@ -3,14 +3,17 @@ import os
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from faulty import Faulty
 
 from lodestrata.config import Bucket, Config
 from lodestrata.functions.pointers import dump_pointer
+from lodestrata.operators import actions
 from lodestrata.plans.scan import ScanError, scan_once
 from lodestrata.schemas import POINTER_TYPE
 from lodestrata.sources.objectstore import FileStore, NoSuchKey
+from lodestrata.sources.rows import in_flight
 from lodestrata.sources.state import StateStore
 
 
@@ -203,3 +206,66 @@ def test_versions_and_empty_buckets(spark, tmp_path):
     assert w.state.load().version == 4 and sorted(os.listdir(tmp_path / "state"))[-2:] == ["v=3", "v=4"]
     with pytest.raises(NoSuchKey):
         w.store.stat("bucket", "none")
+
+
+def test_bodies_are_dealt_by_bytes_and_number(spark):
+    gb = 1 << 30
+    assert actions.tasks_for(0, 0, 8, 8) == 1 and actions.tasks_for(5 * gb + 1, 5001, 4, 4) == 6 and actions.tasks_for(100, 5001, 4, 4) == 4 and actions.tasks_for(100, 500_000, 4, 4) == 250
+    assert actions.tasks_for(3 * gb, 2, 8, 8) == 2 and actions.tasks_for(500 * gb, 10_000, 2, 8) == 2
+    assert [actions.worker_count(n, 4) for n in (None, -1, 0, 1, 8, 9)] == [4, 1, 1, 1, 8, 8]
+    rows = [("b", f"k{i}", 6 * gb if i == 0 else 100) for i in range(3000)]
+    work = spark.createDataFrame(rows, "bucket string, object_key string, size bigint").coalesce(1)
+    dealt, threads = actions.deal(work, "size", 8)
+    sizes = dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert dealt.rdd.getNumPartitions() == len(sizes) == 8 and max(r["n"] for r in sizes) < 500 and threads == 2
+
+
+def test_calls_in_flight_keep_order_and_errors():
+    import threading
+    import time
+
+    seen, most, lock = [0], [0], threading.Lock()
+
+    def one(x):
+        with lock:
+            seen[0] += 1
+            most[0] = max(most[0], seen[0])
+        time.sleep(0.002)
+        with lock:
+            seen[0] -= 1
+        return -x
+
+    assert list(in_flight(one, iter(range(50)), 4)) == [-x for x in range(50)] and 1 < most[0] <= 4
+    with pytest.raises(ZeroDivisionError):
+        list(in_flight(lambda x: 1 // x, iter([1, 0]), 2))
+
+
+def test_a_pointer_that_is_too_long_is_not_read(spark, tmp_path):
+    w = World(spark, tmp_path)
+    w.put("a", "{" * (actions.POINTER_BYTES + 1), content_type=POINTER_TYPE)
+    assert take(w.scan(), "objects_scanned", "errors", "unique_blobs") == (1, 1, 0)
+
+
+def test_a_scan_that_dies_leaves_the_old_version(spark, tmp_path):
+    w = World(spark, tmp_path)
+    w.put("a", "one"), w.put("b", "two")
+    w.scan()
+    before = {tuple(r) for r in w.state.load().objects.collect()}
+    w.put("a", "changed"), w.store.remove("bucket", ["b"])
+
+    class Dies(StateStore):
+        def commit(self, version, meta):
+            raise RuntimeError("killed between the write and the flip")
+
+    w.state = Dies(spark, str(tmp_path / "state"))
+    with pytest.raises(RuntimeError):
+        w.scan()
+    w.state = StateStore(spark, str(tmp_path / "state"))
+    for left in ("", '{"version": 2, "me'):  # and a marker that was cut off
+        (tmp_path / "state" / "CURRENT-2").write_text(left)
+        (tmp_path / "state" / ".CURRENT-2.crc").unlink(missing_ok=True)
+        assert w.state.load().version == 1 and {tuple(r) for r in w.state.load().objects.collect()} == before
+    assert take(w.scan(), "objects_scanned", "unique_blobs") == (1, 1) and w.state.load().version == 2
+    w.state.close()
+    with pytest.raises(ValueError):
+        w.state.load()

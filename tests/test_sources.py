@@ -5,22 +5,66 @@ import pytest
 
 from lodestrata.cli import Engine, main
 from lodestrata.sources.listing import ListingSource, inventory, inventory_of_files, list_scopes
-from lodestrata.sources.objectstore import FileStore, health_check
+from lodestrata.sources.objectstore import FileStore, NoSuchKey, health_check
 from lodestrata.streaming.loop import run_and_report, run_loop, scan_on_arrival
 
 
+@pytest.fixture(params=["files", "s3"])
+def store(request, tmp_path):
+    if request.param == "s3":
+        s = request.getfixturevalue("s3")
+    else:
+        s = FileStore(str(tmp_path / "store"))
+        s.create_bucket("b")
+    fill(s)
+    return s
+
+
 @pytest.fixture
-def store(tmp_path):
+def files(tmp_path):
     s = FileStore(str(tmp_path / "store"))
     s.create_bucket("b")
-    for key in ("a", "a/b", "a/b/c", ".dot", "_low", "é" * 150, "empty"):
-        s.put("b", key, io.BytesIO(b"" if key == "empty" else key.encode()), 0, "text/plain")
+    fill(s)
     return s
 
 
+def fill(s):
+    for key in ("a", "a/b", "a/b/c", ".dot", "_low", "é" * 150, "empty"):
+        body = b"" if key == "empty" else key.encode()
+        assert s.put("b", key, io.BytesIO(body), len(body), "text/plain") == len(body)
+
+
 KEYS = sorted(["a", "a/b", "a/b/c", ".dot", "_low", "é" * 150, "empty"])
 
 
+def test_listing_in_parts(store):
+    keys = [f"{d}/{i}" for d in "pqrst" for i in range(7)] + ["p0", "zz"]
+    for key in keys:
+        store.put("b", key, io.BytesIO(b"x"), 1, "")
+    every = sorted(keys + KEYS)
+    for most in (0, 1, 3, 50):
+        cuts = store.cuts("b", "", most)
+        assert len(cuts) <= most and cuts == sorted(cuts) and (most < 50 or len(cuts) == 6)
+        found = [[o.key for o in store.list("b", "", a, z)] for a, z in zip(["", *cuts], [*cuts, None])]
+        assert sorted(k for part in found for k in part) == every
+    assert store.cuts("b", "none", 5) == [] and [o.key for o in store.list("b", "p/", "p/4")] and {o.key for o in store.list("b", "p/", "p/4")} == {"p/5", "p/6"}
+
+
+def test_puts_and_gets(store):
+    for body in (b"first", b"", b"second, longer" * 100_000):
+        assert store.put("b", "a b/+%&?#é", io.BytesIO(body), len(body), "text/x") == len(body)
+        info = store.stat("b", "a b/+%&?#é")
+        assert (info.size, info.content_type, info.key) == (len(body), "text/x", "a b/+%&?#é") and len(info.etag) == 32
+        with store.get("b", info.key) as f:
+            assert f.read(3) + f.read() == body
+        listed = [o for o in store.list("b", "a b")]
+        assert [(o.key, o.size, o.etag) for o in listed] == [(info.key, len(body), info.etag)]
+    assert store.remove("b", [info.key]) == [info.key]
+    for look in (store.stat, store.get):
+        with pytest.raises(NoSuchKey):
+            look("b", info.key)
+
+
 def test_store(store):
     assert sorted(o.key for o in store.list("b", "")) == KEYS and [o.key for o in store.list("b", "a/b/")] == ["a/b/c"]
     assert store.stat("b", "empty").size == 0 and store.remove("b", ["a", "none"]) == ["a", "none"]
@@ -31,19 +75,24 @@ def test_store(store):
             health_check(store, bad)
 
 
-def test_listings(spark, store, tmp_path):
+def test_listings(spark, store):
     rows = list_scopes(spark, store, [("b", "a/"), ("none", ""), ("b", "")]).collect()
     assert sorted(r["object_key"] for r in rows if r["scope"] == 0) == ["a/b", "a/b/c"]
     assert [r["scope"] for r in rows if r["error"]] == [1] and sorted(r["object_key"] for r in rows if r["scope"] == 2) == KEYS
+
+
+def test_inventories(spark, files, tmp_path):
+    store = files
     spark.dataSource.register(ListingSource)
     live = spark.read.format(ListingSource.name()).option("root", store.root).option("scopes", "b/,b/a/b").load()
     assert live.count() == len(KEYS) + 2
     live.write.parquet(str(tmp_path / "inventory"))
     again = inventory(spark, str(tmp_path / "inventory")).where("bucket = 'b' and startswith(object_key, 'a/')")
     assert again.count() == 4 and "PushedFilters: [" in again._jdf.queryExecution().explainString(again.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    (tmp_path / "plain" / "d").mkdir(parents=True)
-    (tmp_path / "plain" / "d" / "x.txt").write_text("abc")
-    assert [tuple(r)[:4] for r in inventory_of_files(spark, str(tmp_path / "plain"), "q").collect()] == [("q", "d/x.txt", "", 3)]
+    for name in ("plain", "a.b(c+"):
+        (tmp_path / name / "d").mkdir(parents=True)
+        (tmp_path / name / "d" / "x.txt").write_text("abc")
+        assert [tuple(r)[:4] for r in inventory_of_files(spark, str(tmp_path / name), "q").collect()] == [("q", "d/x.txt", "", 3)]
 
 
 def test_loop(tmp_path):
@@ -72,18 +121,20 @@ logging: {{level: warning}}
 """
 
 
-def test_command_line(spark, store, tmp_path, monkeypatch, capsys):
+def test_command_line(spark, files, tmp_path, monkeypatch, capsys):
+    store = files
     monkeypatch.chdir(tmp_path)
     path = tmp_path / "c.yaml"
     path.write_text(CONFIG.format(root=store.root, state=tmp_path / "state"))
     assert main(["scan-once", "-c", str(path)]) == 0 and (tmp_path / "report.json").exists()
     assert main(["report", "-o", "copy.json"]) == 0 and (tmp_path / "copy.json").read_text() == (tmp_path / "report.json").read_text()
     assert main(["report", "-o", "copy.txt"]) == 1 and main(["scan-once", "-c", "none.yaml"]) == 1
-    path.write_text(CONFIG.format(root="https://nowhere", state=tmp_path / "state"))
+    path.write_text(CONFIG.format(root="ftp://nowhere", state=tmp_path / "state"))
     assert main(["scan-once", "-c", str(path)]) == 1 and "no storage adapter" in capsys.readouterr().err
 
 
-def test_scan_on_arrival(spark, store, tmp_path):
+def test_scan_on_arrival(spark, files, tmp_path):
+    store = files
     (tmp_path / "c.yaml").write_text(CONFIG.format(root=store.root, state=tmp_path / "state"))
     engine, reports = Engine.open(str(tmp_path / "c.yaml"), spark), []
     (tmp_path / "arrivals").mkdir()
