@@ -95,14 +95,22 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = _WITH + sql
-        return f
+def registrar(queries: dict[str, Query], oracles: dict[str, str]):
+    """A decorator that registers a query, with the SQL that gives the same rows."""
 
-    return add
+    def query(sql: str | None):
+        def add(f: Query) -> Query:
+            queries[f.__name__] = f
+            if sql is not None:
+                oracles[f.__name__] = _WITH + sql
+            return f
+
+        return add
+
+    return query
+
+
+query = registrar(QUERIES, ORACLES)
 
 
 def _scoped(scopes: list[tuple[str, str]]) -> str:
@@ -385,5 +393,6 @@ def bytes_reclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a first scan in pointer mode; its times are left out."""
     scanned = kept(listing(spark, sf_dir)).agg(F.count("*").alias("objects_scanned"))
-    rows = scanned.join(stats.stats(*state(spark, sf_dir, epoch=0))).join(stats.reclaimed(_relinks(spark, sf_dir)).drop("net_bytes_reclaimed"))  # one row each
-    return rows.select(F.lit("pointer").alias("mode"), F.lit(0).cast("long").alias("errors"), "*")
+    troubles = catalog.label_records(records(kept(listing(spark, sf_dir)), "scan-1"), *empty(spark)).agg(F.count("error").alias("errors"))
+    rows = scanned.join(troubles).join(stats.stats(*state(spark, sf_dir, epoch=0))).join(stats.reclaimed(_relinks(spark, sf_dir)).drop("net_bytes_reclaimed"))  # one row each
+    return rows.select(F.lit("pointer").alias("mode"), "*")

@@ -2,7 +2,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodestrata.plans import corpus
+from lodestrata.plans import corpus, corpus_scans
+
+QUERIES, ORACLES = corpus.QUERIES | corpus_scans.QUERIES, corpus.ORACLES | corpus_scans.ORACLES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,21 +22,21 @@ def duck(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(corpus.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, sf_dir, duck, name):
-    df = corpus.QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     got = rows_of([tuple(r) for r in df.collect()], df.columns)
-    if name not in corpus.ORACLES:
+    if name not in ORACLES:
         assert got
         return
-    found = duck.execute(corpus.ORACLES[name])
+    found = duck.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns) and got == rows_of(found.fetchall(), names)
 
 
 def test_entry(spark):
     assert tuple(entry.entry(spark).first()) == (183, 10, 29432)
-    assert corpus.QUERIES.keys() <= entry.queries().keys() and entry.oracle_sql().keys() <= entry.queries().keys()
+    assert QUERIES.keys() <= entry.queries().keys() and entry.oracle_sql().keys() <= entry.queries().keys()
 
 
 def test_sha512_agrees_with_hashlib(spark, sf_dir):
