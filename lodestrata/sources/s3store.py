@@ -69,7 +69,10 @@ class _Body:
         self._connection, self._response = connection, response
 
     def read(self, n: int = -1) -> bytes:
-        return self._response.read() if n < 0 else self._response.read(n)
+        data = self._response.read() if n < 0 else self._response.read(n)
+        if not data and n and self._response.length:  # a sized read does not tell by itself
+            raise http.client.IncompleteRead(b"", self._response.length)
+        return data
 
     def close(self) -> None:
         self._connection.close()

@@ -64,6 +64,9 @@ class Handler(BaseHTTPRequestHandler):
             if key not in objects:
                 return self.error(404, "NoSuchKey")
             data, kind, when = objects[key]
+            if self.command == "GET" and server.cut:
+                self.close_connection = True
+                return self.answer(200, data[: len(data) // 2], Content_Length=str(len(data)))
             return self.answer(200, data, Content_Length=str(len(data)), Content_Type=kind, ETag=f'"{hashlib.md5(data).hexdigest()}"', Last_Modified=format_datetime(when, usegmt=True))
         if self.command == "HEAD":
             return self.answer(200)
@@ -95,7 +98,7 @@ class Handler(BaseHTTPRequestHandler):
 def serve(*buckets):
     """A store over a fresh endpoint; `server` of the endpoint is at `serve.server`."""
     server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
-    server.buckets, server.trouble, server.undeletable = {b: {} for b in buckets}, [], {}
+    server.buckets, server.trouble, server.undeletable, server.cut = {b: {} for b in buckets}, [], {}, False
     server.daemon_threads = True
     threading.Thread(target=server.serve_forever, daemon=True).start()
     serve.server = server

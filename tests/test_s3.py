@@ -52,6 +52,15 @@ def test_health_credentials_and_troubles(s3, monkeypatch):
         list(s3.list("none", ""))
 
 
+@pytest.mark.parametrize("step", [-1, 1000])
+def test_a_body_that_is_cut_off_is_an_error(s3, step):
+    s3.put("b", "k", io.BytesIO(b"x" * 10_000), 10_000, "")
+    serve.server.cut = True
+    with s3.get("b", "k") as body, pytest.raises(http.client.IncompleteRead):
+        while body.read(step):
+            pass
+
+
 def test_bulk_deletes(s3, monkeypatch):
     monkeypatch.setattr(s3store, "DELETED_AT_ONCE", 4)
     keys = [f"k<&>{i}" for i in range(10)]

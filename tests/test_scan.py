@@ -12,6 +12,7 @@ from lodestrata.functions.pointers import dump_pointer
 from lodestrata.operators import actions
 from lodestrata.plans.scan import ScanError, scan_once
 from lodestrata.schemas import POINTER_TYPE
+from lodestrata.session import shared_folder
 from lodestrata.sources.objectstore import FileStore, NoSuchKey
 from lodestrata.sources.rows import in_flight
 from lodestrata.sources.state import StateStore
@@ -269,3 +270,20 @@ def test_a_scan_that_dies_leaves_the_old_version(spark, tmp_path):
     w.state.close()
     with pytest.raises(ValueError):
         w.state.load()
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError):
+            shared_folder(Session)
+    for master in ("local", "local[4]", "local[*]"):
+        Session.sparkContext.master = master
+        assert shared_folder(Session).startswith("file:///")

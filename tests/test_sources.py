@@ -6,7 +6,7 @@ import pytest
 from lodestrata.cli import Engine, main
 from lodestrata.sources.listing import ListingSource, inventory, inventory_of_files, list_scopes
 from lodestrata.sources.objectstore import FileStore, NoSuchKey, health_check
-from lodestrata.streaming.loop import run_and_report, run_loop, scan_on_arrival
+from lodestrata.streaming.loop import Stopper, run_and_report, run_loop, scan_on_arrival
 
 
 @pytest.fixture(params=["files", "s3"])
@@ -112,6 +112,32 @@ def test_loop(tmp_path):
         run_and_report(lambda: (_ for _ in ()).throw(RuntimeError("x")), None)
 
 
+def test_signals():
+    import os
+    import signal
+
+    cancelled = []
+
+    class Session:
+        class sparkContext:
+            cancelAllJobs = staticmethod(lambda: cancelled.append(1))
+
+    stopper = Stopper(Session())
+    try:
+        scans = []
+
+        def scan():
+            scans.append(1)
+            os.kill(os.getpid(), signal.SIGTERM)  # the scan that runs is finished, no other starts
+            assert stopper.stop.is_set() and not cancelled
+
+        assert run_loop(0.001, scan, stop=stopper.stop) == 1 and scans == [1]
+        os.kill(os.getpid(), signal.SIGINT)
+        assert cancelled == [1]
+    finally:
+        stopper.restore()
+
+
 CONFIG = """
 s3: {{endpoint: "{root}", buckets: [{{name: b, prefix: ""}}]}}
 dedup: {{mode: report_only, min_size_bytes: 0}}
