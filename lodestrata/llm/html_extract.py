@@ -2,14 +2,15 @@
 
 Pages are cut into blocks by their markup.  The token streams of the pages of one host are
 concatenated, a suffix array finds long runs of tokens that stand on several distinct pages, and the
-runs' cover is removed from the blocks; what is unique stays.  Where a page marks its article, the
-article's own blocks are the text and keep every word, as repeated passages there are content;
-elements that are never text (menus, forms, scripts, comments of readers, ...) go in any case.
+runs' cover is removed from the blocks; what is unique stays.  Elements that are never text
+(menus, forms, scripts, comments of readers, ...) go in any case, and are evidence: where a page marks
+its article, the article's blocks are the text, and as passages that several articles share are
+content, a repeated block of theirs goes only if it also stands outside articles on RUN_PAGES pages.
 
 Hosts with many or long pages are dealt to shards of about SHARD_PAGES pages and SHARD_BYTES bytes,
-each with its own array, so no task holds a whole host.  Distinct pages are still counted over the whole host: the runs of all its
-pages are hashed and counted by host and run, and those that stand on RUN_PAGES pages are joined
-back to the shards, so the texts are those of one array over the host.
+each with its own array, so no task holds a whole host.  Distinct pages are still counted over the
+whole host: the runs and blocks of all its pages are hashed and counted by host, and those that stand on
+RUN_PAGES pages are joined back to the shards, so the texts are those of one array over the host.
 
 Defined results: null and empty pages give an empty text; a null url is a host of its own; equal
 pages (by all their blocks) count once when repeats are looked for; unclosed and stray tags are tolerated (a
@@ -70,7 +71,8 @@ _FORM_END = re.compile(r"</form\s*>", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
-ARTICLE, MAIN, OTHER = 2, 1, 0
+ARTICLE, MAIN, OTHER, LEFT = 2, 1, 0, -1
+Block = tuple[int, str, bool]
 
 
 def _left_out(name: str, attributes: str, in_article: bool) -> bool:
@@ -107,26 +109,32 @@ def _is_main(name: str, attributes: str) -> bool:
     return name == "main" or bool(attributes) and re.search(r"(?i)\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articlebody\b", attributes) is not None
 
 
-def blocks(page: str) -> list[tuple[int, str, bool]]:
-    """(zone, text, mostly links) of the visible blocks that are no menu, form, advert, ...
+def blocks(page: str) -> list[Block]:
+    """(zone, text, mostly links) of the visible blocks that are no menu, form, advert, ..."""
+    return [b for b in all_blocks(page) if b[0] != LEFT]
+
+
+def all_blocks(page: str) -> list[Block]:
+    """The blocks, and in zone LEFT the longer ones of elements that are left out.
 
     Where nothing is left but an article lies in a marked element, form or article, that is a wrapper: the
     article stays.  Beside other text an article in such an element is a comment or teaser."""
     out, wrapped = _blocks(page, False)
-    if wrapped and not out:
+    if wrapped and all(b[0] == LEFT for b in out):
         out, _ = _blocks(page, True)
     return out
 
 
-def _blocks(page: str, unwrap: bool) -> tuple[list[tuple[int, str, bool]], bool]:
+def _blocks(page: str, unwrap: bool) -> tuple[list[Block], bool]:
     """The blocks, and whether an article or main was left out for no element but wrappers around it."""
-    out: list[tuple[int, str, bool]] = []
+    out: list[Block] = []
     # open elements, and what each turned on: 1 left out, 2 article, 4 main, 8 link, 16 left out but may be a wrapper
     stack: list[tuple[str, int]] = []
     opened: Counter[str] = Counter()
     on = {1: 0, 2: 0, 4: 0, 8: 0, 16: 0}
     wrapped = False
     pieces: list[str] = []
+    left: list[str] = []
     linked = 0
     at, n, last_form = 0, len(page), None
 
@@ -137,6 +145,11 @@ def _blocks(page: str, unwrap: bool) -> tuple[list[tuple[int, str, bool]], bool]
             if text:
                 out.append((ARTICLE if on[2] else MAIN if on[4] else OTHER, text, linked > LINK_SHARE * len(text) and text.count(" ") < LINK_WORDS))
             pieces.clear()
+        if left:
+            text = " ".join("".join(left).split())
+            if _long(text):
+                out.append((LEFT, text, False))
+            left.clear()
         linked = 0
 
     def close(name: str):
@@ -150,9 +163,13 @@ def _blocks(page: str, unwrap: bool) -> tuple[list[tuple[int, str, bool]], bool]
 
     def say(text: str):
         nonlocal linked
-        if text and not on[1] and (not on[16] or unwrap and (on[2] or on[4])):
-            if "&" in text:
-                text = html.unescape(text)
+        if not text:
+            return
+        if "&" in text:
+            text = html.unescape(text)
+        if on[1] or on[16] and not (unwrap and (on[2] or on[4])):
+            left.append(text)
+        else:
             pieces.append(text)
             if on[8]:
                 linked += len(text.strip())
@@ -190,8 +207,7 @@ def _blocks(page: str, unwrap: bool) -> tuple[list[tuple[int, str, bool]], bool]
             if last_form < at:  # it never ends, so it holds nothing
                 continue
         if name == "br" or name in ("td", "th"):
-            if not on[1] and (not on[16] or unwrap and (on[2] or on[4])):
-                pieces.append(" ")
+            say(" ")
         if name in BLOCK:
             flush()
             if name in CLOSES_P and opened["p"] > 0 and _closes(stack, "p"):
@@ -314,33 +330,62 @@ def repeated_cover(streams: list[list[str]], run: int = RUN_TOKENS, pages: int =
     return out
 
 
-def page_hash(found: list[tuple[int, str, bool]]) -> int:
+def _long(text: str) -> bool:
+    return text.count(" ") >= RUN_TOKENS - 1
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def page_hash(found: list[Block]) -> int:
     """Of the whole page, its article included: equal for equal pages."""
-    seen = hashlib.blake2b(digest_size=8)
-    for z, text, _ in found:
-        seen.update(f"{z} {text}\n".encode())
-    return int.from_bytes(seen.digest(), "little", signed=True)
+    return _hash("\n".join(f"{z} {text}" for z, text, _ in found if z != LEFT))
+
 
+def judged(z: int) -> bool:
+    """Whether a block's tokens are in the array: no article's, and none that go in any case."""
+    return z in (MAIN, OTHER)
 
-def outside(found: list[tuple[int, str, bool]]) -> list[str]:
-    """The tokens of a page that are judged by their repeats: those of no article."""
-    return [t for z, text, _ in found if z != ARTICLE for t in text.split(" ")]
 
+def outside(found: list[Block]) -> list[str]:
+    return [t for z, text, _ in found if judged(z) for t in text.split(" ")]
 
-def main_text(found: list[tuple[int, str, bool]], covers: list[np.ndarray] | None) -> str:
-    """The article's blocks whole; without an article, what is uncovered of the best zone's blocks."""
+
+def long_blocks(found: list[Block], article: bool) -> set[int]:
+    """Hashes of the blocks of at least a run inside articles, or outside."""
+    return {_hash(text) for z, text, _ in found if (z == ARTICLE) == article and _long(text)}
+
+
+def shared_blocks(pages: list[list[Block]], hashes: list[int]) -> set[int]:
+    """Hashes of the blocks that stand inside articles and outside on RUN_PAGES distinct pages each."""
+    inside, beyond = Counter(), Counter()
+    for found in dict(zip(hashes, pages)).values():
+        inside.update(long_blocks(found, True))
+        beyond.update(long_blocks(found, False))
+    return {x for x, n in inside.items() if n >= RUN_PAGES and beyond[x] >= RUN_PAGES}
+
+
+def main_text(found: list[Block], covers: list[np.ndarray] | None, notices: set[int] | frozenset[int] = frozenset()) -> str:
+    """The article's blocks but notices; without an article, what is uncovered of the best zone's blocks.
+    An article that is nothing but notices stays."""
     zone = max((z for z, _, _ in found), default=OTHER)
     kept = []
     for i, (z, text, links) in enumerate(found):
-        if z < zone:
+        if z < zone or z == LEFT:
             continue
-        if z != ARTICLE:
+        if z == ARTICLE:
+            if notices and _long(text) and _hash(text) in notices:
+                continue
+        else:
             if links and z == OTHER:
                 continue
             if covers is not None and covers[i].any():
                 text = " ".join(t for t, c in zip(text.split(" "), covers[i].tolist()) if not c)
         if text:
             kept.append(text)
+    if notices and zone == ARTICLE and not kept:
+        return main_text(found, covers)
     return "\n\n".join(kept)
 
 
@@ -350,7 +395,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     source = source.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", _HOST, 1)), F.lit("")))
     parsed = map_text(
         source, ["id", "url", "host"], "html",
-        lambda: lambda page: ([{"zone": z, "text": t, "links": k} for z, t, k in (blocks(page) if page else [])],),
+        lambda: lambda page: ([{"zone": z, "text": t, "links": k} for z, t, k in (all_blocks(page) if page else [])],),
         "blocks array<struct<zone:int,text:string,links:boolean>>",
     )
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
@@ -366,14 +411,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def strip(group: pa.Table, known: pa.Table) -> pa.Table:
         found = [[(b["zone"], b["text"], b["links"]) for b in page.as_py() or []] for page in group.column("blocks")]
         runs = Known(known.column("run").to_numpy(), RunHashes()) if known.num_rows else None
-        texts = []
-        for page, cover in zip(found, repeated_cover([outside(page) for page in found], whole=[page_hash(page) for page in found], known=runs)):
+        hashes, texts = [page_hash(page) for page in found], []
+        notices = shared_blocks(found, hashes) | set(known.column("run").to_pylist())
+        for page, cover in zip(found, repeated_cover([outside(page) for page in found], whole=hashes, known=runs)):
             at, covers = 0, []
             for z, text, _ in page:
-                size = text.count(" ") + 1 if z != ARTICLE else 0
+                size = text.count(" ") + 1 if judged(z) else 0
                 covers.append(cover[at : at + size])
                 at += size
-            texts.append(main_text(page, covers))
+            texts.append(main_text(page, covers, notices))
         return pa.table([group.column("id"), group.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     out = dealt.groupBy("host", "shard").cogroup(repeated.groupBy("host", "shard")).applyInArrow(strip, schema)
@@ -381,20 +427,27 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
 
 def _repeated_runs(source: DataFrame, large: DataFrame, shard: Column) -> DataFrame:
-    """host, shard, run: the runs of large hosts that stand on RUN_PAGES distinct pages of the host at
-    least, for each shard in which one stands on a page without an article."""
+    """host, shard, run: hashes of the runs of large hosts that stand on RUN_PAGES distinct pages of the
+    host at least, for each shard in which one stands on a page without an article, and of the blocks
+    that `shared_blocks` would give for the whole host, for each shard in which one stands in an article."""
 
     def factory():
         hashes = RunHashes()
 
         def work(page: str | None):
-            found = blocks(page) if page else []
-            return page_hash(found), all(z != ARTICLE for z, _, _ in found), np.unique(hashes(outside(found)))
+            found = all_blocks(page) if page else []
+            bare = all(z != ARTICLE for z, _, _ in found)
+            return page_hash(found), bare, np.unique(hashes(outside(found))), sorted(long_blocks(found, True)), sorted(long_blocks(found, False))
 
         return work
 
-    runs = map_text(source, ["id", "url", "host"], "html", factory, "page bigint, judged boolean, runs array<bigint>")
-    runs = runs.join(large, "host").select("host", shard, "page", "judged", F.explode("runs").alias("run"))
-    runs = saved(runs, shared_dir(source.sparkSession), "runs")
-    often = runs.groupBy("host", "run").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= RUN_PAGES)
-    return runs.where("judged").select("host", "shard", "run").distinct().join(often.select("host", "run"), ["host", "run"])
+    parsed = map_text(source, ["id", "url", "host"], "html", factory, "page bigint, bare boolean, runs array<bigint>, inside array<bigint>, beyond array<bigint>")
+    kind = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("run"))
+    kinds = F.concat(*[F.transform(c, kind(k)) for k, c in enumerate(["runs", "inside", "beyond"])])
+    rows = parsed.join(large, "host").select("host", shard, "page", "bare", F.explode(kinds).alias("k")).select("host", "shard", "page", "bare", "k.*")
+    rows = saved(rows, shared_dir(source.sparkSession), "runs")
+    often = rows.groupBy("host", "kind", "run").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= RUN_PAGES)
+    notices = often.where("kind > 0").groupBy("host", "run").agg(F.count("*").alias("n")).where("n = 2")
+    wanted = often.where("kind = 0").select("host", "run", "kind").unionByName(notices.select("host", "run", F.lit(1).alias("kind")))
+    there = rows.where("kind = 0 and bare or kind = 1").select("host", "shard", "run", "kind").distinct()
+    return there.join(wanted, ["host", "run", "kind"]).select("host", "shard", "run")
