@@ -243,9 +243,9 @@ def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None =
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: counts of the base kinds, a digest of the base spans, all spans and their scores as text."""
+    """Per document: counts of the base kinds, a digest of the base spans, all spans and their scores as text, and their number."""
     s = pii_spans(docs, id_col, text_col)
     said = lambda keep: F.array_join(F.transform(keep, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
-    return s.select(id_col, *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"))
+    return s.select(id_col, *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"), F.size("spans").cast("long").alias("n_spans"))
