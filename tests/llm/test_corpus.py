@@ -263,6 +263,25 @@ def test_left_out_end_tags_and_nested_articles():
         assert text_of(junk) == "x"
 
 
+def test_notices_inside_articles_go_and_shared_passages_stay(spark, monkeypatch):
+    notice, passage, teaser = "please sign up for our letter that comes each week", "a passage that is quoted in the articles of several pages", "the lead of story seven is shown beside all other stories"
+    rows = []
+    for i in range(12):
+        inside = f"<p>{notice}</p>" * (i < 5) + f"<p>{passage}</p>" * (i % 2) + (f"<p>{teaser}</p>" if i == 7 else "")
+        rows.append((i, "http://n.example.com/", f"<nav><p>{teaser}</p></nav><article><p>story {i}</p>{inside}</article>" + f"<div class='ad'><p>{notice}</p></div>" * (i > 7)))
+    rows.append((20, "http://n.example.com/only", f"<article><p>{notice}</p></article>"))
+    rows += [(30 + i, "http://other.example.com/", f"<article><p>story {i}</p><p>{notice}</p></article>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda: {r["page_id"]: r["text"].split("\n\n") for r in html_extract.extract_main_text(pages).collect()}
+    one = texts()
+    for i in range(12):
+        assert one[i] == [f"story {i}"] + [passage] * (i % 2) + [teaser] * (i == 7)
+    assert one[20] == [notice] and one[30] == ["story 0", notice]
+    for pages_of_a_shard in (2, 3):
+        monkeypatch.setattr(html_extract, "SHARD_PAGES", pages_of_a_shard)
+        assert texts() == one
+
+
 def test_long_pages_make_shards(spark, monkeypatch):
     menu = "all our shops sell fresh bread every single day of the week"
     rows = [(i, "http://x.example.com/", f"<p>{menu}</p><p>page {i} " + f"w{i} " * 2000 + "</p>") for i in range(12)]
@@ -475,3 +494,20 @@ def test_pipeline_on_odd_and_empty_documents(spark, odd, sf_dir):
 
 def test_every_operator_is_registered():
     assert [m.group(1) for n in QUERIES if (m := re.match(r"op(\d+)_", n))] == [str(i) for i in range(1, 11)] and ORACLES.keys() <= QUERIES.keys()
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError):
+            shared_dir(Session)
+    for master in ("local", "local[4]", "local[*]"):
+        Session.sparkContext.master = master
+        assert shared_dir(Session).startswith("file:///")
