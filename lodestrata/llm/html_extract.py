@@ -37,6 +37,8 @@ from lodestrata.llm.common import WordCache, map_text, saved, shared_dir
 SHARD_PAGES, SHARD_BYTES = 400, 16 << 20
 #: Hosts of more than a shard that are broadcast at most; beyond it they are joined.
 BROADCAST_HOSTS = 100_000
+#: Hashes of repeated runs that are broadcast at most, of 16 bytes each; beyond it they are joined.
+BROADCAST_RUNS = 1_000_000
 #: Tokens of a repeated run, and distinct pages on which it stands, at least.
 RUN_TOKENS, RUN_PAGES = 8, 3
 #: Blocks outside articles with fewer words than this and mostly of links are menus.
@@ -445,9 +447,11 @@ def _repeated_runs(source: DataFrame, large: DataFrame, shard: Column) -> DataFr
     kind = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("run"))
     kinds = F.concat(*[F.transform(c, kind(k)) for k, c in enumerate(["runs", "inside", "beyond"])])
     rows = parsed.join(large, "host").select("host", shard, "page", "bare", F.explode(kinds).alias("k")).select("host", "shard", "page", "bare", "k.*")
-    rows = saved(rows, shared_dir(source.sparkSession), "runs")
-    often = rows.groupBy("host", "kind", "run").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= RUN_PAGES)
-    notices = often.where("kind > 0").groupBy("host", "run").agg(F.count("*").alias("n")).where("n = 2")
-    wanted = often.where("kind = 0").select("host", "run", "kind").unionByName(notices.select("host", "run", F.lit(1).alias("kind")))
-    there = rows.where("kind = 0 and bare or kind = 1").select("host", "shard", "run", "kind").distinct()
-    return there.join(wanted, ["host", "run", "kind"]).select("host", "shard", "run")
+    folder = shared_dir(source.sparkSession)
+    rows = saved(rows, folder, "runs").withColumn("key", F.xxhash64("host", "run"))
+    often = rows.groupBy("key", "kind").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= RUN_PAGES)
+    notices = often.where("kind > 0").groupBy("key").agg(F.count("*").alias("n")).where("n = 2")
+    wanted = saved(often.where("kind = 0").select("key", "kind").unionByName(notices.select("key", F.lit(1).alias("kind"))), folder, "wanted")
+    few = wanted.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    there = rows.where("kind = 0 and bare or kind = 1").join(F.broadcast(wanted) if few else wanted, ["key", "kind"])
+    return there.select("host", "shard", "run").distinct()
