@@ -66,6 +66,11 @@ def script_number(char: str) -> int:
     return _NUMBER[script_of(char)]
 
 
+def script_of_letters(letters: str) -> int:
+    """Number of the script that most letters of a word have; on a tie, of the one that comes first."""
+    return _NUMBER["Latin"] if letters.isascii() else Counter(map(script_number, letters)).most_common(1)[0][0]
+
+
 def letters_of(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(c for c in word if c.isalpha()).lower()
 
@@ -111,7 +116,7 @@ class Model:
         # the mean over n-grams times a length that grows to a bound, so that one long word cannot decide alone
         found = total / number[:, None] * np.minimum(12.0, 2.0 + size)[:, None]
         found -= found.max(axis=1, keepdims=True)
-        used = self.usable[[script_number(w[0]) for w in letters]]
+        used = self.usable[[script_of_letters(w) for w in letters]]
         scores[there], count[there] = np.where(used, np.maximum(found, OUTSIDE), OUTSIDE), size
         return scores, count
 
