@@ -349,6 +349,7 @@ def test_shards_of_a_host_give_what_one_array_gives(spark, monkeypatch, broadcas
     one = texts()
     monkeypatch.setattr(html_extract, "SHARD_PAGES", 10)
     monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", broadcast)
+    monkeypatch.setattr(html_extract, "BROADCAST_RUNS", broadcast)
     assert texts() == one and one[200].startswith("these words")
     left = {n for n in notices if any(n in t for t in one.values())}
     assert 0 < len(left) < len(notices)

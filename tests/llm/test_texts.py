@@ -363,6 +363,8 @@ def test_documents_in_scripts_that_no_language_uses_go(spark, sf_dir):
 def test_scripts():
     pairs = {"a": "Latin", "ж": "Cyrillic", "λ": "Greek", "中": "Han", "か": "Kana", "한": "Hangul", "ع": "Arabic", "ש": "Hebrew", "ก": "Thai", "अ": "Devanagari"}
     assert {c: langid.script_of(c) for c in pairs} == pairs
+    words = {"word": "Latin", "aжж": "Cyrillic", "été": "Latin", "жa": "Cyrillic", "aж": "Latin"}
+    assert {w: langid.SCRIPTS[langid.script_of_letters(w)] for w in words} == words
 
 
 # ------------------------------------------------------------------ token files
