@@ -63,4 +63,19 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(apache) + len(cc) + len(gp
     CAST(least(list_min(apache), list_min(cc), list_min(gpl), list_min(mit)) AS BIGINT) AS first_word, CAST(greatest(list_max(apache), list_max(cc), list_max(gpl), list_max(mit)) AS BIGINT) AS last_word,
     concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels FROM found"""
 
-ORACLES = {"op7_near_dedup": NEAR_DEDUP, "pii_counts": PII_COUNTS, "quality_counts": QUALITY_COUNTS, "license_places": LICENSE_PLACES}
+MIXING = r"""WITH d AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS h FROM documents
+), sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source
+), filled AS (
+    SELECT *, sum(source_size) OVER () AS words, sum(weight) OVER () AS weights, sum(3 * source_size) OVER o - 3 * source_size AS capped, sum(weight) OVER o - weight AS lighter
+    FROM sources WINDOW o AS (ORDER BY source_size * 6 // weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), targets AS (
+    SELECT source, source_size, least((SELECT max(CAST(words - capped AS DOUBLE) / CAST(weights - lighter AS DOUBLE)) FROM filled) * weight, CAST(3 * source_size AS DOUBLE)) AS target FROM filled
+), streams AS (
+    SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS words, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+    FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target, CAST(list_sum([greatest(0, least(words, p * source_size + start + size) - p * source_size - start) FOR p IN [0, 1, 2]]) AS BIGINT) AS taken FROM streams"""
+
+ORACLES = {"op7_near_dedup": NEAR_DEDUP, "op11_mixing": MIXING, "pii_counts": PII_COUNTS, "quality_counts": QUALITY_COUNTS, "license_places": LICENSE_PLACES}
