@@ -78,4 +78,16 @@ MIXING = r"""WITH d AS (
 )
 SELECT doc_id, size, source_size, target, CAST(list_sum([greatest(0, least(words, p * source_size + start + size) - p * source_size - start) FOR p IN [0, 1, 2]]) AS BIGINT) AS taken FROM streams"""
 
-ORACLES = {"op7_near_dedup": NEAR_DEDUP, "op11_mixing": MIXING, "pii_counts": PII_COUNTS, "quality_counts": QUALITY_COUNTS, "license_places": LICENSE_PLACES}
+HARD_NEGATIVES = r"""WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER o <= 5"""
+
+ORACLES = {"op7_near_dedup": NEAR_DEDUP, "op11_mixing": MIXING, "op12_hard_negatives": HARD_NEGATIVES, "pii_counts": PII_COUNTS, "quality_counts": QUALITY_COUNTS, "license_places": LICENSE_PLACES}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, html_extract, langid, license_scan, mixing, near_dedup, pii, quality, sentencepiece_codec, token_count, token_output
+from lodestrata.llm import decontaminate, hard_negatives, html_extract, langid, license_scan, mixing, near_dedup, pii, quality, sentencepiece_codec, token_count, token_output
 from lodestrata.llm.common import table
 from lodestrata.llm.oracles import ORACLES as ORACLES
 
@@ -60,6 +61,11 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabelled)
+
+
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1_pii that SQL can express."""
     return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -77,5 +83,5 @@ def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_decontaminate, op3_html, op4_sentencepiece, op5_quality, op6_license, op7_near_dedup, op8_token_count, op9_langid, op10_token_output, op11_mixing, pii_counts, quality_counts, license_places)
+    for f in (op1_pii, op2_decontaminate, op3_html, op4_sentencepiece, op5_quality, op6_license, op7_near_dedup, op8_token_count, op9_langid, op10_token_output, op11_mixing, op12_hard_negatives, pii_counts, quality_counts, license_places)
 }

@@ -58,7 +58,8 @@ def test_queries_agree_with_sql(spark, sf_dir, name):
     import duckdb
 
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found = c.execute(ORACLES[name])
     names, got = [d[0] for d in found.description], QUERIES[name](spark, sf_dir)
     assert set(names) == set(got.columns) and sorted(found.fetchall(), key=str) == sorted(map(tuple, got.select(names).collect()), key=str)
