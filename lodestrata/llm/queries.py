@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, hard_negatives, html_extract, langid, license_scan, mixing, near_dedup, pii, quality, sentencepiece_codec, token_count, token_output
+from lodestrata.llm import decontaminate, hard_negatives, html_extract, langid, license_scan, mixing, near_dedup, pii, quality, sentencepiece_codec, spelling, token_count, token_output
 from lodestrata.llm.common import table
 from lodestrata.llm.oracles import ORACLES as ORACLES
 
@@ -66,6 +66,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabelled)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), spelling.Params(chars=6, count=5, factor=5, typos=199))
+
+
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1_pii that SQL can express."""
     return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -83,5 +87,5 @@ def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_decontaminate, op3_html, op4_sentencepiece, op5_quality, op6_license, op7_near_dedup, op8_token_count, op9_langid, op10_token_output, op11_mixing, op12_hard_negatives, pii_counts, quality_counts, license_places)
+    for f in (op1_pii, op2_decontaminate, op3_html, op4_sentencepiece, op5_quality, op6_license, op7_near_dedup, op8_token_count, op9_langid, op10_token_output, op11_mixing, op12_hard_negatives, op13_spelling, pii_counts, quality_counts, license_places)
 }
