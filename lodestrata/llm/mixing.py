@@ -15,8 +15,8 @@
    further pass.  It is cut into equal blocks, one for each slot of the source, whose lengths differ by
    one word at most.  Slots and pieces of documents meet on (source, block).
 
-No source is held by one task: streams are summed in buckets of the hash of about BUCKET_ROWS rows, then
-over one row a bucket.  The order of the sources and the sums along them are made in ranges.
+No source is held by one task: streams are summed in buckets of the hash of about BUCKET_ROWS rows; sums
+along the buckets and along the sources are made in ranges, each of which adds the totals before it.
 
 Defined results: null texts have no word; null sources are one source, the last; repeated rows are rows of
 their own, and equal ones may stand for each other; null ids are ids; an empty table gives no rows; if
@@ -35,7 +35,7 @@ from lodestrata.llm.common import saved, shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a bucket, about; bits of a point that one explode makes.
-BUCKET_ROWS, LEVEL = 16384, 12
+BUCKET_ROWS, LEVEL = 2048, 12
 #: Hexadecimal digits of the hash that orders a source, and their bits.
 DIGITS, HASH_BITS = 15, 60
 
@@ -131,17 +131,19 @@ def slots(spans: DataFrame, bits: int) -> DataFrame:
 # ------------------------------------------------------------------ streams and blocks
 
 
-def streams(rows: DataFrame, spans: DataFrame) -> DataFrame:
+def streams(rows: DataFrame, spans: DataFrame, folder: str) -> DataFrame:
     """The sized rows with their source's columns, start (words of the source before them) and (position, bucket, row), a key."""
     n = rows.count()
     bits = max(0, math.ceil(math.log2(max(1, n / BUCKET_ROWS))))
     rows = rows.withColumn("bucket", F.shiftright("h", HASH_BITS - bits))
-    before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("words_in")).withColumn("offset", F.coalesce(F.sum("words_in").over(before), F.lit(0))).drop("words_in")
+    counted = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("held"))
+    summed = running(counted, ["skey", "bucket"], {"so_far": F.col("held")}, folder, "buckets").select("skey", "bucket", (F.col("so_far") - F.col("held")).alias("before"))
+    first = summed.groupBy("skey").agg(F.min("before").alias("first"))
+    buckets = summed.join(first.join(spans, "skey"), "skey").withColumn("offset", F.col("before") - F.col("first"))
     own = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size")
     start = F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     ordered = rows.withColumns({"row": F.row_number().over(own), "within": start})
-    return ordered.join(buckets.join(spans, "skey"), ["skey", "bucket"]).select("doc_id", "size", "position", "bucket", "row", (F.col("offset") + F.col("within")).alias("start"), "source_size", "target", "words", (F.col("hi") - F.col("lo")).alias("n"))
+    return ordered.join(buckets, ["skey", "bucket"]).select("doc_id", "size", "position", "bucket", "row", (F.col("offset") + F.col("within")).alias("start"), "source_size", "target", "words", (F.col("hi") - F.col("lo")).alias("n"))
 
 
 def pieces(streamed: DataFrame, p: Params) -> DataFrame:
@@ -165,8 +167,9 @@ def plan(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col
     rows = saved(sized(docs, p, id_col, text_col, source_col), folder, "sized")
     spans, bits = ranges(targets(rows, p, folder), p, folder)
     spans = saved(spans, folder, "spans")
-    streamed = saved(streams(rows, spans), folder, "streams")
-    return streamed, pieces(streamed, p).join(slots(spans, bits), ["position", "block"])
+    streamed = saved(streams(rows, spans, folder), folder, "streams")
+    # without the hint the planner takes the slots for as small as the ranges that they are made of, and broadcasts them
+    return streamed, pieces(streamed, p).join(slots(spans, bits).hint("merge"), ["position", "block"])
 
 
 def mix(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
