@@ -52,7 +52,7 @@ class Params:
     negatives: int = 5
     low: int = 80
     high: int = 100
-    cell_anchors: int = 32
+    cell_anchors: int = 128
     most_pivots: int = 1024
     sample_rows: int = 4096
     sample_bytes: int = 32 << 20
