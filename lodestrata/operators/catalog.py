@@ -1,11 +1,13 @@
 """Catalog transitions as joins over whole snapshots.
 
-Reference counts are never added to or taken from: they are counted anew from the objects, so a
-snapshot cannot drift from the rows it was made of.
+Reference counts are counted anew from the objects here, so a snapshot cannot drift from the rows it was
+made of.  Scans write changes instead (`operators/changes.py`); these transitions are what they must equal.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ from lodestrata.operators.filters import record_error
 from lodestrata.schemas import BLOBS, KEY, OBJECTS
 
 
-def label_records(records: DataFrame, objects: DataFrame, blobs: DataFrame) -> DataFrame:
+def label_records(records: DataFrame, objects: DataFrame, blobs: DataFrame | None = None, look: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Records with `case` (insert, same, move) and `error` (null: may be registered).
 
+    The blobs are a table, or `look`, which adds `blob` (the catalog's blob_key and size, or null) to rows of (bucket, hash).
+
     For one (blob bucket, hash) the key and size of an existing blob hold; without one, those of the
     record with the smallest key do.  Records of the `same` case change no blob and are not held
     against it.
@@ -29,10 +33,9 @@ def label_records(records: DataFrame, objects: DataFrame, blobs: DataFrame) -> D
         known.where("error is null and case <> 'same'").groupBy("blob_bucket", "hash")
         .agg(F.min(F.struct("object_key", "bucket", "blob_key", "blob_size")).alias("first"))
     )
-    stored = blobs.select(F.col("bucket").alias("blob_bucket"), "hash", F.col("blob_key").alias("old_key"), F.col("size").alias("old_size"))
-    holds = first.join(stored, ["blob_bucket", "hash"], "left").select(
-        "blob_bucket", "hash", F.coalesce("old_key", "first.blob_key").alias("__key"), F.coalesce("old_size", "first.blob_size").alias("__size")
-    )
+    first = first.withColumnRenamed("blob_bucket", "bucket")
+    found = look(first) if look else first.join(blobs.select("bucket", "hash", F.struct("blob_key", "size").alias("blob")), ["bucket", "hash"], "left")
+    holds = found.select(F.col("bucket").alias("blob_bucket"), "hash", F.coalesce("blob.blob_key", "first.blob_key").alias("__key"), F.coalesce("blob.size", "first.blob_size").alias("__size"))
     conflict = F.when(F.col("case") == "same", None).when(F.col("blob_size") != F.col("__size"), "blob size mismatch").when(F.col("blob_key") != F.col("__key"), "blob key mismatch")
     return known.join(holds, ["blob_bucket", "hash"], "left").withColumn("error", F.coalesce("error", conflict)).drop("__key", "__size")
 

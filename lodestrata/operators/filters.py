@@ -52,6 +52,11 @@ def to_process(listing: DataFrame, objects: DataFrame) -> DataFrame:
     return listing.join(objects.select(UNCHANGED_ON), UNCHANGED_ON, "left_anti")
 
 
+def same_as(known: str) -> Column:
+    """Whether a listed row has etag, size and time of a struct; null without one."""
+    return (F.col("etag") == F.col(f"{known}.etag")) & (F.col("size") == F.col(f"{known}.size")) & (F.col("last_modified") == F.col(f"{known}.last_modified"))
+
+
 def is_changed(before: str, after: str) -> Column:
     """Whether two looks at an object, structs of etag, size and last_modified, differ."""
     same = F.lit(True)

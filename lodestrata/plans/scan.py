@@ -1,8 +1,9 @@
 """One scan: list, filter, hash what is new, move the catalog on, store, relink, collect, report.
 
-The planner is joins and aggregations over snapshots; bodies are read only for listed rows that the
-catalog does not know as they are.  Outcomes of side effects are tables in the shared folder, so a
-lost executor repeats rows of one stage and never a stage that is done.
+The planner is one join of the listing with the catalog, and joins of what has changed; bodies are read only
+for listed rows that the catalog does not know as they are, and a scan writes changes only.  Outcomes of
+side effects are tables in the shared folder, so a lost executor repeats rows of one stage and never a
+stage that is done.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.config import Config
 from lodestrata.functions.hashing import blob_key
-from lodestrata.operators import actions, catalog, filters, relink, stats
+from lodestrata.operators import actions, catalog, changes, filters, relink, stats
 from lodestrata.schemas import KEY, RECORDS
 from lodestrata.session import remove_folder, saved, shared_folder
 from lodestrata.sources.listing import list_scopes
 from lodestrata.sources.objectstore import ObjectStore
 from lodestrata.sources.reports import empty_report
-from lodestrata.sources.state import CatalogStore
+from lodestrata.sources.state import CatalogStore, Conflict, Draft, Snapshot
 
 log = logging.getLogger("lodestrata")
 
@@ -60,7 +61,6 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
     if before.meta.get("blob_prefix", d.blob_prefix) != d.blob_prefix:
         report["errors"] += 1
         raise ScanError(f"blob_prefix {d.blob_prefix!r} differs from the catalog's {before.meta['blob_prefix']!r}", report)
-    objects = before.objects
     workers = actions.worker_count(config.schedule.workers, spark.sparkContext.defaultParallelism)
 
     listed = saved(list_scopes(spark, store, config.scopes), folder, "listed")
@@ -68,15 +68,15 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
     last = len(config.scopes) if failed is None else failed["scope"]
     complete = config.scopes[:last]
     rows = listed.where((F.col("error").isNull()) & (F.col("scope") <= last)).where(filters.outside_blob_prefix(d.blob_prefix)).drop("error")
-    known = objects.select(*KEY, "is_pointer", "hash_algo")
-    rows = saved(rows.join(known, KEY, "left").withColumn("small", filters.too_small(d.min_size_bytes, F.col("is_pointer"))), folder, "rows")
+    # the one join of the listing with the catalog: the listing moves, the catalog does not
+    rows = saved(before.lookup(rows).withColumn("small", filters.too_small(d.min_size_bytes, F.col("old.is_pointer"))), folder, "rows")
     report["objects_scanned"] = rows.where("not small").count()
     eligible = rows.where("not small").dropDuplicates(KEY)
     # a change of algorithm makes an object be read again; a pointer carries its own hash
-    current = objects.where((F.col("hash_algo") == d.hash_algo) | F.col("is_pointer"))
-    work = eligible if d.force else filters.to_process(eligible, current)
+    current = (F.col("old.hash_algo") == d.hash_algo) | F.col("old.is_pointer")
+    known = saved(eligible if d.force else eligible.where(~F.coalesce(filters.same_as("old") & current, F.lit(False))), folder, "work")
 
-    work, threads = actions.deal(saved(work, folder, "work"), "size", workers)
+    work, threads = actions.deal(known, "size", workers)
     outcomes = saved(actions.inspect(work, store, d.hash_algo, d.blob_prefix, threads), folder, "inspected")
     errors = outcomes.where("error is not null").select(*KEY, "error")
     fine = outcomes.where("error is null").withColumn("is_pointer", F.col("kind") == "pointer")
@@ -104,39 +104,53 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
     else:
         records = _records_of(plain, config, scan_id, "size", "etag", "last_modified")
 
-    labelled = saved(catalog.label_records(records.unionByName(pointers).select(RECORDS.fieldNames()), objects, before.blobs), folder, "labelled")
+    olds = known.select(*KEY, "old")
+    placed = olds.where("old is not null").select(*KEY, "old.blob_bucket", "old.blob_hash")
+    labelled = catalog.label_records(records.unionByName(pointers).select(RECORDS.fieldNames()), placed, look=before.lookup_blobs)
+    labelled = saved(labelled.join(olds, KEY), folder, "labelled")
     errors = errors.unionByName(labelled.where("error is not null").select(*KEY, "error"))
     report["errors"] += errors.count()
     for r in errors.limit(100).collect():
         log.warning("%s/%s: %s", r["bucket"], r["object_key"], r["error"])
 
-    accepted = labelled.where("error is null").select(RECORDS.fieldNames())
-    after = catalog.mark_seen(objects, rows, scan_id)
-    after = catalog.register(catalog.unregister(after, rows.where("small")), accepted)
-    after = after.join(filters.stale(after, complete, scan_id).select(KEY), KEY, "left_anti") if complete else after
-    after = state.write_objects(before.version + 1, after)
-    snap = state.write_blobs(before.version + 1, after, catalog.refresh_blobs(before.blobs, after, accepted, stored))
+    draft = state.draft(before)
+    write_changes(before, draft, rows, labelled.where("error is null"), stored, complete, folder)
     meta = {"blob_prefix": d.blob_prefix, "hash_algo": d.hash_algo}
     if failed is not None:
-        state.commit(snap.version, meta)
+        _commit(state, draft, meta, scan_id, complete, report)
         report["errors"] += 1
         raise ScanError(f"listing failed: {failed['error']}", report)
 
     gc_bytes = 0
     if d.mode == "pointer" and report["errors"] == 0:
-        planned = relink.plan_collection(snap.blobs, [b for b, _ in config.scopes])
+        planned = saved(relink.plan_collection(draft.snapshot().blobs, [b for b, _ in config.scopes]), folder, "planned")
         deleted = saved(actions.delete_stored(planned.where("error is null"), store), folder, "deleted")
         totals = stats.gc_totals(deleted.where("deleted")).first()
         gc_bytes, troubles = totals["gc_bytes"], deleted.where("not deleted").count() + planned.where("error is not null").count()
         if totals["blobs_removed"]:
-            kept = saved(catalog.delete_blobs(snap.blobs, deleted.where("deleted")), folder, "blobs")
-            snap = state.write_blobs(snap.version, snap.objects, kept)
+            draft.remove_blobs(deleted.where("deleted"))
         report["bytes_reclaimed"] += gc_bytes
         log.info("blobs removed: %d, bytes reclaimed: %d", totals["blobs_removed"], gc_bytes)
         report["errors"] += troubles
-    found = stats.stats(snap.objects, snap.blobs).first()
-    report |= {"unique_blobs": found["unique_blobs"], "duplicates_found": found["duplicates_found"], "bytes_reclaimable": found["bytes_reclaimable"] + gc_bytes}
-    state.commit(snap.version, meta)
+    found = _commit(state, draft, meta, scan_id, complete, report).totals
+    report |= found | {"bytes_reclaimable": found["bytes_reclaimable"] + gc_bytes}
     report["scan_finished"] = datetime.now(timezone.utc)
     return report
 
+
+def write_changes(before: Snapshot, draft: Draft, rows: DataFrame, accepted: DataFrame, stored: DataFrame, complete: list[tuple[str, str]], folder: str) -> None:
+    """Writes what a listing changes: accepted records over the rows of their keys; objects that are too small now, or gone
+    from a scope that was listed whole, leave.  `rows` are listed rows with `small` and `old`, `accepted` records with `old`."""
+    dropped = rows.where("small and old is not null").dropDuplicates(KEY).select(*KEY, F.struct("old.blob_bucket", "old.blob_hash").alias("old"))
+    if complete:
+        dropped = dropped.unionByName(before.missing(rows, filters.in_scopes(complete)))
+    moved = saved(changes.object_changes(accepted, dropped, draft.seq), folder, "moved")
+    draft.write(moved, changes.blob_changes(changes.reference_changes(moved), accepted, stored, before.lookup_blobs, draft.seq))
+
+
+def _commit(state: CatalogStore, draft: Draft, meta: dict, scan_id: str, seen: list[tuple[str, str]], report: dict) -> Snapshot:
+    try:
+        return state.commit(draft, meta, scan_id, seen)
+    except Conflict as e:
+        report["errors"] += 1
+        raise ScanError(f"not committed: {e}", report) from e

@@ -2,9 +2,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodestrata.plans import corpus, corpus_scans
+from lodestrata.plans import corpus, corpus_deltas, corpus_scans
 
-QUERIES, ORACLES = corpus.QUERIES | corpus_scans.QUERIES, corpus.ORACLES | corpus_scans.ORACLES
+QUERIES, ORACLES = corpus.QUERIES | corpus_scans.QUERIES | corpus_deltas.QUERIES, corpus.ORACLES | corpus_scans.ORACLES | corpus_deltas.ORACLES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
