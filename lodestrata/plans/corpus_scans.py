@@ -18,6 +18,7 @@ from lodestrata.plans.corpus import CHANGED, GONE, MIN_SIZE, NEW, PREFIX, Query,
 from lodestrata.plans.scan import scan_once
 from lodestrata.schemas import KEY, struct
 from lodestrata.session import shared_folder
+from lodestrata.sources.listing import list_scopes
 from lodestrata.sources.objectstore import FileStore
 from lodestrata.sources.reports import report_frame
 from lodestrata.sources.rows import map_rows
@@ -150,7 +151,7 @@ def scan_collects(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
     c.put(c.objects(1))
     c.scan()
-    stored = lambda: spark.createDataFrame([(o.key, o.size) for o in c.store.list(BUCKET, PREFIX)], "key string, size bigint")
+    stored = lambda: list_scopes(spark, c.store, [(BUCKET, PREFIX)]).select(F.col("object_key").alias("key"), "size")
     before = stored()
     c.remove(c.objects(0).where(source_of() == GONE))
     c.put(c.objects(2).where(source_of().isin(NEW, CHANGED)))

@@ -63,7 +63,7 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
         raise ScanError(f"blob_prefix {d.blob_prefix!r} differs from the catalog's {before.meta['blob_prefix']!r}", report)
     workers = actions.worker_count(config.schedule.workers, spark.sparkContext.defaultParallelism)
 
-    listed = saved(list_scopes(spark, store, config.scopes), folder, "listed")
+    listed = list_scopes(spark, store, config.scopes, folder=f"{folder}/listed")
     failed = listed.where("error is not null").orderBy("scope").select("scope", "error").first()
     last = len(config.scopes) if failed is None else failed["scope"]
     complete = config.scopes[:last]

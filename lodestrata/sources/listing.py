@@ -3,42 +3,79 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lodestrata.schemas import LISTING
+from lodestrata.schemas import LISTING, struct
+from lodestrata.session import saved, shared_folder
 from lodestrata.sources.objectstore import FileStore, ObjectStore
 from lodestrata.sources.rows import map_rows
 
 LISTED = T.StructType([T.StructField("scope", T.IntegerType()), *LISTING.fields, T.StructField("error", T.StringType())])
+#: A range of keys of a scope: after `after`, up to `until` (null: to the end).  A listed row with `rest` is a range that
+#: is left over: what follows `after`.
+RANGES = struct("scope int, bucket string, prefix string, after string, until string")
+_ROWS = T.StructType([*LISTED.fields, *struct("rest boolean, prefix string, after string, until string").fields])
 
-
-#: Parts into which a scope's listing is cut, if the caller does not say.
+#: Parts into which a range is cut that proves long, if the caller does not say.
 PARTS = 32
+#: Keys that are listed of a whole scope before it counts as long, of a range of a later round, and tasks of a round at most.
+FIRST_KEYS, RANGE_KEYS, MOST_TASKS = 2000, 50_000, 10_000
+
+
+def list_scopes(spark: SparkSession, store: ObjectStore, scopes: list[tuple[str, str]], parts: int = PARTS, folder: str | None = None) -> DataFrame:
+    """The listing of every scope; a failure is a row with `error`.
+
+    Rounds of Spark tasks: each lists the beginning of its range, at once; what is left over is cut into ranges
+    by looking for keys (`store.cuts`), also in tasks, and these are the next round's.  So long ranges, wherever
+    they lie and however keys are named, end up in many tasks, the driver makes no request, and it holds no key.
+    """
+    folder, rounds = folder or shared_folder(spark), []
+    ranges = spark.createDataFrame([(i, b, p, "", None) for i, (b, p) in enumerate(scopes)], RANGES)
+    n, most = len(scopes), FIRST_KEYS
+    while n:
+        rounds.append(saved(_listed(ranges.repartition(min(n, MOST_TASKS)), store, most), folder, f"round-{len(rounds)}"))
+        left = rounds[-1].where("rest").select(RANGES.fieldNames())
+        if not (longer := left.count()):
+            break
+        ranges = saved(_cut(left.repartition(min(longer, MOST_TASKS)), store, max(0, parts - 1)), folder, f"ranges-{len(rounds)}")
+        n, most = ranges.count(), RANGE_KEYS
+    return reduce(DataFrame.unionByName, rounds).where("not rest").select(LISTED.fieldNames())
+
+
+def _listed(ranges: DataFrame, store: ObjectStore, most: int) -> DataFrame:
+    def run(rows: Iterator[dict]):
+        for r in rows:
+            own, last = {"scope": r["scope"], "bucket": r["bucket"], "rest": False}, r["after"]
+            try:
+                found = store.list(r["bucket"], r["prefix"], r["after"], r["until"])
+                for o in islice(found, most):
+                    last = o.key
+                    yield own | {"object_key": o.key, "etag": o.etag, "size": o.size, "last_modified": o.last_modified, "content_type": o.content_type}
+                if next(found, None) is not None:
+                    yield own | {"rest": True, "prefix": r["prefix"], "after": last, "until": r["until"]}
+            except Exception as e:  # the row tells the driver, which ends the scan there
+                yield own | {"error": f"{type(e).__name__}: {e}"}
 
+    return map_rows(ranges, _ROWS, run)
 
-def list_scopes(spark: SparkSession, store: ObjectStore, scopes: list[tuple[str, str]], parts: int = PARTS) -> DataFrame:
-    """The listing of every scope, cut into ranges of keys that are listed by a task each; a failure is a row with `error`."""
-    jobs = []
-    for i, (bucket, prefix) in enumerate(scopes):
-        try:
-            ends = store.cuts(bucket, prefix, max(0, parts - 1))
-        except Exception:  # listing the scope will tell
-            ends = []
-        jobs += [(i, bucket, prefix, after, until) for after, until in zip(["", *ends], [*ends, None])]
 
+def _cut(ranges: DataFrame, store: ObjectStore, most: int) -> DataFrame:
     def run(rows: Iterator[dict]):
-        for scope, bucket, prefix, after, until in (jobs[r["id"]] for r in rows):
+        for r in rows:
             try:
-                for o in store.list(bucket, prefix, after, until):
-                    yield {"scope": scope, "bucket": bucket, "object_key": o.key, "etag": o.etag, "size": o.size, "last_modified": o.last_modified, "content_type": o.content_type}
-            except Exception as e:  # the row tells the driver, which ends the scan there
-                yield {"scope": scope, "bucket": bucket, "error": f"{type(e).__name__}: {e}"}
+                ends = store.cuts(r["bucket"], r["prefix"], most, r["after"], r["until"])
+            except Exception:  # listing the range will tell
+                ends = []
+            for after, until in zip([r["after"], *ends], [*ends, r["until"]]):
+                yield r | {"after": after, "until": until}
 
-    return map_rows(spark.range(0, len(jobs), 1, max(1, len(jobs))), LISTED, run)  # a job a task
+    return map_rows(ranges, RANGES, run)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ from typing import BinaryIO
 from urllib.parse import quote, unquote_plus, urlsplit
 from xml.sax.saxutils import escape
 
-from lodestrata.sources.objectstore import NoSuchKey, ObjectInfo
+from lodestrata.sources.objectstore import NoSuchKey, ObjectInfo, probed_cuts
 
 #: Times that a call is made at most, and the seconds waited before the second one.
 ATTEMPTS, PAUSE = 4, 0.2
@@ -195,14 +195,13 @@ class S3Store:
                 when = datetime.fromisoformat(found.findtext("LastModified")).astimezone(timezone.utc).replace(microsecond=0)
                 yield ObjectInfo(key, int(found.findtext("Size")), (found.findtext("ETag") or "").strip('"'), when, "")
 
-    def cuts(self, bucket: str, prefix: str, most: int) -> list[str]:
-        """Up to `most` keys at which a listing may be cut, in order: ends of its first level."""
-        level: list[str] = []
-        for page in self._pages(bucket, {"prefix": prefix, "delimiter": "/"}):
-            level += [p.findtext("Prefix") for p in page.iter("CommonPrefixes")]
-            if len(level) >= 1000 * most:
-                break
-        return [level[len(level) * i // (most + 1)] for i in range(1, most + 1)] if len(level) > most else level
+    def first_after(self, bucket: str, prefix: str, place: str) -> str | None:
+        """The first key with the prefix after a place: one request, one key."""
+        page = next(self._pages(bucket, {"prefix": prefix, "max-keys": "1", **({"start-after": place} if place else {})}))
+        return next((found.findtext("Key") for found in page.iter("Contents")), None)
+
+    def cuts(self, bucket: str, prefix: str, most: int, after: str = "", until: str | None = None) -> list[str]:
+        return probed_cuts(lambda place: self.first_after(bucket, prefix, place), most, after, until)
 
     def get(self, bucket: str, key: str) -> BinaryIO:
         try:

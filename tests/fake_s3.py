@@ -81,14 +81,18 @@ class Handler(BaseHTTPRequestHandler):
                 rows[key if cut < 0 else key[: cut + 1]] = cut >= 0
         after = query.get("continuation-token", query.get("start-after", ""))
         names = sorted(n for n in rows if n > after)
-        for name in names[:PAGE]:
+        size = min(PAGE, int(query.get("max-keys", PAGE)))
+        server = self.server
+        with server.lock:
+            server.pages.append((query.get("max-keys"), self.client_address, after))
+        for name in names[:size]:
             if rows[name]:
                 out += f"<CommonPrefixes><Prefix>{quote_plus(name)}</Prefix></CommonPrefixes>"
             else:
                 data, _, when = objects[name]
                 out += f"<Contents><Key>{quote_plus(name)}</Key><LastModified>{when.isoformat(timespec='milliseconds').replace('+00:00', 'Z')}</LastModified><ETag>&quot;{hashlib.md5(data).hexdigest()}&quot;</ETag><Size>{len(data)}</Size></Contents>"
-        more = len(names) > PAGE
-        token = f"<NextContinuationToken>{escape(names[PAGE - 1])}</NextContinuationToken>" if more else ""
+        more = len(names) > size
+        token = f"<NextContinuationToken>{escape(names[size - 1])}</NextContinuationToken>" if more else ""
         return f'<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/"><EncodingType>url</EncodingType><IsTruncated>{str(more).lower()}</IsTruncated>{token}{out}</ListBucketResult>'.encode()
 
     do_GET = do_HEAD = do_PUT = do_POST = handle_any
@@ -99,6 +103,7 @@ def serve(*buckets):
     """A store over a fresh endpoint; `server` of the endpoint is at `serve.server`."""
     server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     server.buckets, server.trouble, server.undeletable, server.cut = {b: {} for b in buckets}, [], {}, False
+    server.pages, server.lock = [], threading.Lock()
     server.daemon_threads = True
     threading.Thread(target=server.serve_forever, daemon=True).start()
     serve.server = server

@@ -1,11 +1,16 @@
+import bisect
 import io
+import random
 import threading
+from datetime import datetime, timezone
 
+import fake_s3
 import pytest
 
 from lodestrata.cli import Engine, main
 from lodestrata.sources.listing import ListingSource, inventory, inventory_of_files, list_scopes
-from lodestrata.sources.objectstore import FileStore, NoSuchKey, health_check
+from lodestrata.sources import listing
+from lodestrata.sources.objectstore import FileStore, NoSuchKey, health_check, probed_cuts
 from lodestrata.streaming.loop import Stopper, run_and_report, run_loop, scan_on_arrival
 
 
@@ -44,7 +49,7 @@ def test_listing_in_parts(store):
     every = sorted(keys + KEYS)
     for most in (0, 1, 3, 50):
         cuts = store.cuts("b", "", most)
-        assert len(cuts) <= most and cuts == sorted(cuts) and (most < 50 or len(cuts) == 6)
+        assert len(cuts) <= most and cuts == sorted(cuts) and (most < 3 or len(cuts) >= 3)
         found = [[o.key for o in store.list("b", "", a, z)] for a, z in zip(["", *cuts], [*cuts, None])]
         assert sorted(k for part in found for k in part) == every
     assert store.cuts("b", "none", 5) == [] and [o.key for o in store.list("b", "p/", "p/4")] and {o.key for o in store.list("b", "p/", "p/4")} == {"p/5", "p/6"}
@@ -75,6 +80,76 @@ def test_store(store):
             health_check(store, bad)
 
 
+def keys_like(kind, n, rnd):
+    names = {
+        "flat": lambda i: f"key-{i:07d}",
+        "folders": lambda i: f"{'abcde'[i % 5]}/{i % 97}/{i}",
+        "hashes": lambda i: f"{rnd.getrandbits(128):032x}",
+        "one long folder": lambda i: f"{'x' * 300}/{i}",
+        "nested": lambda i: "n" * (i + 1),
+        "odd": lambda i: "".join(rnd.choice("a\u00e9/\U0001f600\uffff\x01 ") for _ in range(6)) + str(i),
+        "hot": lambda i: f"hot/{i}" if i % 20 else f"{i}",
+    }
+    return sorted({names[kind](i) for i in range(n)})
+
+
+@pytest.mark.parametrize("kind", ["flat", "folders", "hashes", "one long folder", "nested", "odd", "hot"])
+def test_cuts_by_probing(kind):
+    """Few asks, and parts of which none holds nearly all."""
+    rnd = random.Random(kind)
+    keys = keys_like(kind, 300 if kind == "nested" else 20_000, rnd)
+    for most, after, until in ((31, "", None), (7, keys[len(keys) // 3], keys[-5]), (1, "", None), (0, "", None), (31, keys[-1], None), (31, keys[4], keys[5])):
+        asks = []
+
+        def first(place):
+            asks.append(place)
+            at = bisect.bisect_right(keys, place)
+            return keys[at] if at < len(keys) else None
+
+        cuts = probed_cuts(first, most, after, until)
+        inside = [k for k in keys if k > after and (until is None or k <= until)]
+        parts = [[k for k in inside if k > a and (z is None or k <= z)] for a, z in zip([after, *cuts], [*cuts, until])]
+        assert cuts == sorted(cuts) and len(cuts) <= most and len(asks) <= 8 * (most + 1) + 2 and [k for p in parts for k in p] == inside
+        if most == 31 and len(inside) > 1000:
+            assert len(cuts) >= 15 and max(map(len, parts)) <= 0.7 * len(inside), [len(p) for p in parts]
+
+
+def test_a_flat_bucket_is_listed_by_many_tasks(spark, s3, monkeypatch):
+    monkeypatch.setattr(listing, "FIRST_KEYS", 500)
+    monkeypatch.setattr(listing, "RANGE_KEYS", 900)
+    monkeypatch.setattr(fake_s3, "PAGE", 100)
+    objects = fake_s3.serve.server.buckets["b"]
+    objects.update({f"key-{i:07d}": (b"x", "", datetime.now(timezone.utc)) for i in range(20_000)})
+    rows = list_scopes(spark, s3, [("b", "")]).select("object_key", "error").collect()
+    assert sorted(r["object_key"] for r in rows) == sorted(objects) and not any(r["error"] for r in rows)
+    pages = [p for p in fake_s3.serve.server.pages if p[0] is None]
+    probes = len(fake_s3.serve.server.pages) - len(pages)
+    assert len(pages) <= 200 + 1.5 * 20 * 5 and probes <= 8 * 32 * 8  # hardly more pages than one listing, few asks
+    assert len([p for p in pages if p[2] and not p[2].startswith("key-0000")]) > 0
+
+
+def test_a_failure_in_one_of_many_ranges(spark, files, monkeypatch):
+    """Its scope has failed, whatever the other ranges give."""
+    monkeypatch.setattr(listing, "FIRST_KEYS", 3)
+    monkeypatch.setattr(listing, "RANGE_KEYS", 2)
+    for i in range(40):
+        files.put("b", f"n/{i:02d}", io.BytesIO(b"x"), 1, "")
+
+    rows = list_scopes(spark, Breaks(files.root), [("b", "n/"), ("b", "a/")]).collect()
+    assert {r["scope"] for r in rows if r["error"]} == {0} and 3 < sum(r["scope"] == 0 and not r["error"] for r in rows) < 40
+    assert sorted(r["object_key"] for r in rows if r["scope"] == 1) == ["a/b", "a/b/c"]
+    whole = list_scopes(spark, files, [("b", "n/"), ("b", "")], parts=4).collect()
+    assert [r["object_key"] for r in whole if r["scope"] == 0 and r["error"] is None] and len(whole) == 40 + 40 + len(KEYS)
+
+
+class Breaks(FileStore):
+    def list(self, bucket, prefix, after="", until=None):
+        for o in super().list(bucket, prefix, after, until):
+            if o.key == "n/17":
+                raise OSError("a page is missing")
+            yield o
+
+
 def test_listings(spark, store):
     rows = list_scopes(spark, store, [("b", "a/"), ("none", ""), ("b", "")]).collect()
     assert sorted(r["object_key"] for r in rows if r["scope"] == 0) == ["a/b", "a/b/c"]
