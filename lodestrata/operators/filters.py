@@ -11,17 +11,42 @@ from pyspark.sql import functions as F
 from lodestrata.schemas import KEY, POINTER_TYPE, UNCHANGED_ON
 
 
+#: Scopes that are conditions on the scan, and scopes that are broadcast, at most.
+PUSHED_SCOPES, BROADCAST_SCOPES = 50, 100_000
+
+
 def filter_scopes(listing: DataFrame, scopes: list[tuple[str, str]]) -> DataFrame:
     """Rows of each (bucket, prefix) scope, once per scope that holds them; adds the scope's columns.
 
-    One scan whatever the number of scopes: the union of their conditions is pushed to it, and a row
-    is multiplied only by the scopes that it is in.
+    A join, whatever the number of scopes: a key gives its beginnings of the lengths that prefixes have, and meets the
+    scopes on (bucket, prefix).  The scopes are broadcast if they are no more than BROADCAST_SCOPES; few of them are a
+    condition on the scan besides.
     """
     if not scopes:
         raise ValueError("no scope")
-    held = [F.when(in_scopes([(b, p)]), F.struct(F.lit(b).alias("scope_bucket"), F.lit(p).alias("scope_prefix"))) for b, p in scopes]
-    each = F.explode(F.array_compact(F.array(*held))).alias("__scope")
-    return listing.where(in_scopes(scopes)).select("*", each).select(*listing.columns, "__scope.scope_bucket", "__scope.scope_prefix")
+    spark, each = listing.sparkSession, sorted(set(scopes))
+    lengths = sorted({len(p) for _, p in each})
+    table = spark.createDataFrame(each, "scope_bucket string, scope_prefix string")
+    table = F.broadcast(table) if len(each) <= BROADCAST_SCOPES else table
+    rows = listing.where(in_scopes(each)) if len(each) <= PUSHED_SCOPES else listing
+    fits = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.char_length("object_key"))
+    begun = rows.withColumn("scope_prefix", F.explode(F.transform(fits, lambda n: F.substring(F.col("object_key"), F.lit(1), n)))).withColumn("scope_bucket", F.col("bucket"))
+    held = begun.join(table, ["scope_bucket", "scope_prefix"]).select(*listing.columns, "scope_bucket", "scope_prefix")
+    times = {s: scopes.count(s) for s in each} if len(each) < len(scopes) else {}
+    again = [s for s, n in times.items() for _ in range(n - 1)]
+    return held.unionByName(filter_scopes(listing, again)) if again else held
+
+
+def in_any_scope(rows: DataFrame, scopes: list[tuple[str, str]]) -> DataFrame:
+    """The rows that one scope at least holds: a condition for few scopes, else a semi join on their beginnings."""
+    if len(scopes) <= PUSHED_SCOPES:
+        return rows.where(in_scopes(scopes))
+    # a scope within another one adds nothing, so each row is in one of these at most
+    outer: list[tuple[str, str]] = []
+    for b, p in sorted(set(scopes)):
+        if not (outer and outer[-1][0] == b and p.startswith(outer[-1][1])):
+            outer.append((b, p))
+    return filter_scopes(rows, outer).select(rows.columns)
 
 
 def in_scopes(scopes: list[tuple[str, str]], bucket: str = "bucket", key: str = "object_key") -> Column:

@@ -132,6 +132,18 @@ def overlapping_scopes_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("object_key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("objects_scanned"), F.count("*").alias("objects_listed"))
 
 
+_MANY = [(b, f"src{i}/{j}") for b in ("en", "de", "fr", "es") for i in range(20) for j in range(125)]
+
+
+@query(
+    """s AS (SELECT b AS scope_bucket, 'src' || i || '/' || j AS scope_prefix FROM unnest(['en', 'de', 'fr', 'es']) AS x(b), range(20) AS y(i), range(125) AS z(j))
+    SELECT scope_bucket, scope_prefix, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM l0 JOIN s ON bucket = scope_bucket AND starts_with(object_key, scope_prefix) GROUP BY ALL"""
+)
+def ten_thousand_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects and bytes of each of 10,000 overlapping scopes that has any."""
+    return filters.filter_scopes(listing(spark, sf_dir), _MANY).groupBy("scope_bucket", "scope_prefix").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
 @query("r AS (SELECT 1) SELECT bucket, object_key, size FROM l0 WHERE NOT starts_with(object_key, 'src1/')")
 def exclude_blob_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing(spark, sf_dir).where(filters.outside_blob_prefix("src1/")).select("bucket", "object_key", "size")

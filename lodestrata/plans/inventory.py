@@ -19,7 +19,7 @@ def draft_inventory(state: StateStore, listed: DataFrame, scopes: list[tuple[str
     before, spark = before or state.load(), listed.sparkSession
     folder, draft = shared_folder(spark), state.draft(before)
     try:
-        rows = listed.where(filters.outside_blob_prefix(blob_prefix) & filters.in_scopes(scopes))
+        rows = filters.in_any_scope(listed.where(filters.outside_blob_prefix(blob_prefix)), scopes)
         rows = saved(before.lookup(rows).withColumn("small", filters.too_small(min_size, F.col("old.is_pointer"))), folder, "rows")
         fresh = rows.where("not small").dropDuplicates(KEY).where(~F.coalesce(filters.same_as("old") & (F.col("old.hash_algo") == algorithm), F.lit(False)))
         made = {"blob_bucket": F.col("bucket"), "blob_key": blob_key(blob_prefix, "hash"), "blob_size": F.col("size"), "last_seen_scan": F.lit(scan_id), "is_pointer": F.lit(False), "hash_algo": F.lit(algorithm)}

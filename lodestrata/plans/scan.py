@@ -19,7 +19,7 @@ from lodestrata.config import Config
 from lodestrata.functions.hashing import blob_key
 from lodestrata.operators import actions, catalog, changes, filters, relink, stats
 from lodestrata.schemas import KEY, RECORDS
-from lodestrata.session import remove_folder, saved, shared_folder
+from lodestrata.session import remove_folder, saved, shared_folder, tagged
 from lodestrata.sources.listing import list_scopes
 from lodestrata.sources.objectstore import ObjectStore
 from lodestrata.sources.reports import empty_report
@@ -50,7 +50,8 @@ def scan_once(spark: SparkSession, store: ObjectStore, state: CatalogStore, conf
     scan_id, report = str(time.time_ns()), empty_report(d.mode, started)
     folder = shared_folder(spark)
     try:
-        return _scan(spark, store, state, config, scan_id, report, folder)
+        with tagged(spark):
+            return _scan(spark, store, state, config, scan_id, report, folder)
     finally:
         report["scan_finished"] = datetime.now(timezone.utc)
         remove_folder(spark, folder)
@@ -143,7 +144,7 @@ def write_changes(before: Snapshot, draft: Draft, rows: DataFrame, accepted: Dat
     from a scope that was listed whole, leave.  `rows` are listed rows with `small` and `old`, `accepted` records with `old`."""
     dropped = rows.where("small and old is not null").dropDuplicates(KEY).select(*KEY, F.struct("old.blob_bucket", "old.blob_hash").alias("old"))
     if complete:
-        dropped = dropped.unionByName(before.missing(rows, filters.in_scopes(complete)))
+        dropped = dropped.unionByName(before.missing(rows, complete))
     moved = saved(changes.object_changes(accepted, dropped, draft.seq), folder, "moved")
     draft.write(moved, changes.blob_changes(changes.reference_changes(moved), accepted, stored, before.lookup_blobs, draft.seq))
 

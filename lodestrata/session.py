@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Marks the jobs of this process's scans, so that they can be cancelled and nothing else is.
+SCAN_TAG = f"lodestrata-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def tagged(spark: SparkSession) -> Iterator[None]:
+    """Jobs that this thread starts within carry SCAN_TAG."""
+    context = spark.sparkContext
+    context.addJobTag(SCAN_TAG)
+    try:
+        yield
+    finally:
+        context.removeJobTag(SCAN_TAG)
+
+
 def session(app: str = "lodestrata", **settings: str) -> SparkSession:
     """A session with UTC, adaptive execution and no speculation (side effects run once)."""
     builder = SparkSession.builder.appName(app)

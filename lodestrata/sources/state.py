@@ -26,12 +26,13 @@ from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.operators import changes
 from lodestrata.operators.changes import BLOB, BLOB_CHANGES, OBJECT_CHANGES, TOTALS
+from lodestrata.operators.filters import PUSHED_SCOPES, filter_scopes, in_any_scope
 from lodestrata.schemas import BLOBS, KEY, OBJECTS
 
 #: Deltas may have this part of the base's bytes, a base under SMALL bytes counting as that large; so many they may be; and
@@ -82,7 +83,7 @@ class Snapshot:
     @property
     def with_seq(self) -> DataFrame:
         merged = changes.merge_objects(self._base_objects, self._latest)
-        return merged.withColumn("last_seen_scan", _last_seen(self.at.seen)) if self.at.seen else merged
+        return _last_seen(merged, self.at.seen) if self.at.seen else merged
 
     @property
     def objects(self) -> DataFrame:
@@ -114,17 +115,23 @@ class Snapshot:
         known = F.when(F.col("__last").isNull(), F.col("__base")).when(~F.col("__last.removed"), now)
         return rows.join(base, BLOB, "left").join(folded, BLOB, "left").withColumn("blob", known).drop("__base", "__change", "__last")
 
-    def missing(self, listed: DataFrame, in_scope: Column) -> DataFrame:
+    def missing(self, listed: DataFrame, scopes: list[tuple[str, str]]) -> DataFrame:
         """Objects of the scopes whose key is not listed, with `old`."""
-        gone = self.with_seq.where(in_scope).select(*KEY, "blob_bucket", "blob_hash").join(listed.select(KEY), KEY, "left_anti")
+        named = changes.merge_objects(self._base_objects, self._latest).select(*KEY, "blob_bucket", "blob_hash").join(listed.select(KEY), KEY, "left_anti")
+        gone = in_any_scope(named, scopes)
         return gone.select(*KEY, F.struct("blob_bucket", "blob_hash").alias("old"))
 
 
-def _last_seen(seen: list[list]) -> Column:
-    """The scan that wrote an object, or a later one that listed a scope that it is in."""
-    scopes = F.array(*[F.struct(F.lit(n).cast("long").alias("seq"), F.lit(scan).alias("scan"), F.lit(b).alias("bucket"), F.lit(p).alias("prefix")) for b, p, scan, n in seen])
-    covering = F.filter(scopes, lambda s: (s["bucket"] == F.col("bucket")) & F.col("object_key").startswith(s["prefix"]) & (s["seq"] > F.col("seq")))
-    return F.coalesce(F.array_max(covering)["scan"], "last_seen_scan")
+def _last_seen(merged: DataFrame, seen: list[list]) -> DataFrame:
+    """`last_seen_scan`: the scan that wrote an object, or a later one that listed a scope that it is in."""
+    if len(seen) <= PUSHED_SCOPES:
+        scopes = F.array(*[F.struct(F.lit(n).cast("long").alias("seq"), F.lit(scan).alias("scan"), F.lit(b).alias("bucket"), F.lit(p).alias("prefix")) for b, p, scan, n in seen])
+        covering = F.filter(scopes, lambda s: (s["bucket"] == F.col("bucket")) & F.col("object_key").startswith(s["prefix"]) & (s["seq"] > F.col("seq")))
+        return merged.withColumn("last_seen_scan", F.coalesce(F.array_max(covering)["scan"], "last_seen_scan"))
+    scans = merged.sparkSession.createDataFrame([tuple(x) for x in seen], "scope_bucket string, scope_prefix string, scan string, at bigint")
+    held = filter_scopes(merged.select(*KEY, "seq"), [(b, p) for b, p, *_ in seen]).join(scans, ["scope_bucket", "scope_prefix"]).where("at > seq")
+    latest = held.groupBy(KEY).agg(F.max(F.struct("at", "scan")).alias("__last"))
+    return merged.join(latest, KEY, "left").withColumn("last_seen_scan", F.coalesce("__last.scan", "last_seen_scan")).drop("__last")
 
 
 class CatalogStore(Protocol):

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestrata.session import SCAN_TAG
 from lodestrata.sources.reports import write_report
 
 log = logging.getLogger("lodestrata")
@@ -50,7 +51,7 @@ def run_loop(interval: float, scan: Callable[[], dict], out: str | None = None,
 
 
 class Stopper:
-    """First signal: finish the scan; second: cancel Spark's jobs."""
+    """First signal: finish the scan; second: cancel the jobs of this process's scans, and no others of the session."""
 
     def __init__(self, spark: SparkSession):
         self.stop, self.spark = threading.Event(), spark
@@ -59,7 +60,7 @@ class Stopper:
     def _on(self, *_):
         if self.stop.is_set():
             log.warning("forced shutdown: cancelling jobs")
-            self.spark.sparkContext.cancelAllJobs()
+            self.spark.sparkContext.cancelJobsWithTag(SCAN_TAG)
         else:
             log.warning("shutdown requested: finishing the scan")
             self.stop.set()

@@ -158,7 +158,7 @@ def test_the_catalog_is_not_shuffled(spark, tmp_path):
     try:
         for df, rows, name in (
             (snap.lookup(listed), 900, "objects"),
-            (snap.missing(listed, filters.in_scopes([("b", "")])), 100, "objects"),
+            (snap.missing(listed, [("b", "")]), 100, "objects"),
             (snap.lookup_blobs(listed.select("bucket", F.concat(F.lit("h"), F.length("object_key")).alias("hash"))), 900, "blobs"),
             (snap.lookup(listed).where(~F.coalesce(filters.same_as("old"), F.lit(False))), 900, "objects"),
         ):
@@ -215,6 +215,16 @@ def test_scopes_that_were_seen(spark, tmp_path):
     assert {(r["bucket"], r["object_key"]): r["last_seen_scan"] for r in snap.objects.collect()} == {("b", "x/1"): "scan-2", ("b", "y/1"): "scan-1", ("c", "x/1"): "scan-1"}
 
 
+def test_thousands_of_scopes_that_were_seen(spark, tmp_path):
+    state = StateStore(spark, str(tmp_path), small=0)
+    rows = [("b", f"{i}/1", "h") for i in range(300)]
+    scan_inventory(state, inventory(spark, rows), [("b", "")], "scan-1")
+    some = [("b", f"{i}/") for i in range(100, 300)] + [("b", "10")]
+    snap = scan_inventory(state, inventory(spark, [r for r in rows if r[1] != "150/1"]), some, "scan-2")
+    found = {r["object_key"]: r["last_seen_scan"] for r in snap.objects.collect()}
+    assert found == {k: "scan-2" if int(k[:-2]) >= 100 or k.startswith("10") else "scan-1" for _, k, _ in rows if k != "150/1"}
+
+
 def test_a_marker_is_never_replaced(spark, tmp_path):
     state = StateStore(spark, str(tmp_path))
     assert state._put_if_absent("CURRENT-1", b"one") and not state._put_if_absent("CURRENT-1", b"two")

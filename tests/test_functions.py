@@ -78,3 +78,24 @@ def test_durations():
     for bad in ("", "5", "s", "1x", "1h 2m"):
         with pytest.raises(ValueError):
             duration_seconds(bad)
+
+
+def test_ten_thousand_scopes(spark, monkeypatch):
+    """A plan whose size does not follow their number, and the rows of the conditions."""
+    import random
+
+    from lodestrata.operators import filters
+
+    rnd = random.Random(1)
+    keys = [("ab"[i % 2], "".join(rnd.choice("xy/é") for _ in range(rnd.randint(0, 6)))) for i in range(500)]
+    listed = spark.createDataFrame([(b, k, i) for i, (b, k) in enumerate(keys)], "bucket string, object_key string, size long")
+    scopes = [("a", ""), ("b", "x"), ("b", "xy"), ("b", "xy"), ("b", "é/"), ("c", "")]
+    wanted = sorted((i, b, p) for b, p in scopes for i, (bucket, k) in enumerate(keys) if bucket == b and k.startswith(p))
+    for pushed, broadcast in ((50, 100_000), (0, 100_000), (0, 0)):
+        monkeypatch.setattr(filters, "PUSHED_SCOPES", pushed)
+        monkeypatch.setattr(filters, "BROADCAST_SCOPES", broadcast)
+        assert sorted((r["size"], r["scope_bucket"], r["scope_prefix"]) for r in filters.filter_scopes(listed, scopes).collect()) == wanted
+        assert sorted(r["size"] for r in filters.in_any_scope(listed, scopes).collect()) == sorted({i for i, *_ in wanted})
+    many = [("b", f"p{i}/") for i in range(10_000)]
+    plan = filters.filter_scopes(listed, many)._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 10_000 and filters.filter_scopes(listed, many).count() == 0

@@ -1,4 +1,5 @@
 import bisect
+import contextlib
 import io
 import random
 import threading
@@ -6,8 +7,10 @@ from datetime import datetime, timezone
 
 import fake_s3
 import pytest
+from pyspark import InheritableThread
 
 from lodestrata.cli import Engine, main
+from lodestrata.session import SCAN_TAG, tagged
 from lodestrata.sources.listing import ListingSource, inventory, inventory_of_files, list_scopes
 from lodestrata.sources import listing
 from lodestrata.sources.objectstore import FileStore, NoSuchKey, health_check, probed_cuts
@@ -195,7 +198,7 @@ def test_signals():
 
     class Session:
         class sparkContext:
-            cancelAllJobs = staticmethod(lambda: cancelled.append(1))
+            cancelJobsWithTag = staticmethod(lambda tag: cancelled.append(tag))
 
     stopper = Stopper(Session())
     try:
@@ -208,11 +211,43 @@ def test_signals():
 
         assert run_loop(0.001, scan, stop=stopper.stop) == 1 and scans == [1]
         os.kill(os.getpid(), signal.SIGINT)
-        assert cancelled == [1]
+        assert cancelled == [SCAN_TAG]
     finally:
         stopper.restore()
 
 
+def test_a_second_signal_spares_the_jobs_of_others(spark):
+    import os
+    import signal
+    import time
+
+    def slow(batches):
+        time.sleep(6)
+        yield from batches
+
+    done = {}
+
+    def job(name, own):
+        try:
+            with tagged(spark) if own else contextlib.nullcontext():
+                done[name] = spark.range(3).mapInArrow(slow, "id long").count()
+        except Exception as e:
+            done[name] = type(e).__name__
+
+    threads = [InheritableThread(target=job, args=x) for x in (("scan", True), ("other", False))]
+    stopper = Stopper(spark)
+    try:
+        for t in threads:
+            t.start()
+        time.sleep(3)
+        os.kill(os.getpid(), signal.SIGTERM), os.kill(os.getpid(), signal.SIGTERM)
+        for t in threads:
+            t.join(60)
+    finally:
+        stopper.restore()
+    assert done["other"] == 3 and done["scan"] != 3
+
+
 CONFIG = """
 s3: {{endpoint: "{root}", buckets: [{{name: b, prefix: ""}}]}}
 dedup: {{mode: report_only, min_size_bytes: 0}}
