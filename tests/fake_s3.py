@@ -84,6 +84,7 @@ class Handler(BaseHTTPRequestHandler):
         size = min(PAGE, int(query.get("max-keys", PAGE)))
         server = self.server
         with server.lock:
+            server.prefixes.add(prefix)
             server.pages.append((query.get("max-keys"), self.client_address, after))
         for name in names[:size]:
             if rows[name]:
@@ -103,7 +104,7 @@ def serve(*buckets):
     """A store over a fresh endpoint; `server` of the endpoint is at `serve.server`."""
     server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     server.buckets, server.trouble, server.undeletable, server.cut = {b: {} for b in buckets}, [], {}, False
-    server.pages, server.lock = [], threading.Lock()
+    server.pages, server.prefixes, server.lock = [], set(), threading.Lock()
     server.daemon_threads = True
     threading.Thread(target=server.serve_forever, daemon=True).start()
     serve.server = server

@@ -173,6 +173,53 @@ def test_inventories(spark, files, tmp_path):
         assert [tuple(r)[:4] for r in inventory_of_files(spark, str(tmp_path / name), "q").collect()] == [("q", "d/x.txt", "", 3)]
 
 
+def test_filters_reach_the_store(spark, s3):
+    """Requests name the pushed prefix, and only scopes that can hold rows are asked."""
+    server = fake_s3.serve.server
+    server.buckets["c"] = {}
+    for bucket in "bc":
+        server.buckets[bucket].update({f"{d}/{i:03d}": (b"x", "", datetime.now(timezone.utc)) for d in "pqr" for i in range(40)})
+    spark.dataSource.register(listing.ListingSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        options = {"endpoint": s3.endpoint, "access_key": s3.access_key, "secret_key": s3.secret_key, "region": s3.region, "scopes": "b/,c/,b/q/", "parts": "3", "push": "true"}
+        rows = lambda where: sorted((r["bucket"], r["object_key"]) for r in spark.read.format("lodestrata_listing").options(**options).load().where(where).collect())
+        for where, wanted, prefixes in (
+            ("bucket = 'b' and object_key like 'q/%'", [("b", f"q/{i:03d}") for i in range(40) for _ in range(2)], {"q/"}),
+            ("bucket = 'b' and object_key like 'p/01%'", [("b", f"p/01{i}") for i in range(10)], {"p/01"}),
+            ("object_key = 'r/005'", [("b", "r/005"), ("c", "r/005")], {"r/005"}),
+            ("object_key = 'none' or size = 1", [(b, f"{d}/{i:03d}") for b in "bc" for d in "pqr" for i in range(40)] + [("b", f"q/{i:03d}") for i in range(40)], {"", "q/"}),
+            ("bucket = 'x'", [], set()),
+        ):
+            server.prefixes = set()
+            assert rows(where) == sorted(wanted) and server.prefixes == prefixes
+        assert spark.read.format("lodestrata_listing").options(**options).load().rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_stream_of_objects_has_each_once(spark, files, tmp_path):
+    import time
+
+    spark.dataSource.register(listing.ListingSource)
+    source = spark.readStream.format("lodestrata_listing").option("root", files.root).option("scopes", "b/").option("settle", "0.05").load()
+    put = lambda *keys: [files.put("b", k, io.BytesIO(b"x"), 1, "") for k in keys]
+    out = str(tmp_path / "out")
+
+    def run():
+        time.sleep(0.2)
+        source.select("object_key").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).option("path", out).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(r[0] for r in spark.read.parquet(out).collect())
+
+    assert run() == KEYS
+    put("new/1", "new/2")
+    assert run() == sorted([*KEYS, "new/1", "new/2"])
+    put("new/2", "new/3")  # written again, and new
+    files.remove("b", ["a"])
+    assert run() == sorted([*KEYS, "new/1", "new/2", "new/2", "new/3"])
+    assert run() == sorted([*KEYS, "new/1", "new/2", "new/2", "new/3"])
+
+
 def test_loop(tmp_path):
     calls, stop = [], threading.Event()
 
