@@ -46,7 +46,7 @@ LINK_WORDS, LINK_SHARE = 20, 0.6
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title object canvas audio video noframes xmp".split())
+RAW = frozenset("script style noscript template iframe svg textarea title canvas audio video noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -64,6 +64,8 @@ NEUTRAL = frozenset(
     "area bar bottom box btn button buttons center container content div el element fixed form foot head icon icons inner inline item items label left "
     "line link links list main menu message module outer page panel post right row section site slot small text thread title top unit wrap wrapper zone".split()
 )
+CELLS = frozenset("td th caption".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 CLOSES_P = BLOCK - frozenset(["body", "html"])
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
@@ -190,10 +192,17 @@ def _blocks(page: str, unwrap: bool) -> tuple[list[Block], bool]:
             if name in BLOCK:
                 flush()
             if opened[name] > 0:
-                close(name)
+                if name in BLOCK or name in CELLS or _closes(stack, name):
+                    close(name)
+                elif name in FORMATTING:  # it ends, and the blocks in it do not
+                    at_last = max(i for i, (top, _) in enumerate(stack) if top == name)
+                    _, bits = stack.pop(at_last)
+                    opened[name] -= 1
+                    for bit in on:
+                        on[bit] -= bool(bits & bit)
             continue
         if name in RAW:
-            if name in ("svg", "math", "canvas", "object", "audio", "video", "iframe", "noframes") and attributes.endswith("/"):
+            if name in ("svg", "canvas", "audio", "video", "iframe", "noframes") and attributes.endswith("/"):
                 continue
             end = _END_OF[name].search(page, at)
             at = end.end() if end else n
@@ -240,7 +249,7 @@ def _blocks(page: str, unwrap: bool) -> tuple[list[Block], bool]:
 
 
 def _closes(stack: list[tuple[str, int]], name: str) -> bool:
-    """Whether an open `name` lies above the next element that holds blocks of its own."""
+    """Whether an open `name` lies above the next element that holds blocks of its own: other end tags mean nothing."""
     for top, _ in reversed(stack):
         if top == name:
             return True
