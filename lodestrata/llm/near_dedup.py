@@ -196,23 +196,31 @@ BLOCK, BLOCK_SHINGLES, GROUP = 256, 1 << 20, 64
 
 
 def _buckets(reps: DataFrame, folder: str, p: Params) -> DataFrame:
-    """band, key, salt, rep, head (its smallest member) and size of the buckets with at least two members."""
+    """band, key, salt, rep, n_shingles, head (its smallest member) and size of the buckets with at least two members."""
     width = 4 * p.rows
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * width + 1}, {width})")).alias("key")) for i in range(p.bands)])
-    bands = salted(reps.select("rep", F.explode(keys).alias("k")).select("rep", "k.*"), "rep")
+    bands = salted(reps.select("rep", "n_shingles", F.explode(keys).alias("k")).select("rep", "n_shingles", "k.*"), "rep")
     shared = bands.groupBy("band", "key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("size"), salts_seen()).where("head <> last").drop("last")
-    return saved(bands.join(spread(shared), ["band", "key", "salt"]).select("band", "key", "salt", "rep", "head", "size"), folder, "buckets")
+    return saved(bands.join(spread(shared), ["band", "key", "salt"]).select("band", "key", "salt", "rep", "n_shingles", "head", "size"), folder, "buckets")
+
+
+def _dealt(buckets: DataFrame) -> DataFrame:
+    """(a, b, g): every partner a of a head b once, in groups that have GROUP texts and BLOCK_SHINGLES shingles at most but for
+    chance and for single texts: by the number and the shingles of all different partners of b, in whatever buckets, half of
+    that is what a group has on average."""
+    pairs = salted(buckets.where("rep <> head").groupBy(F.col("rep").alias("a"), F.col("head").alias("b")).agg(F.max("n_shingles").alias("s")), "a")
+    groups = F.greatest(F.ceil(2 * F.count("*") / GROUP), F.ceil(2 * F.sum("s") / BLOCK_SHINGLES)).alias("groups")
+    return pairs.join(spread(pairs.groupBy("b").agg(groups, salts_seen())), ["b", "salt"]).select("a", "b", F.pmod(F.xxhash64("a", "b"), F.col("groups")).alias("g"))
 
 
 def _star_links(buckets: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Links (u, v) between members and the smallest ones of their buckets.
 
-    All partners of one head are dealt to groups of about GROUP texts by the sizes of its buckets,
-    and each group holds the head once; so the head of a hot bucket is in many small groups.
+    Each group of a head's partners holds the head once; so the head of a hot bucket, or of many small ones, is in
+    many small groups.
     """
     kind = buckets.schema["rep"].dataType.simpleString()
-    pairs = buckets.where("rep <> head").groupBy(F.col("rep").alias("a"), F.col("head").alias("b")).agg(F.max("size").alias("n"))
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / GROUP)).alias("g"))
+    dealt = _dealt(buckets)
     left = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "g", "a", "text", "sig")
     right = dealt.select("b", "g").distinct().join(texts.withColumnRenamed("id", "b"), "b").select(F.col("b").alias("head"), F.col("g").alias("part"), F.col("text").alias("head_text"), F.col("sig").alias("head_sig"))
 

@@ -65,6 +65,24 @@ def test_queries_agree_with_sql(spark, sf_dir, name):
     assert set(names) == set(got.columns) and sorted(found.fetchall(), key=str) == sorted(map(tuple, got.select(names).collect()), key=str)
 
 
+def test_partners_of_a_head_are_dealt_to_small_groups(spark):
+    """A head of 27 small buckets, of a hot one, and of one with long texts: no group is large, and no pair is lost or doubled."""
+    small = [(band, 1, 1000 * band + i, 100, 0, 40) for band in range(27) for i in range(1, 40)]
+    again = [(band, 2, 1000 + i, 100, 0, 40) for band in range(27) for i in range(1, 40)]  # partners met in other buckets too
+    hot = [(0, 3, 500_000 + i, 50, 1, 5000) for i in range(5000)]
+    long = [(0, 4, 600_000 + i, 60_000, 2, 60) for i in range(60)]
+    rows = small + again + hot + long
+    buckets = near_dedup.salted(spark.createDataFrame(rows, "band int, key long, rep long, n_shingles long, head long, size long"), "rep")
+    found = near_dedup._dealt(buckets).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == sorted({(rep, head) for _, _, rep, _, head, _ in rows})
+    weight, texts, shingled = {(rep, head): n for _, _, rep, n, head, _ in rows}, {}, {}
+    for r in found:
+        texts[r["b"], r["g"]] = texts.get((r["b"], r["g"]), 0) + 1
+        shingled[r["b"], r["g"]] = shingled.get((r["b"], r["g"]), 0) + weight[r["a"], r["b"]]
+    assert max(texts.values()) <= near_dedup.GROUP and max(shingled.values()) <= near_dedup.BLOCK_SHINGLES
+    assert len([1 for b, _ in texts if b == 0]) <= 2 * 27 * 39 / near_dedup.GROUP + 1
+
+
 def test_near_duplicates_in_a_dense_group(spark):
     """Copies with many or few edits of one text: chains, near misses, and exact copies."""
     rnd = random.Random(5)
@@ -228,6 +246,14 @@ def text_of(page):
     return html_extract.main_text(html_extract.blocks(page), None)
 
 
+def test_end_tags_stop_at_blocks_and_formulas_stay():
+    assert text_of("<body><span><article><p>one</p></span><p>two</p></article><p>menu</p>") == "one\n\ntwo"
+    assert text_of("<body><article><p>energy <math><mi>E</mi>=m</math> is <object data=x>fallback</object></p></article>") == "energy E=m is fallback"
+    assert text_of('<body><article><span class="ad"><div>x</span> y</div></span><p>z</p></article>') == "z"
+    assert text_of("<body><article><a href=x><div>one</a> two</div><p>three <b>four</p><p>five</b> six</p></article>") == "one two\n\nthree four\n\nfive six"
+    assert text_of("<body><article><table><tr><td>a</span></td><td>b</td></tr></table></article>") == "a b"
+
+
 def test_html_cases():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>";</script></head><body class="with-sidebar">
     <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><!-- <p>no</p> --><div class="ad">buy</div>
