@@ -10,7 +10,6 @@ from __future__ import annotations
 import io
 import itertools
 import math
-import tempfile
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
@@ -32,8 +31,6 @@ STORED = struct("bucket string, hash string, stored_size bigint, uploaded bigint
 FINISHED = struct("bucket string, object_key string, hash string, listed_size bigint, etag string, now_size bigint, last_modified timestamp, uploaded bigint, relinked boolean, changed boolean, error string")
 DELETED = struct("bucket string, blob_key string, hash string, size bigint, deleted boolean, error string")
 
-#: Objects up to this size are buffered in memory while they are copied; a larger one needs its size of the task's temp folder.
-SPOOL = 16 << 20
 #: A pointer document is shorter than this, whatever its keys need of escapes.
 POINTER_BYTES = 32 << 10
 #: Bytes of bodies and number of objects of a task, about.
@@ -98,7 +95,8 @@ def inspect(work: DataFrame, store: ObjectStore, algorithm: str, blob_prefix: st
 
 
 def store_blobs(first: DataFrame, store: ObjectStore, algorithm: str, blob_prefix: str, threads: int = 1) -> DataFrame:
-    """One row per (bucket, hash), from `object_key`: finds the blob or uploads it, verified by hash."""
+    """One row per (bucket, hash), from `object_key`: finds the blob, or has the store copy the object, which must still have
+    the etag that it had before its body was hashed."""
 
     def one(r):
         row = {"bucket": r.bucket, "hash": r.hash, "uploaded": 0, "first_key": r.object_key}
@@ -109,22 +107,16 @@ def store_blobs(first: DataFrame, store: ObjectStore, algorithm: str, blob_prefi
                 return row
             except NoSuchKey:
                 pass
-            with tempfile.SpooledTemporaryFile(SPOOL) as copy, store.get(r.bucket, r.object_key) as body:
-                while part := body.read(1 << 20):
-                    copy.write(part)
-                size = copy.tell()
-                copy.seek(0)
-                if hash_stream(copy, algorithm)[0] != r.hash:
-                    raise ValueError("the object changed before its blob was stored")
-                copy.seek(0)
-                if store.put(r.bucket, key, copy, size, r.content_type or "") != size:
-                    raise ValueError("blob was not stored whole")
-            row |= {"stored_size": store.stat(r.bucket, key).size, "uploaded": size}
+            store.copy(r.bucket, r.object_key, key, r.seen_etag, r.size, r.content_type or "")
+            size = store.stat(r.bucket, key).size
+            if size != r.size:
+                raise ValueError("blob was not stored whole")
+            row |= {"stored_size": size, "uploaded": size}
         except Exception as e:
             row["error"] = f"{type(e).__name__}: {e}"
         return row
 
-    return _mapped(first.select("bucket", "hash", "object_key", "content_type"), STORED, one, threads)
+    return _mapped(first.select("bucket", "hash", "object_key", "content_type", "size", "seen_etag"), STORED, one, threads)
 
 
 def finish_objects(hashed: DataFrame, store: ObjectStore, blob_prefix: str, replace: bool, threads: int = 1) -> DataFrame:

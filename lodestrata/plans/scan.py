@@ -85,7 +85,7 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
     plain = fine.where("not is_pointer")
     stored = fine.where("is_pointer").select(F.col("blob_bucket").alias("bucket"), "hash")
     if d.mode == "pointer":
-        first = plain.groupBy("bucket", "hash").agg(F.min(F.struct("object_key", "content_type", "size")).alias("f")).select("bucket", "hash", "f.*")
+        first = plain.groupBy("bucket", "hash").agg(F.min(F.struct("object_key", "content_type", "size", "seen_etag")).alias("f")).select("bucket", "hash", "f.*")
         first, threads = actions.deal(saved(first, folder, "first"), "size", workers)
         blobs = saved(actions.store_blobs(first, store, d.hash_algo, d.blob_prefix, threads), folder, "stored")
         # dealt anew: after the join all objects of a hot blob stand in a few partitions, and each costs calls, but no body

@@ -57,7 +57,39 @@ class Handler(BaseHTTPRequestHandler):
                 else:
                     objects.pop(found.text, None)
             return self.answer(200, f'<DeleteResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/">{answer}</DeleteResult>'.encode())
+        server.connections.add(self.client_address)
+        if self.command == "DELETE":
+            server.uploads.pop(query.get("uploadId"), None) if "uploadId" in query else objects.pop(key, None)
+            return self.answer(204)
+        if self.command == "POST" and "uploads" in query:
+            upload = f"upload-{len(server.uploads)}"
+            server.uploads[upload] = (self.headers.get("content-type", "binary/octet-stream"), {})
+            return self.answer(200, f"<InitiateMultipartUploadResult><UploadId>{upload}</UploadId></InitiateMultipartUploadResult>".encode())
+        if self.command == "POST" and "uploadId" in query:
+            kind, parts = server.uploads.pop(query["uploadId"])
+            wanted = [(int(p.findtext("PartNumber")), p.findtext("ETag")) for p in ET.fromstring(body).iter("Part")]
+            if [(n, f'"{hashlib.md5(parts[n]).hexdigest()}"') for n in sorted(parts)] != wanted:
+                return self.answer(200, b"<Error><Code>InvalidPart</Code></Error>")
+            objects[key] = (b"".join(parts[n] for n in sorted(parts)), kind, datetime.now(timezone.utc))
+            return self.answer(200, b"<CompleteMultipartUploadResult><ETag>&quot;x-2&quot;</ETag></CompleteMultipartUploadResult>")
         if self.command == "PUT":
+            kind = self.headers.get("content-type", "binary/octet-stream")
+            if source := self.headers.get("x-amz-copy-source"):
+                _, name, there = unquote(source).split("/", 2)
+                body, kind, _ = server.buckets[name][there]
+                if self.headers["x-amz-copy-source-if-match"] != f'"{hashlib.md5(body).hexdigest()}"':
+                    return self.error(412, "PreconditionFailed")
+                if span := self.headers.get("x-amz-copy-source-range"):
+                    first, _, last = span.removeprefix("bytes=").partition("-")
+                    body = body[int(first) : int(last) + 1]
+                server.copies += 1
+            if "uploadId" in query:
+                server.uploads[query["uploadId"]][1][int(query["partNumber"])] = body
+            if "uploadId" in query or source:
+                etag = f'"{hashlib.md5(body).hexdigest()}"'
+                if "uploadId" not in query:
+                    objects[key] = (body, kind, datetime.now(timezone.utc))
+                return self.answer(200, f"<CopyResult><ETag>{escape(etag)}</ETag></CopyResult>".encode() if source else b"", ETag=etag)
             objects[key] = (body, self.headers.get("content-type", "binary/octet-stream"), datetime.now(timezone.utc))
             return self.answer(200)
         if key:
@@ -96,7 +128,7 @@ class Handler(BaseHTTPRequestHandler):
         token = f"<NextContinuationToken>{escape(names[size - 1])}</NextContinuationToken>" if more else ""
         return f'<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/"><EncodingType>url</EncodingType><IsTruncated>{str(more).lower()}</IsTruncated>{token}{out}</ListBucketResult>'.encode()
 
-    do_GET = do_HEAD = do_PUT = do_POST = handle_any
+    do_GET = do_HEAD = do_PUT = do_POST = do_DELETE = handle_any
 
 
 @contextlib.contextmanager
@@ -104,7 +136,7 @@ def serve(*buckets):
     """A store over a fresh endpoint; `server` of the endpoint is at `serve.server`."""
     server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     server.buckets, server.trouble, server.undeletable, server.cut = {b: {} for b in buckets}, [], {}, False
-    server.pages, server.prefixes, server.lock = [], set(), threading.Lock()
+    server.pages, server.prefixes, server.lock, server.connections, server.uploads, server.copies = [], set(), threading.Lock(), set(), {}, 0
     server.daemon_threads = True
     threading.Thread(target=server.serve_forever, daemon=True).start()
     serve.server = server

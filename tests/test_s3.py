@@ -71,6 +71,47 @@ def test_bulk_deletes(s3, monkeypatch):
     assert s3.remove("b", ["never there"]) == ["never there"] and s3.remove("b", []) == []
 
 
+def test_connections_are_used_again(s3):
+    for i in range(20):
+        s3.put("b", f"k{i}", io.BytesIO(b"x" * i), i, "text/x")
+        assert s3.stat("b", f"k{i}").size == i and s3.get("b", f"k{i}").read() == b"x" * i
+    with s3.get("b", "k9") as body:
+        body.read()
+    assert len(list(s3.list("b", ""))) == 20 and len(serve.server.connections) <= 25  # a body that nobody closes keeps its own
+    before = len(serve.server.connections)
+    for i in range(20):
+        with s3.get("b", f"k{i}") as body:
+            body.read()
+        with pytest.raises(s3store.NoSuchKey):
+            s3.stat("b", "none")
+    assert len(serve.server.connections) <= before + 1
+    s3store._CONNECTIONS.idle[next(iter(s3store._CONNECTIONS.idle))].sock.shutdown(2)  # closed while it was idle
+    assert s3.stat("b", "k3").size == 3
+
+
+@pytest.mark.parametrize("size", [10, 11, 35, 40])
+def test_large_bodies_go_in_parts(s3, monkeypatch, size):
+    monkeypatch.setattr(s3store, "ONE_PUT", 10)
+    monkeypatch.setattr(s3store, "PART_BYTES", 8)
+    data = bytes(range(size))
+    body = io.BytesIO(b"before" + data)
+    body.seek(6)
+    serve.server.trouble = [500]
+    assert s3.put("b", "large", body, size, "text/x") == size and s3.get("b", "large").read() == data and s3.stat("b", "large").content_type == "text/x"
+    s3.copy("b", "large", "a copy/é", s3.stat("b", "large").etag, size, "text/x")
+    assert s3.get("b", "a copy/é").read() == data and s3.stat("b", "a copy/é").content_type == "text/x" and serve.server.copies == (1 if size == 10 else -(-size // 8))
+    with pytest.raises(s3store.S3Error):
+        s3.copy("b", "large", "another", "other etag", size, "")
+    assert not serve.server.uploads and "another" not in serve.server.buckets["b"]
+
+
+def test_deletes_of_keys_that_xml_cannot_hold(s3):
+    keys = ["plain", "a\rb", "c\x01", "d\te", "\ufffe"]
+    for k in keys:
+        s3.put("b", k, io.BytesIO(b"x"), 1, "")
+    assert sorted(s3.remove("b", keys)) == sorted(keys) and not serve.server.buckets["b"]
+
+
 def test_store_of_a_configuration(tmp_path):
     assert store_of(Storage(endpoint=f"file://{tmp_path}")).root == str(tmp_path) and isinstance(store_of(Storage(endpoint=str(tmp_path))), FileStore)
     found = store_of(Storage(endpoint="host:9000", access_key="a", secret_key="s", use_path_style=True))
@@ -90,6 +131,7 @@ def test_scan_of_a_bucket(spark, s3, tmp_path, workers):
     state = StateStore(spark, str(tmp_path / "state"))
     first = scan_once(spark, s3, state, config)
     assert (first["objects_scanned"], first["unique_blobs"], first["duplicates_found"], first["objects_relinked"], first["errors"]) == (20, 5, 15, 20, 0)
+    assert serve.server.copies == 5  # no task has put a body
     assert all(s3.stat("b", k).content_type == POINTER_TYPE for k in bodies) and sum(o.key.startswith("blobs/") for o in s3.list("b", "")) == 5
     s3.remove("b", [k for i, k in enumerate(bodies) if i % 5 == 0])
     second = scan_once(spark, s3, state, config)
