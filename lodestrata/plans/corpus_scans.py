@@ -8,21 +8,26 @@ the SQL derives the same from the documents.
 from __future__ import annotations
 
 import io
+from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.config import Bucket, Config
-from lodestrata.operators import catalog
-from lodestrata.plans.corpus import CHANGED, GONE, MIN_SIZE, NEW, PREFIX, Query, listing, moved_on, registrar
+from lodestrata.operators import catalog, relink
+from lodestrata.plans.corpus import _WITH as WITH
+from lodestrata.plans.corpus import CHANGED, GONE, MIN_SIZE, NEW, PREFIX, Query, listing, moved_on, registrar, report_row
+from lodestrata.plans.corpus import ORACLES as ORACLES_OF_CORPUS
 from lodestrata.plans.scan import scan_once
 from lodestrata.schemas import KEY, struct
 from lodestrata.session import shared_folder
 from lodestrata.sources.listing import list_scopes
 from lodestrata.sources.objectstore import FileStore
-from lodestrata.sources.reports import report_frame
+from lodestrata.sources.reports import read_report, report_frame, write_report
 from lodestrata.sources.rows import map_rows
 from lodestrata.sources.state import StateStore
+from lodestrata.streaming.loop import run_loop
 
 BUCKET, KIND = "corpus", "text/plain"
 #: Sources whose bodies cannot be read, whose blobs are lost, and for whose blobs other bytes stand in storage.
@@ -161,6 +166,72 @@ def scan_collects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.join(after.agg(F.count("*").alias("blobs_left")))  # one row each
 
 
+_BOTH = _report("pointer", "d2", "d2", "CAST(0 AS BIGINT)", _saved("new", "SELECT hash FROM d1"))
+
+
+@query(
+    f"""{_D1}, {_D2}, new AS (SELECT * FROM d2 WHERE source IN ('{NEW}', '{CHANGED}')), dead AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM (SELECT DISTINCT hash, size FROM d1 WHERE hash NOT IN (SELECT hash FROM d2))),
+    {_BOTH.replace("SELECT (SELECT count(*)", ", p AS (SELECT (SELECT count(*)", 1)}) SELECT p.* REPLACE (bytes_reclaimable + dead.bytes AS bytes_reclaimable, bytes_reclaimed + dead.bytes AS bytes_reclaimed) FROM p, dead"""
+)
+def scan_relinks_and_collects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a scan that replaces new objects and collects the blobs of those that are gone: collected bytes count in both sums."""
+    c = Corpus(spark, sf_dir)
+    c.put(c.objects(1))
+    c.scan()
+    c.remove(c.objects(0).where(source_of() == GONE))
+    c.put(c.objects(2).where(source_of().isin(NEW, CHANGED)))
+    return c.scan()
+
+
+def _epoch(view: str, number: int) -> str:
+    return f"""SELECT {number} AS epoch, (SELECT count(*) FROM {view}) AS objects_scanned, count(*) AS unique_blobs, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates_found,
+    CAST(coalesce(sum((n - 1) * size), 0) AS BIGINT) AS bytes_reclaimable, CAST(0 AS BIGINT) AS errors FROM (SELECT hash, size, count(*) AS n FROM {view} GROUP BY ALL)"""
+
+
+@query(f"{_D0}, {_D1}, {_D2} {_epoch('d1', 1)} UNION ALL {_epoch('d0', 2)} UNION ALL {_epoch('d2', 3)}")
+def loop_over_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of the loop's first three scans: a source comes, then another one goes and a third changes."""
+    c, reports = Corpus(spark, sf_dir, "report_only"), []
+
+    def before(epoch: int) -> None:
+        if epoch == 0:
+            c.put(c.objects(1))
+        elif epoch == 1:
+            c.put(c.objects(0).where(source_of() == NEW))
+        else:
+            c.remove(c.objects(0).where(source_of() == GONE))
+            c.put(c.objects(2).where(source_of() == CHANGED))
+
+    def scan() -> dict:
+        before(len(reports))
+        reports.append(scan_once(spark, c.store, c.state, c.config))
+        return reports[-1]
+
+    run_loop(0.0, scan, scans=3)
+    names = ("objects_scanned", "unique_blobs", "duplicates_found", "bytes_reclaimable", "errors")
+    return spark.createDataFrame([(i, *(r[n] for n in names)) for i, r in enumerate(reports, 1)], "epoch int, " + ", ".join(f"{n} bigint" for n in names))
+
+
+@query(ORACLES_OF_CORPUS["report_row"][len(WITH) :])
+def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report that was written as JSON and read again."""
+    now, path = datetime.now(timezone.utc), Path(shared_folder(spark).removeprefix("file://"))
+    path.mkdir(parents=True)
+    write_report(f"{path}/report.json", report_row(spark, sf_dir).first().asDict() | dict.fromkeys(TIMES, now))
+    found = read_report(f"{path}/report.json")
+    if any(found[t] != now for t in TIMES):
+        raise ValueError("the times differ")
+    return report_frame(spark, found).drop(*TIMES)
+
+
+@query("c AS (SELECT bucket, hash, count(*) OVER (PARTITION BY bucket) AS n FROM b2 WHERE ref_count = 0 AND substr(hash, 1, 1) IN ('0', '1', '2', '3')) SELECT bucket, hash FROM c WHERE n > 1")
+def collection_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that share a key with another one of their bucket are not collected but errors."""
+    shared = F.when(F.substring("hash", 1, 1).isin("0", "1", "2", "3"), F.lit(f"{PREFIX}shared")).otherwise(F.col("blob_key"))
+    blobs = moved_on(spark, sf_dir)[1].withColumns({"stored": F.lit(True), "blob_key": shared})
+    return relink.plan_collection(blobs, ["en", "de", "fr", "es"]).where("error is not null").select("bucket", "hash")
+
+
 _LOST = f"SELECT hash FROM d0 WHERE source = '{LOST}'"
 
 
