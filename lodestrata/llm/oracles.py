@@ -90,4 +90,28 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, id
 FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER o <= 5"""
 
-ORACLES = {"op7_near_dedup": NEAR_DEDUP, "op11_mixing": MIXING, "op12_hard_negatives": HARD_NEGATIVES, "pii_counts": PII_COUNTS, "quality_counts": QUALITY_COUNTS, "license_places": LICENSE_PLACES}
+# crc32 by its table, made of its polynomial; the near words by what is left without one character, or with any in its place
+SPELLING = r"""WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), runs AS (
+    SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents) WHERE length(w) >= 6 GROUP BY ALL
+), hashed AS (
+    SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), ord(c) - 64] END))),
+        lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS INTEGER) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM runs, crc
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), holes AS (
+    SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS kept, left(word, i) || substr(word, i + 2) AS without FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.kept = b.kept AND a.word <> b.word
+    UNION SELECT w.word, h.word, h.n FROM words w JOIN holes h ON w.word = h.without UNION SELECT h.word, w.word, w.n FROM words w JOIN holes h ON w.word = h.without
+), top AS (
+    SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word
+), formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN (SELECT min(other) FROM near x WHERE x.word = words.word AND x.m = top.m) END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM words LEFT JOIN top USING (word)
+), chain AS (
+    SELECT word, word AS place, form AS onward FROM formed UNION ALL SELECT chain.word, formed.word, formed.form FROM chain JOIN formed ON chain.onward = formed.word
+)
+SELECT word, form, place AS root, n, n_near, form_n FROM formed JOIN chain USING (word) WHERE onward IS NULL"""
+
+ORACLES = {"op7_near_dedup": NEAR_DEDUP, "op11_mixing": MIXING, "op12_hard_negatives": HARD_NEGATIVES, "op13_spelling": SPELLING, "pii_counts": PII_COUNTS, "quality_counts": QUALITY_COUNTS, "license_places": LICENSE_PLACES}
