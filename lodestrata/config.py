@@ -41,6 +41,7 @@ class Dedup:
     mode: str = "report_only"
     delete_originals: bool = False
     force: bool = False
+    collect_after: int = 0  # epochs from a blob's mark as unreferenced to its removal; 0 removes at once
 
 
 @dataclass
@@ -97,6 +98,8 @@ class Config:
             raise ValueError("blob_prefix must not be empty")
         if d.min_size_bytes < 0:
             raise ValueError("min_size_bytes must not be negative")
+        if d.collect_after < 0:
+            raise ValueError("collect_after must not be negative")
         if self.interval_seconds <= 0:
             raise ValueError("scan interval must be > 0")
         return self

@@ -183,6 +183,28 @@ def scan_relinks_and_collects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.scan()
 
 
+@query(
+    f"""{_D0}, {_D1}, {_D2}, back AS (SELECT hash FROM d0 WHERE source = '{GONE}')
+    SELECT hash, any_value(size) AS size, hash IN (SELECT hash FROM back) AS survives, CAST(hash IN (SELECT hash FROM back) AS INTEGER) = 1 AS in_storage FROM d1 WHERE hash NOT IN (SELECT hash FROM d2) GROUP BY hash"""
+)
+def scan_collects_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs that a scan has marked as unreferenced, and whether they survive the next one, for which some of their objects came back."""
+    c = Corpus(spark, sf_dir)
+    c.config.dedup.collect_after = 1
+    c.put(c.objects(1))
+    c.scan()
+    c.remove(c.objects(0).where(source_of() == GONE))
+    c.put(c.objects(2).where(source_of().isin(NEW, CHANGED)))
+    c.scan()
+    marked = c.state.load().marks.select("hash", "size")
+    c.put(c.objects(0).where(source_of() == GONE))
+    c.scan()
+    known = c.state.load().blobs.select("hash", F.lit(True).alias("known"))
+    there = list_scopes(spark, c.store, [(BUCKET, PREFIX)]).select(F.substring_index("object_key", "/", -1).alias("hash"), F.lit(True).alias("there"))
+    found = marked.join(known, "hash", "left").join(there, "hash", "left")
+    return found.select("hash", "size", F.coalesce("known", F.lit(False)).alias("survives"), F.coalesce("there", F.lit(False)).alias("in_storage"))
+
+
 def _epoch(view: str, number: int) -> str:
     return f"""SELECT {number} AS epoch, (SELECT count(*) FROM {view}) AS objects_scanned, count(*) AS unique_blobs, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates_found,
     CAST(coalesce(sum((n - 1) * size), 0) AS BIGINT) AS bytes_reclaimable, CAST(0 AS BIGINT) AS errors FROM (SELECT hash, size, count(*) AS n FROM {view} GROUP BY ALL)"""

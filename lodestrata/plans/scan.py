@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,14 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
         raise ScanError(f"blob_prefix {d.blob_prefix!r} differs from the catalog's {before.meta['blob_prefix']!r}", report)
     workers = actions.worker_count(config.schedule.workers, spark.sparkContext.defaultParallelism)
 
+    # a sweep that is open was left by a driver that is lost, or is still at it: what it removes is deleted, and not made anew in this scan
+    sweeping, closed, healed = None, set(), 0
+    if d.mode == "pointer" and before.at.sweeps:
+        sweeping, closed = saved(before.sweeping(), folder, "sweeping"), set(before.at.sweeps)
+        healed, troubles = _delete(sweeping, store, folder, "healed")
+        report["errors"] += troubles
+        closed = set() if troubles else closed
+
     listed = list_scopes(spark, store, config.scopes, folder=f"{folder}/listed")
     failed = listed.where("error is not null").orderBy("scope").select("scope", "error").first()
     last = len(config.scopes) if failed is None else failed["scope"]
@@ -81,6 +90,14 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
     outcomes = saved(actions.inspect(work, store, d.hash_algo, d.blob_prefix, threads), folder, "inspected")
     errors = outcomes.where("error is not null").select(*KEY, "error")
     fine = outcomes.where("error is null").withColumn("is_pointer", F.col("kind") == "pointer")
+    if sweeping is not None:
+        gone = sweeping.select(F.col("bucket").alias("blob_bucket"), "hash")
+        fine = fine.where("is_pointer").unionByName(fine.where("not is_pointer").join(gone, ["blob_bucket", "hash"], "left_anti"))
+    if before.at.marks:
+        named = before.marks.select("bucket", "hash").join(fine.select(F.col("blob_bucket").alias("bucket"), "hash"), ["bucket", "hash"], "left_semi")
+        named = saved(before.lookup_blobs(named).where("blob is not null").drop("blob"), folder, "named")
+        if not named.isEmpty():
+            _committed(lambda: state.rescue(named), report)
     pointers = _records_of(fine.where("is_pointer"), config, scan_id, "size", "etag", "last_modified")
     plain = fine.where("not is_pointer")
     stored = fine.where("is_pointer").select(F.col("blob_bucket").alias("bucket"), "hash")
@@ -115,6 +132,7 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
         log.warning("%s/%s: %s", r["bucket"], r["object_key"], r["error"])
 
     draft = state.draft(before)
+    draft.closed = closed
     write_changes(before, draft, rows, labelled.where("error is null"), stored, complete, folder)
     meta = {"blob_prefix": d.blob_prefix, "hash_algo": d.hash_algo}
     if failed is not None:
@@ -122,18 +140,32 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
         report["errors"] += 1
         raise ScanError(f"listing failed: {failed['error']}", report)
 
-    gc_bytes = 0
+    gc_bytes = healed
     if d.mode == "pointer" and report["errors"] == 0:
         planned = saved(relink.plan_collection(draft.snapshot().blobs, [b for b, _ in config.scopes]), folder, "planned")
-        deleted = saved(actions.delete_stored(planned.where("error is null"), store), folder, "deleted")
-        totals = stats.gc_totals(deleted.where("deleted")).first()
-        gc_bytes, troubles = totals["gc_bytes"], deleted.where("not deleted").count() + planned.where("error is not null").count()
-        if totals["blobs_removed"]:
-            draft.remove_blobs(deleted.where("deleted"))
-        report["bytes_reclaimed"] += gc_bytes
-        log.info("blobs removed: %d, bytes reclaimed: %d", totals["blobs_removed"], gc_bytes)
+        free = planned.where("error is null")
+        report["errors"] += planned.where("error is not null").count()
+        if d.collect_after:
+            draft.mark(free, d.collect_after)
+        else:
+            deleted = saved(actions.delete_stored(free, store), folder, "deleted")
+            totals = stats.gc_totals(deleted.where("deleted")).first()
+            if totals["blobs_removed"]:
+                draft.remove_blobs(deleted.where("deleted"))
+            gc_bytes += totals["gc_bytes"]
+            report["errors"] += deleted.where("not deleted").count()
+    done = _commit(state, draft, meta, scan_id, complete, report)
+    found = done.totals
+    if draft.swept:  # only now: the catalog does not have them any more, and no one can have named them since
+        swept, troubles = _delete(done.sweeping([draft.id]), store, folder, "swept")
+        gc_bytes += swept
         report["errors"] += troubles
-    found = _commit(state, draft, meta, scan_id, complete, report).totals
+        if not troubles:
+            closing = state.draft(done)
+            closing.closed = {draft.id}
+            _committed(lambda: state.commit(closing, done.meta), report)
+    report["bytes_reclaimed"] += gc_bytes
+    log.info("bytes of removed blobs: %d", gc_bytes)
     report |= found | {"bytes_reclaimable": found["bytes_reclaimable"] + gc_bytes}
     report["scan_finished"] = datetime.now(timezone.utc)
     return report
@@ -149,9 +181,21 @@ def write_changes(before: Snapshot, draft: Draft, rows: DataFrame, accepted: Dat
     draft.write(moved, changes.blob_changes(changes.reference_changes(moved), accepted, stored, before.lookup_blobs, draft.seq))
 
 
+def _delete(blobs: DataFrame, store: ObjectStore, folder: str, name: str) -> tuple[int, int]:
+    """The bytes of a sweep that is done, or none and how many blobs are left: then the whole of it is done again later, which
+    does no harm, and counts then."""
+    deleted = saved(actions.delete_stored(blobs, store), folder, name)
+    left = deleted.where("not deleted").count()
+    return (0 if left else stats.gc_totals(deleted).first()["gc_bytes"]), left
+
+
 def _commit(state: CatalogStore, draft: Draft, meta: dict, scan_id: str, seen: list[tuple[str, str]], report: dict) -> Snapshot:
+    return _committed(lambda: state.commit(draft, meta, scan_id, seen), report)
+
+
+def _committed(commit: Callable, report: dict):
     try:
-        return state.commit(draft, meta, scan_id, seen)
+        return commit()
     except Conflict as e:
         report["errors"] += 1
         raise ScanError(f"not committed: {e}", report) from e

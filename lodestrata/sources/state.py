@@ -2,7 +2,8 @@
 
     base-ID/objects, base-ID/blobs     Parquet, bucketed and sorted by (bucket, object_key) and by (bucket, hash)
     delta-ID/objects, delta-ID/blobs   what a scan has written and deleted
-    CURRENT-N                          version N: its base, its deltas, the scopes seen last, totals, settings
+    delta-ID/marks                     blobs that nothing names, the epoch that found them so, and which of them are due
+    CURRENT-N                          version N: its base, its deltas, the scopes seen last, totals, settings, marks, open sweeps
 
 A scan writes one delta, so what it writes follows what has changed.  That an object was seen is not a
 write at all: a scope's last complete listing is a line of the version, and `last_seen_scan` comes from
@@ -12,6 +13,13 @@ shuffled.  When the deltas outgrow COMPACTED of the base, a commit writes a new
 IDs are the writer's own, and CURRENT-N is made by an operation that fails if the file exists.  So of two
 writers at one version one is first; the other takes its changes to the new version if the two have
 no object in common and no blob that one of them removes, else it fails and its changes are as if never made.
+
+Collection in two phases: a scan marks the blobs that nothing names; a later one that finds a mark old enough takes
+the blob out of the catalog, commits that, and only then deletes it from storage.  The version lists the sweep as
+open until a further one closes it, so a driver lost in between leaves a list of what is to be deleted.  Whoever is about
+to name a marked blob takes the mark off first, by a commit of its own: of the two commits one is
+first and the other one fails, before anything is deleted or any object is replaced.
+
 Nothing that a kept version names is removed, and nothing that no version has named: it may be in the making.
 Paths may be of any file system whose rename fails on an existing target; local folders use hard links.
 """
@@ -33,11 +41,12 @@ from pyspark.sql import types as T
 from lodestrata.operators import changes
 from lodestrata.operators.changes import BLOB, BLOB_CHANGES, OBJECT_CHANGES, TOTALS
 from lodestrata.operators.filters import PUSHED_SCOPES, filter_scopes, in_any_scope
-from lodestrata.schemas import BLOBS, KEY, OBJECTS
+from lodestrata.schemas import BLOBS, KEY, OBJECTS, struct
 
 #: Deltas may have this part of the base's bytes, a base under SMALL bytes counting as that large; so many they may be; and
 #: rows of a bucket of the base, about.
 COMPACTED, SMALL, MOST_DELTAS, BUCKET_ROWS = 0.25, 8 << 20, 50, 1_000_000
+MARKS = struct("bucket string, hash string, blob_key string, size bigint, since bigint, due boolean")
 _BASE_OBJECTS = T.StructType([*OBJECTS.fields, T.StructField("seq", T.LongType())])
 
 
@@ -45,9 +54,14 @@ class Conflict(Exception):
     """Another writer has committed changes of the same objects or blobs."""
 
 
+class Behind(Conflict):
+    """Another writer has committed anything at all."""
+
+
 @dataclass
 class Version:
-    """What a marker holds.  `seen`: (bucket, prefix, scan id, version) of each scope's last complete listing."""
+    """What a marker holds.  `seen`: (bucket, prefix, scan id, version) of each scope's last complete listing; `epoch`:
+    versions that were written with a delta; `marks` and `sweeps`: the folders that hold them."""
 
     version: int = 0
     meta: dict = field(default_factory=dict)
@@ -56,6 +70,14 @@ class Version:
     own: str = ""
     seen: list[list] = field(default_factory=list)
     totals: dict[str, list[int]] = field(default_factory=dict)
+    epoch: int = 0
+    marks: str = ""
+    sweeps: list[str] = field(default_factory=list)
+
+    @property
+    def folders(self) -> set[str]:
+        named = {self.own, *self.deltas, self.marks, *self.sweeps, self.base["id"] if self.base else ""}
+        return named - {""}
 
 
 class Snapshot:
@@ -97,6 +119,16 @@ class Snapshot:
     def totals(self) -> dict[str, int]:
         return {name: sum(t[i] for t in self.at.totals.values()) for i, name in enumerate(TOTALS)}
 
+    @property
+    def marks(self) -> DataFrame:
+        """Blobs that nothing names and that are still in the catalog, with `since`, the epoch that marked them."""
+        return self._store._deltas([self.at.marks] if self.at.marks else [], "marks", MARKS).where("not due")
+
+    def sweeping(self, sweeps: list[str] | None = None) -> DataFrame:
+        """Blobs of open sweeps: out of the catalog, and to be deleted unless it has them again."""
+        due = self._store._deltas(self.at.sweeps if sweeps is None else sweeps, "marks", MARKS).where("due").select(*BLOB, "blob_key", "size").distinct()
+        return self.lookup_blobs(due).where("blob is null").drop("blob")
+
     def lookup(self, rows: DataFrame) -> DataFrame:
         """Rows of (bucket, object_key, ...) with `old`, the catalog's row of the key or null.  Only the rows move."""
         kept = [c for c in OBJECTS.fieldNames() if c not in (*KEY, "last_seen_scan")]
@@ -141,7 +173,9 @@ class CatalogStore(Protocol):
 
     def draft(self, before: Snapshot) -> Draft: ...
 
-    def commit(self, draft: Draft, meta: dict, scan_id: str, seen: list[tuple[str, str]]) -> Snapshot: ...
+    def commit(self, draft: Draft, meta: dict, scan_id: str = "", seen: list[tuple[str, str]] | None = None) -> Snapshot: ...
+
+    def rescue(self, named: DataFrame) -> None: ...
 
     def close(self) -> None: ...
 
@@ -152,9 +186,12 @@ class Draft:
     def __init__(self, store: StateStore, before: Snapshot):
         self.store, self.before, self.id, self.seq = store, before, f"delta-{uuid.uuid4().hex}", before.version + 1
         self.totals: dict[str, list[int]] = {}
+        self.written = self.marked = self.swept = False
+        self.closed: set[str] = set()
 
     def write(self, objects: DataFrame, blobs: DataFrame) -> None:
         """Changes of objects, and of blobs with n_before."""
+        self.written = True
         self.store._write(objects.select(OBJECT_CHANGES.fieldNames()), self.id, "objects")
         self.store._write(blobs.select(*BLOB_CHANGES.fieldNames(), "n_before"), self.id, "blobs")
         self.totals = _by_bucket(changes.total_changes(self.store._read(self.id, "blobs", T.StructType([*BLOB_CHANGES.fields, T.StructField("n_before", T.LongType())]))))
@@ -164,6 +201,22 @@ class Draft:
         at = self.before.at
         return Snapshot(self.store, Version(self.seq, at.meta, at.base, [*at.deltas, self.id], self.id, at.seen, _added(at.totals, self.totals)))
 
+    def mark(self, unreferenced: DataFrame, after: int) -> None:
+        """Marks blobs that nothing names.  Those that were marked `after` epochs ago, and that nothing named at the version
+        before this draft either, leave the catalog: their sweep is open as soon as the draft is committed."""
+        epoch = self.before.at.epoch + 1
+        aged = self.before.lookup_blobs(unreferenced.select(*BLOB, "blob_key", "size")).join(self.before.marks.select(*BLOB, F.col("since").alias("__since")), BLOB, "left")
+        since = F.coalesce(F.when(F.col("blob.ref_count") == 0, F.col("__since")), F.lit(epoch).cast("long"))
+        self.marks(aged.select(*BLOB, "blob_key", "size", since.alias("since")).withColumn("due", F.col("since") <= epoch - after))
+        due = self.store._read(self.id, "marks", MARKS).where("due")
+        self.swept = not due.isEmpty()
+        if self.swept:
+            self.remove_blobs(due)
+
+    def marks(self, rows: DataFrame) -> None:
+        self.marked = True
+        self.store._write(rows.select(MARKS.fieldNames()), self.id, "marks")
+
     def remove_blobs(self, gone: DataFrame) -> None:
         """Blobs (bucket, hash) that are gone from storage and that nothing names."""
         rows = gone.select(*BLOB, F.lit(None).cast("string").alias("blob_key"), F.lit(None).cast("long").alias("size"), F.lit(False).alias("stored"), F.lit(0).cast("long").alias("change"), F.lit(True).alias("removed"), F.lit(self.seq).cast("long").alias("seq"), F.lit(0).cast("long").alias("n_before"))
@@ -184,7 +237,7 @@ def _added(a: dict[str, list[int]], b: dict[str, list[int]]) -> dict[str, list[i
 
 
 class StateStore:
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2, compacted: float = COMPACTED, small: int = SMALL):
+    def __init__(self, spark: SparkSession, path: str, keep: int = 4, compacted: float = COMPACTED, small: int = SMALL):
         if not path:
             raise ValueError("state path must not be empty")
         self.spark, self.path, self.keep, self.compacted, self.small = spark, path.rstrip("/"), keep, compacted, small
@@ -279,18 +332,43 @@ class StateStore:
     def draft(self, before: Snapshot) -> Draft:
         return Draft(self, before)
 
-    def commit(self, draft: Draft, meta: dict, scan_id: str = "", seen: list[tuple[str, str]] | None = None) -> Snapshot:
-        """Makes the draft a version, of the one that it was made on or of a later one with which it does not conflict.
+    def rescue(self, named: DataFrame) -> None:
+        """Takes the marks off blobs (bucket, hash) that are about to be named.  Raises Conflict if one of them was taken out."""
+        while True:
+            now = self.load()
+            found = now.lookup_blobs(named.select(*BLOB).distinct())
+            if not found.where("blob is null").isEmpty():
+                raise Conflict("a blob is being collected")
+            draft = self.draft(now)
+            touched = found.select(*BLOB, "blob.blob_key", "blob.size", "blob.stored", F.lit(0).cast("long").alias("change"), F.lit(False).alias("removed"), F.lit(draft.seq).cast("long").alias("seq"), F.col("blob.ref_count").alias("n_before"))
+            draft.write(self._deltas([], "objects", OBJECT_CHANGES), touched)
+            draft.marks(now.marks.join(named.select(*BLOB), BLOB, "left_anti"))
+            try:
+                self.commit(draft, now.meta, exact=True)
+                return
+            except Behind:
+                continue
+
+    def commit(self, draft: Draft, meta: dict, scan_id: str = "", seen: list[tuple[str, str]] | None = None, exact: bool = False) -> Snapshot:
+        """Makes the draft a version, of the one that it was made on or, unless `exact`, of a later one with which it does not conflict.
 
         `seen` are the scopes that were listed whole.  Raises Conflict; the catalog is then as the other writer left it.
+        Marks are those of the draft if it is on top of what it was made on, else they stay for the next scan to take up.
         """
         base = None
         while True:
             head = self._head()
-            moved = draft.totals if head.version == draft.before.version else self._rebased(draft, head)
+            same = head.version == draft.before.version
+            if exact and not same:
+                raise Behind("another writer has committed")
+            moved = draft.totals if same or not draft.written else self._rebased(draft, head)
+            own = [draft.id] if draft.written else []
             number = max([head.version, *self._markers()[:1]]) + 1
             scopes = {(b, p): [b, p, scan, n] for b, p, scan, n in head.seen} | {s: [*s, scan_id, number] for s in seen or []}
-            new = Version(number, meta, head.base, [*head.deltas, draft.id], draft.id, sorted(scopes.values()), _added(head.totals, moved))
+            new = Version(
+                number, meta, head.base, [*head.deltas, *own], "".join(own), sorted(scopes.values()), _added(head.totals, moved), head.epoch + len(own),
+                draft.id if draft.marked and same else head.marks, [s for s in [*head.sweeps, *(own if draft.swept else [])] if s not in draft.closed],
+            )
             held = sum(self.bytes_of(i) for i in new.deltas)
             if held > self.compacted * max(self.small, self.bytes_of(head.base["id"]) if head.base else 0) or len(new.deltas) > MOST_DELTAS:
                 new.base, new.deltas = self._write_base(Snapshot(self, new)), []
@@ -307,7 +385,7 @@ class StateStore:
         since = [self._marker(v) for v in self._markers() if draft.before.version < v <= head.version]
         if len(since) < head.version - draft.before.version or None in since:
             raise Conflict("the version that was changed is no longer known")
-        ids = [v.own for v in since]
+        ids = [v.own for v in since if v.own]
         mine, theirs = (self._deltas(i, "objects", OBJECT_CHANGES).select(KEY) for i in ([draft.id], ids))
         if not mine.join(theirs, KEY, "left_semi").isEmpty():
             raise Conflict("another writer has changed the same objects")
@@ -321,7 +399,7 @@ class StateStore:
     def _clean(self, version: int) -> None:
         """Removes versions that are too old, and what only they name."""
         found = {v: self._marker(v) for v in self._markers()}
-        names = lambda v: {v.own, *v.deltas, *([v.base["id"]] if v.base else [])} if v else set()
+        names = lambda v: v.folders if v else set()
         kept = set().union(*[names(x) for v, x in found.items() if v > version - self.keep])
         for old, x in found.items():
             if old <= version - self.keep:

@@ -125,6 +125,130 @@ def test_garbage_collection(spark, tmp_path):
     assert take(w.scan(), "errors", "bytes_reclaimed") == (0, 0)
 
 
+def collecting(spark, tmp_path):
+    """A world whose blob of `a` is marked, the epoch for which it stays being over."""
+    w = World(spark, tmp_path, "pointer", delete_originals=True, collect_after=1)
+    w.put("a", "first " * 50), w.put("b", "second " * 50)
+    w.scan()
+    (blob,) = [k for k in w.keys() if k.startswith("blobs/") and w.read(k).startswith("first")]
+    w.store.remove("bucket", ["a"])
+    r = w.scan()
+    assert take(r, "errors", "bytes_reclaimed") == (0, 0) and blob in w.keys()
+    assert [x["since"] for x in w.state.load().marks.collect()] == [2]
+    return w, blob
+
+
+def test_marked_blobs_go_an_epoch_later(spark, tmp_path):
+    w, blob = collecting(spark, tmp_path)
+    r = w.scan(Faulty(w.root, undeletable=[blob]))  # out of the catalog, but still in storage: the sweep stays open
+    assert take(r, "errors", "bytes_reclaimed", "unique_blobs") == (1, 0, 1) and blob in w.keys()
+    at = w.state.load().at
+    assert len(at.sweeps) == 1 and w.state.load().blobs.count() == 1
+    r = w.scan()
+    assert take(r, "errors", "bytes_reclaimed", "bytes_reclaimable") == (0, 300, 300) and blob not in w.keys()
+    assert take(w.scan(), "errors", "bytes_reclaimed") == (0, 0) and not w.state.load().at.sweeps and w.state.load().marks.count() == 0
+
+
+@pytest.mark.parametrize("as_pointer", [False, True])
+def test_marked_blobs_survive_if_named_again(spark, tmp_path, as_pointer):
+    w, blob = collecting(spark, tmp_path)
+    if as_pointer:
+        w.put("again", dump_pointer({"blob_bucket": "bucket", "blob_key": blob, "hash": blob[6:], "size": 300, "content_type": ""}), content_type=POINTER_TYPE)
+    else:
+        w.put("again", "first " * 50)
+    for _ in range(2):
+        assert take(w.scan(), "errors", "unique_blobs") == (0, 2) and w.read(blob) == "first " * 50
+    w.store.remove("bucket", ["again"])  # and its time begins anew
+    assert w.scan()["bytes_reclaimed"] == 0 and blob in w.keys()
+    assert w.scan()["bytes_reclaimed"] == 300 and blob not in w.keys()
+
+
+def test_driver_lost_between_commit_and_delete(spark, tmp_path, monkeypatch):
+    w, blob = collecting(spark, tmp_path)
+    with monkeypatch.context() as m:
+        m.setattr(actions, "delete_stored", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            w.scan()
+    assert blob in w.keys() and len(w.state.load().at.sweeps) == 1
+    w.put("again", "first " * 50)
+    r = w.scan()  # ends the sweep; what has the content of a swept blob waits
+    assert take(r, "errors", "bytes_reclaimed", "objects_relinked", "unique_blobs") == (0, 300, 0, 1)
+    assert blob not in w.keys() and w.read("again") == "first " * 50 and not w.state.load().at.sweeps
+    assert take(w.scan(), "errors", "objects_relinked", "unique_blobs") == (0, 1, 2) and w.read(blob) == "first " * 50
+
+
+def test_driver_lost_between_delete_and_closing(spark, tmp_path, monkeypatch):
+    w, blob = collecting(spark, tmp_path)
+    commit = StateStore.commit
+    with monkeypatch.context() as m:
+        m.setattr(StateStore, "commit", lambda self, draft, *a, **k: commit(self, draft, *a, **k) if draft.written else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            w.scan()
+    assert blob not in w.keys() and len(w.state.load().at.sweeps) == 1
+    assert take(w.scan(), "errors", "bytes_reclaimed", "unique_blobs") == (0, 300, 1) and not w.state.load().at.sweeps
+
+
+class Interrupted(StateStore):
+    """Runs something once, before or after the first commit."""
+
+    def __init__(self, *args, before=None, after=None):
+        super().__init__(*args)
+        self.run = [before, after]
+
+    def commit(self, *args, **named):
+        (before, after), self.run = self.run, [None, None]
+        if before:
+            before()
+        done = super().commit(*args, **named)
+        if after:
+            after()
+        return done
+
+
+def test_blob_named_by_another_driver_before_the_sweep(spark, tmp_path):
+    """It took the mark off first, so the sweep fails and nothing is deleted."""
+    w, blob = collecting(spark, tmp_path)
+    other = World(spark, tmp_path, "pointer", delete_originals=True, collect_after=1, buckets=())
+    other.config.s3.buckets = w.config.s3.buckets
+
+    def meanwhile():
+        other.put("again", "first " * 50)
+        assert take(other.scan(), "errors", "objects_relinked") == (0, 1)
+
+    w.state = Interrupted(spark, str(tmp_path / "state"), before=meanwhile)
+    with pytest.raises(ScanError, match="same blobs"):
+        w.scan()
+    assert w.read(blob) == "first " * 50 and w.store.stat("bucket", "again").content_type == POINTER_TYPE
+    assert take(w.scan(), "errors", "bytes_reclaimed", "unique_blobs") == (0, 0, 2)
+
+
+def test_blob_named_by_another_driver_after_the_sweep(spark, tmp_path):
+    """It began before the sweep and cannot take the mark off, so it fails before it replaces anything."""
+    w, blob = collecting(spark, tmp_path)
+    other = World(spark, tmp_path, "pointer", delete_originals=True, collect_after=1, buckets=())
+    other.config.s3.buckets = w.config.s3.buckets
+    w.put("again", "first " * 50)
+
+    def meanwhile():
+        other.config.s3.buckets = [Bucket("bucket", "b")]  # the other one has not listed the new object
+        assert other.scan()["errors"] == 0
+
+    other.config.s3.buckets = [Bucket("bucket", "b")]
+    rescue = StateStore.rescue
+
+    class Late(StateStore):
+        def rescue(self, named):
+            meanwhile()
+            rescue(self, named)
+
+    w.state = Late(spark, str(tmp_path / "state"))
+    with pytest.raises(ScanError, match="being collected"):
+        w.scan()
+    assert blob not in w.keys() and w.read("again") == "first " * 50
+    w.state = StateStore(spark, str(tmp_path / "state"))
+    assert take(w.scan(), "errors", "objects_relinked", "unique_blobs") == (0, 1, 2) and w.read(blob) == "first " * 50
+
+
 def test_measured_blobs_are_not_collected(spark, tmp_path):
     w = World(spark, tmp_path)
     w.put("a", "only measured")
