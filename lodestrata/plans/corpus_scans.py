@@ -185,7 +185,7 @@ def scan_relinks_and_collects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{_D0}, {_D1}, {_D2}, back AS (SELECT hash FROM d0 WHERE source = '{GONE}')
-    SELECT hash, any_value(size) AS size, hash IN (SELECT hash FROM back) AS survives, CAST(hash IN (SELECT hash FROM back) AS INTEGER) = 1 AS in_storage FROM d1 WHERE hash NOT IN (SELECT hash FROM d2) GROUP BY hash"""
+    SELECT hash, any_value(size) AS size, hash IN (SELECT hash FROM back) AS survives, hash IN (SELECT hash FROM back) AS in_storage FROM d1 WHERE hash NOT IN (SELECT hash FROM d2) GROUP BY hash"""
 )
 def scan_collects_later(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs that a scan has marked as unreferenced, and whether they survive the next one, for which some of their objects came back."""

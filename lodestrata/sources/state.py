@@ -60,8 +60,8 @@ class Behind(Conflict):
 
 @dataclass
 class Version:
-    """What a marker holds.  `seen`: (bucket, prefix, scan id, version) of each scope's last complete listing; `epoch`:
-    versions that were written with a delta; `marks` and `sweeps`: the folders that hold them."""
+    """What a marker holds.  `seen`: (bucket, prefix, scan id, version) of each scope's last complete listing; `epoch`: scans
+    that were committed; `marks` and `sweeps`: the folders that hold them."""
 
     version: int = 0
     meta: dict = field(default_factory=dict)
@@ -237,7 +237,7 @@ def _added(a: dict[str, list[int]], b: dict[str, list[int]]) -> dict[str, list[i
 
 
 class StateStore:
-    def __init__(self, spark: SparkSession, path: str, keep: int = 4, compacted: float = COMPACTED, small: int = SMALL):
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2, compacted: float = COMPACTED, small: int = SMALL):
         if not path:
             raise ValueError("state path must not be empty")
         self.spark, self.path, self.keep, self.compacted, self.small = spark, path.rstrip("/"), keep, compacted, small
@@ -366,7 +366,7 @@ class StateStore:
             number = max([head.version, *self._markers()[:1]]) + 1
             scopes = {(b, p): [b, p, scan, n] for b, p, scan, n in head.seen} | {s: [*s, scan_id, number] for s in seen or []}
             new = Version(
-                number, meta, head.base, [*head.deltas, *own], "".join(own), sorted(scopes.values()), _added(head.totals, moved), head.epoch + len(own),
+                number, meta, head.base, [*head.deltas, *own], "".join(own), sorted(scopes.values()), _added(head.totals, moved), head.epoch + (draft.written and not exact),
                 draft.id if draft.marked and same else head.marks, [s for s in [*head.sweeps, *(own if draft.swept else [])] if s not in draft.closed],
             )
             held = sum(self.bytes_of(i) for i in new.deltas)
@@ -377,7 +377,7 @@ class StateStore:
                 break
             if base is not None:  # of a version that did not come about
                 self._fs.delete(self._path(f"{self.path}/{base['id']}"), True)
-        self._clean(number)
+        self._clean(new)
         return Snapshot(self, new)
 
     def _rebased(self, draft: Draft, head: Version) -> dict[str, list[int]]:
@@ -396,13 +396,14 @@ class StateStore:
         touched = Snapshot(self, head).lookup_blobs(own).withColumn("n_before", F.coalesce("blob.ref_count", F.lit(0)))
         return _by_bucket(changes.total_changes(touched))
 
-    def _clean(self, version: int) -> None:
-        """Removes versions that are too old, and what only they name."""
+    def _clean(self, head: Version) -> None:
+        """Removes versions that are `keep` scans old, and what only they name."""
         found = {v: self._marker(v) for v in self._markers()}
         names = lambda v: v.folders if v else set()
-        kept = set().union(*[names(x) for v, x in found.items() if v > version - self.keep])
+        recent = {v for v, x in found.items() if (x.epoch > head.epoch - self.keep if x else v > head.version - self.keep)}
+        kept = set().union(*[names(found[v]) for v in recent])
         for old, x in found.items():
-            if old <= version - self.keep:
+            if old not in recent:
                 self._fs.delete(self._path(f"{self.path}/CURRENT-{old}"), False)
                 for folder in names(x) - kept:
                     self._fs.delete(self._path(f"{self.path}/{folder}"), True)
