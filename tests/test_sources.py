@@ -1,6 +1,8 @@
 import bisect
 import contextlib
+import hashlib
 import io
+import os
 import random
 import threading
 from datetime import datetime, timezone
@@ -153,6 +155,64 @@ class Breaks(FileStore):
             yield o
 
 
+def test_a_listing_reads_the_folders_that_it_meets(tmp_path, monkeypatch):
+    """The names that all ranges together read grow as the keys, not as the keys times the ranges."""
+    s, read, of = FileStore(str(tmp_path)), [0], os.listdir
+    s.create_bucket("b")
+    keys = sorted([f"{d}/{e}/{i}" for d in "pq" for e in range(20) for i in range(10)] + [f"blobs/{hashlib.sha256(str(i).encode()).hexdigest()}" for i in range(400)])
+    for key in keys:
+        s.put("b", key, io.BytesIO(b"x"), 1, "")
+
+    def counting(call):
+        def run(path):
+            read[0] += len(of(path))
+            return call(path)
+
+        return run
+
+    monkeypatch.setattr(os, "listdir", counting(os.listdir))
+    monkeypatch.setattr(os, "scandir", counting(os.scandir))
+    cuts = s.cuts("b", "", 31)
+    assert len(cuts) == 31 and [o.key for a, z in zip(["", *cuts], [*cuts, None]) for o in s.list("b", "", a, z)] == keys
+    assert read[0] < 8 * len(keys)
+    read[0] = 0
+    assert len(list(s.list("b", "p/3/"))) == 10 and read[0] < 60
+
+
+def test_listings_of_files_are_in_order(tmp_path):
+    """Of long names, that stand in folders of their own, short ones beside them, and cut-off characters."""
+    rnd, s = random.Random(5), FileStore(str(tmp_path))
+    s.create_bucket("b")
+    keys = sorted({"".join(rnd.choice("a/é\U0001f600-.%bbb") for _ in range(rnd.choice([0, 1, 2, 5, 31, 33, 70]))) for _ in range(300)} | {"x" * 300 + f"/{i}" for i in range(3)})
+    for key in keys:
+        s.put("b", key, io.BytesIO(b"x"), 1, "")
+    for _ in range(60):
+        prefix, after, until = rnd.choice(keys)[: rnd.randint(0, 3)], rnd.choice(keys)[: rnd.randint(0, 40)], rnd.choice([None, rnd.choice(keys)])
+        wanted = [k for k in keys if k.startswith(prefix) and k > after and (until is None or k <= until)]
+        cuts = s.cuts("b", prefix, 7, after, until)
+        assert [o.key for o in s.list("b", prefix, after, until)] == wanted and len(cuts) <= 7
+        assert [o.key for a, z in zip([after, *cuts], [*cuts, until]) for o in s.list("b", prefix, a, z)] == wanted
+
+
+def test_copies_share_their_body(tmp_path):
+    """And keep it when the original is replaced or removed."""
+    s, body = FileStore(str(tmp_path)), os.urandom(1 << 20)
+    s.create_bucket("b")
+    s.put("b", "a", io.BytesIO(body), len(body), "x")
+    s.copy("b", "a", "blobs/" + "0" * 64, s.stat("b", "a").etag, len(body), "x")
+    files = {os.stat(p).st_ino: os.stat(p).st_size for d, _, names in os.walk(tmp_path) for n in names for p in [os.path.join(d, n)]}
+    assert sum(files.values()) < 1.1 * len(body)
+    s.put("b", "a", io.BytesIO(b"pointer"), 7, "y")
+    s.remove("b", ["a"])
+    assert s.stat("b", "blobs/" + "0" * 64).size == len(body)
+    with s.get("b", "blobs/" + "0" * 64) as f:
+        assert f.read() == body
+        f.seek(5)
+        assert s.put("b", "rest", f, 0, "") == len(body) - 5
+    with s.get("b", "rest") as f:
+        assert f.read() == body[5:]
+
+
 def test_listings(spark, store):
     rows = list_scopes(spark, store, [("b", "a/"), ("none", ""), ("b", "")]).collect()
     assert sorted(r["object_key"] for r in rows if r["scope"] == 0) == ["a/b", "a/b/c"]
