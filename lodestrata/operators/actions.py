@@ -157,8 +157,11 @@ def _replace(store: ObjectStore, r, blob_key: str) -> ObjectInfo:
     return now
 
 
-def delete_stored(candidates: DataFrame, store: ObjectStore) -> DataFrame:
-    """Deletes in batches per bucket; a row says whether its blob is gone."""
+def delete_stored(candidates: DataFrame, store: ObjectStore, workers: int) -> DataFrame:
+    """Deletes in batches per bucket, a task for each; a row says whether its blob is gone."""
+    rows = candidates.select("bucket", "blob_key", "hash", "size")
+    calls = max(1, math.ceil(rows.count() / DELETED_AT_ONCE))
+    tasks = min(calls, workers) if workers < rows.sparkSession.sparkContext.defaultParallelism else calls
 
     def run(rows: Iterator[dict]):
         while part := list(itertools.islice(rows, DELETED_AT_ONCE)):
@@ -170,4 +173,4 @@ def delete_stored(candidates: DataFrame, store: ObjectStore) -> DataFrame:
                 except Exception as e:
                     yield from (r | {"deleted": False, "error": f"{type(e).__name__}: {e}"} for r in own)
 
-    return map_rows(candidates.select("bucket", "blob_key", "hash", "size"), DELETED, run)
+    return map_rows(rows.repartition(tasks), DELETED, run)

@@ -69,7 +69,7 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
     sweeping, closed, healed = None, set(), 0
     if d.mode == "pointer" and before.at.sweeps:
         sweeping, closed = saved(before.sweeping(), folder, "sweeping"), set(before.at.sweeps)
-        healed, troubles = _delete(sweeping, store, folder, "healed")
+        healed, troubles = _delete(sweeping, store, workers, folder, "healed")
         report["errors"] += troubles
         closed = set() if troubles else closed
 
@@ -148,7 +148,7 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
         if d.collect_after:
             draft.mark(free, d.collect_after)
         else:
-            deleted = saved(actions.delete_stored(free, store), folder, "deleted")
+            deleted = saved(actions.delete_stored(free, store, workers), folder, "deleted")
             totals = stats.gc_totals(deleted.where("deleted")).first()
             if totals["blobs_removed"]:
                 draft.remove_blobs(deleted.where("deleted"))
@@ -157,7 +157,7 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
     done = _commit(state, draft, meta, scan_id, complete, report)
     found = done.totals
     if draft.swept:  # only now: the catalog does not have them any more, and no one can have named them since
-        swept, troubles = _delete(done.sweeping([draft.id]), store, folder, "swept")
+        swept, troubles = _delete(done.sweeping([draft.id]), store, workers, folder, "swept")
         gc_bytes += swept
         report["errors"] += troubles
         if not troubles:
@@ -181,10 +181,10 @@ def write_changes(before: Snapshot, draft: Draft, rows: DataFrame, accepted: Dat
     draft.write(moved, changes.blob_changes(changes.reference_changes(moved), accepted, stored, before.lookup_blobs, draft.seq))
 
 
-def _delete(blobs: DataFrame, store: ObjectStore, folder: str, name: str) -> tuple[int, int]:
+def _delete(blobs: DataFrame, store: ObjectStore, workers: int, folder: str, name: str) -> tuple[int, int]:
     """The bytes of a sweep that is done, or none and how many blobs are left: then the whole of it is done again later, which
     does no harm, and counts then."""
-    deleted = saved(actions.delete_stored(blobs, store), folder, name)
+    deleted = saved(actions.delete_stored(blobs, store, workers), folder, name)
     left = deleted.where("not deleted").count()
     return (0 if left else stats.gc_totals(deleted).first()["gc_bytes"]), left
 

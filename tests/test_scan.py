@@ -249,6 +249,17 @@ def test_blob_named_by_another_driver_after_the_sweep(spark, tmp_path):
     assert take(w.scan(), "errors", "objects_relinked", "unique_blobs") == (0, 1, 2) and w.read(blob) == "first " * 50
 
 
+def test_deletes_are_dealt(spark, tmp_path):
+    """A task for each call, whatever the partitions of the plan, and no more at a time than workers."""
+    w = World(spark, tmp_path)
+    w.put("k7", "x")
+    gone = spark.range(0, 2500, 1, 1).selectExpr("'bucket' AS bucket", "concat('k', id) AS blob_key", "'' AS hash", "1L AS size")
+    for workers, tasks in ((4, 3), (2, 2)):
+        found = actions.delete_stored(gone, w.store, workers).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.col("deleted").cast("int")).alias("deleted")).collect()
+        assert len(found) == tasks and sum(r["n"] for r in found) == sum(r["deleted"] for r in found) == 2500
+    assert w.keys() == []
+
+
 def test_measured_blobs_are_not_collected(spark, tmp_path):
     w = World(spark, tmp_path)
     w.put("a", "only measured")
