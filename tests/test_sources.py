@@ -14,7 +14,7 @@ from pyspark import InheritableThread
 from lodestrata.cli import Engine, main
 from lodestrata.session import SCAN_TAG, tagged
 from lodestrata.sources.listing import ListingSource, inventory, inventory_of_files, list_scopes
-from lodestrata.sources import listing
+from lodestrata.sources import listing, objectstore
 from lodestrata.sources.objectstore import FileStore, NoSuchKey, health_check, probed_cuts
 from lodestrata.streaming.loop import Stopper, run_and_report, run_loop, scan_on_arrival
 
@@ -179,6 +179,27 @@ def test_a_listing_reads_the_folders_that_it_meets(tmp_path, monkeypatch):
     assert len(list(s.list("b", "p/3/"))) == 10 and read[0] < 60
 
 
+def test_cuts_do_not_read_a_long_level(tmp_path, monkeypatch):
+    """One task looks for them, so it must not read all names where folders are enough to cut between."""
+    s, read, of = FileStore(str(tmp_path)), [0], os.listdir
+    s.create_bucket("b")
+    keys = sorted(f"{d}/{e:02d}/{i}" for d in "pq" for e in range(20) for i in range(50))
+    for key in keys:
+        s.put("b", key, io.BytesIO(b"x"), 1, "")
+
+    def counting(path):
+        read[0] += len(of(path))
+        return of(path)
+
+    monkeypatch.setattr(os, "listdir", counting)
+    monkeypatch.setattr(objectstore, "CUT_NAMES", 100)
+    cuts = s.cuts("b", "", 31)
+    assert read[0] < 300 and len(cuts) == 31
+    parts = [[o.key for o in s.list("b", "", a, z)] for a, z in zip(["", *cuts], [*cuts, None])]
+    assert [k for part in parts for k in part] == keys and max(map(len, parts)) <= 100
+    assert len(s.cuts("b", "p/03/", 7)) == 7  # a folder that holds all keys is read
+
+
 def test_listings_of_files_are_in_order(tmp_path):
     """Of long names, that stand in folders of their own, short ones beside them, and cut-off characters."""
     rnd, s = random.Random(5), FileStore(str(tmp_path))
