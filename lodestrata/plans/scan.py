@@ -73,7 +73,7 @@ def _scan(spark: SparkSession, store: ObjectStore, state: CatalogStore, config:
         report["errors"] += troubles
         closed = set() if troubles else closed
 
-    listed = list_scopes(spark, store, config.scopes, folder=f"{folder}/listed")
+    listed = list_scopes(spark, store, config.scopes, folder=f"{folder}/listed", without=d.blob_prefix)
     failed = listed.where("error is not null").orderBy("scope").select("scope", "error").first()
     last = len(config.scopes) if failed is None else failed["scope"]
     complete = config.scopes[:last]

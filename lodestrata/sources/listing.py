@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from lodestrata.schemas import LISTING, struct
 from lodestrata.session import saved, shared_folder
-from lodestrata.sources.objectstore import FileStore, ObjectStore
+from lodestrata.sources.objectstore import TOP, FileStore, ObjectStore
 from lodestrata.sources.rows import map_rows
 from lodestrata.sources.s3store import S3Store
 
@@ -30,16 +30,17 @@ PARTS = 32
 FIRST_KEYS, RANGE_KEYS, MOST_TASKS = 2000, 50_000, 10_000
 
 
-def list_scopes(spark: SparkSession, store: ObjectStore, scopes: list[tuple[str, str]], parts: int = PARTS, folder: str | None = None) -> DataFrame:
-    """The listing of every scope; a failure is a row with `error`.
+def list_scopes(spark: SparkSession, store: ObjectStore, scopes: list[tuple[str, str]], parts: int = PARTS, folder: str | None = None, without: str = "") -> DataFrame:
+    """The listing of every scope; a failure is a row with `error`.  Keys that begin with `without` are passed over, about: a few may be listed.
 
     Rounds of Spark tasks: each lists the beginning of its range, at once; what is left over is cut into ranges
     by looking for keys (`store.cuts`), also in tasks, and these are the next round's.  So long ranges, wherever
     they lie and however keys are named, end up in many tasks, the driver makes no request, and it holds no key.
     """
     folder, rounds = folder or shared_folder(spark), []
-    ranges = spark.createDataFrame([(i, b, p, "", None) for i, (b, p) in enumerate(scopes)], RANGES)
-    n, most = len(scopes), FIRST_KEYS
+    whole = [(i, b, p, after, until) for i, (b, p) in enumerate(scopes) for after, until in _around(p, without)]
+    ranges = spark.createDataFrame(whole, RANGES)
+    n, most = len(whole), FIRST_KEYS
     while n:
         rounds.append(saved(_listed(ranges.repartition(min(n, MOST_TASKS)), store, most), folder, f"round-{len(rounds)}"))
         left = rounds[-1].where("rest").select(RANGES.fieldNames())
@@ -50,6 +51,11 @@ def list_scopes(spark: SparkSession, store: ObjectStore, scopes: list[tuple[str,
     return reduce(DataFrame.unionByName, rounds).where("not rest").select(LISTED.fieldNames())
 
 
+def _around(prefix: str, without: str) -> list[tuple[str, str | None]]:
+    """The ranges of a prefix before and behind the keys that begin with `without`."""
+    return [("", without), (without + TOP, None)] if without and without.startswith(prefix) and without != prefix else [("", None)]
+
+
 def _listed(ranges: DataFrame, store: ObjectStore, most: int) -> DataFrame:
     def run(rows: Iterator[dict]):
         for r in rows:

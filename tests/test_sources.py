@@ -407,3 +407,55 @@ def test_scan_on_arrival(spark, files, tmp_path):
     query = scan_on_arrival(stream, lambda: reports.append(engine.scan()) or reports[-1], str(tmp_path / "checkpoint"))
     query.awaitTermination(120)
     assert [r["objects_scanned"] for r in reports] == [len(KEYS)]
+
+
+def test_a_copy_within_a_folder_store_is_a_link_and_lives_alone(tmp_path):
+    s = FileStore(str(tmp_path / "s"))
+    s.create_bucket("b")
+    for name, size in (("short", 10), ("long", 10_000)):
+        body = b"x" * size
+        s.put("b", f"a/{name}", io.BytesIO(body), size, "t")
+        etag = s.stat("b", f"a/{name}").etag
+        for target in (f"blobs/{name}", f"blobs/{name}", f"blobs/{name}2", f"a/{name}2"):  # again, beside the first one, in the folder of the object
+            s.copy("b", f"a/{name}", target, etag, size, "t")
+        linked = os.stat(s._path("b", f"a/{name}")).st_ino
+        assert linked in {os.stat(s._path("b", f"blobs/{name}{n}")).st_ino for n in ("", "2")}
+        with pytest.raises(ValueError):
+            s.copy("b", f"a/{name}", "blobs/other", "another etag", size, "t")
+        s.copy("b", f"a/{name}", f"blobs/{name}3", etag, size, "another type")
+        assert s.stat("b", f"blobs/{name}3").content_type == "another type" and s.stat("b", f"a/{name}").content_type == "t"
+        s.put("b", f"a/{name}", io.BytesIO(b"pointer"), 7, "p")
+        assert s.get("b", f"a/{name}").read() == b"pointer"
+        left = [f"a/{name}2", *(f"blobs/{name}{n}" for n in ("", "2", "3"))]
+        while left:
+            assert all(s.get("b", k).read() == body and s.stat("b", k).size == size for k in left)
+            s.remove("b", [left.pop()])
+        s.remove("b", [f"a/{name}"])
+    assert list(s.list("b", "")) == [] and not [f for _, _, files in os.walk(s.root) for f in files]
+
+
+def test_a_replaced_file_has_its_blocks_before_it_is_named(tmp_path, monkeypatch):
+    s, reserved = FileStore(str(tmp_path / "s")), []
+    s.create_bucket("b")
+    monkeypatch.setattr("os.posix_fallocate", lambda fd, at, size: reserved.append(size))
+    s.put("b", "k", io.BytesIO(b"one"), 3, "t")
+    assert reserved == []
+    s.put("b", "k", io.BytesIO(b"two"), 3, "t")
+    assert len(reserved) == 1 and s.get("b", "k").read() == b"two"
+
+
+def test_a_listing_passes_over_stored_blobs(spark, tmp_path):
+    class Looks(FileStore):
+        def stat(self, bucket, key):
+            if key.startswith("blobs/"):
+                raise OSError("a blob is looked at")
+            return super().stat(bucket, key)
+
+    s = Looks(str(tmp_path / "s"))
+    s.create_bucket("b")
+    keys = ["a", "blobs", "blobs.x", "blobs0", "c/blobs/x"]
+    for k in [*keys, *(f"blobs/{i:064d}" for i in range(5))]:
+        s.put("b", k, io.BytesIO(b"x"), 1, "")
+    listed = lambda *scopes: sorted((r["scope"], r["object_key"], r["error"]) for r in list_scopes(spark, s, list(scopes), without="blobs/").collect())
+    assert listed(("b", ""), ("b", "blob"), ("b", "c")) == sorted([(0, k, None) for k in keys] + [(1, k, None) for k in keys[1:4]] + [(2, keys[4], None)])
+    assert {error for _, _, error in listed(("none", ""))} == {"FileNotFoundError: bucket 'none' does not exist"}
